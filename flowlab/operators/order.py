@@ -93,16 +93,23 @@ def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, g
     return ranks.join(settle(known.unionByName(found)), keys)
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, group_limit: int | None = None) -> DataFrame:
-    """The first ``k`` rows of each group in ``order``; ``quota`` is (by..., k)."""
+def mark_first(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, out: str, group_limit: int | None = None) -> DataFrame:
+    """Adds ``out``: is the row among the first ``k`` of its group in ``order``?  ``quota`` is (by..., k); no quota means none."""
     limit = GROUP_LIMIT if group_limit is None else group_limit
     sizes = group_sizes(df, by)
     if largest(sizes) <= limit:
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return df.withColumn("_pos", pos).join(quota.select(*by, "k"), by).where("_pos <= k").select(df.columns)
+        marked = df.withColumn("_pos", pos).join(quota.select(*by, "k"), by, "left")
+        return marked.select(*df.columns, (F.col("_pos") <= F.coalesce("k", F.lit(0))).alias(out))
     ranks = quota.join(sizes, by).select(*by, F.lit(0).alias("tag"), F.least("k", "n_group").alias("k"))
-    cuts = cut_keys(df, by, order, settle(ranks), limit).drop("tag", "k")
-    return df.join(cuts, by).where(~key_after(order, [F.col(f"cut_{c}") for c in order])).select(df.columns)
+    cuts = cut_keys(df, by, order, settle(ranks), limit).drop("tag", "k").withColumn("_known", F.lit(True))
+    inside = F.col("_known").isNotNull() & ~key_after(order, [F.col(f"cut_{c}") for c in order])
+    return df.join(cuts, by, "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, group_limit: int | None = None) -> DataFrame:
+    """The first ``k`` rows of each group in ``order``; ``quota`` is (by..., k)."""
+    return mark_first(df, by, order, quota, "_first", group_limit).where("_first").drop("_first")
 
 
 def running_sums(df: DataFrame, by: list[str], value: str, cols: list[str], descending: bool = False, group_limit: int | None = None) -> DataFrame:

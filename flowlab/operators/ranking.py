@@ -71,16 +71,18 @@ def pearson(x: Column, y: Column) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], group_limit: int | None = None) -> DataFrame:
     """Pearson correlation of average ranks over rows where both sides are known."""
+    if not by:
+        return spearman(df.withColumn("_all", F.lit(0)), x, y, ["_all"], group_limit).drop("_all")
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     # Equal pairs are counted once, so the rank joins see distinct pairs only.
     known = known.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     rx = _weighted_ranks(known, by, "_x", group_limit).withColumnRenamed("_rank", "_rx")
     ry = _weighted_ranks(known, by, "_y", group_limit).withColumnRenamed("_rank", "_ry")
     ranked = known.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
-    n, sx, sy = F.sum("_n"), F.sum(F.col("_n") * F.col("_rx")), F.sum(F.col("_n") * F.col("_ry"))
+    n = F.sum("_n")
     # Ranks are centred on (n+1)/2, known from the group size, before they are multiplied.
     sizes = known.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranked = ranked.join(sizes, by) if by else ranked.withColumn("_size", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    ranked = ranked.join(sizes, by)
     cx, cy = F.col("_rx") - (F.col("_size") + 1) / 2, F.col("_ry") - (F.col("_size") + 1) / 2
     cov, vx, vy = F.sum(F.col("_n") * cx * cy), F.sum(F.col("_n") * cx * cx), F.sum(F.col("_n") * cy * cy)
     return ranked.groupBy(*by).agg(n.alias("n_rows"), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)).alias("spearman"))

@@ -13,6 +13,7 @@ from flowlab.operators.metrics import metrics_present
 from flowlab.operators.prefix import prefix_cells
 from flowlab.plans.registry import table
 from flowlab.schemas import METRICS
+from flowlab.session import settle
 
 TEST = ["CTU-Cap-09", "CTU-Cap-10", "CTU-Cap-11"]
 VAL = ["CTU-Cap-08"]
@@ -223,7 +224,8 @@ def run_cells(spark: SparkSession, sf: str) -> DataFrame:
         )
         for m in MODELS for s in SEEDS
     ]
-    return cells.select("direction", "scenario", "fraction", F.inline(F.array(*runs_)))
+    # One row per direction, scenario, fraction, model and seed: fixed once, so that the tables below plan over it cheaply.
+    return settle(cells.select("direction", "scenario", "fraction", F.inline(F.array(*runs_))))
 
 
 table("run_cells", """

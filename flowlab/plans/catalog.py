@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from flowlab.plans import adapters, audits, cleaning, scans, scoring  # noqa: F401
+from flowlab.plans import adapters, audits, cleaning, drift, sampling, scans, scoring, transfer  # noqa: F401
 from flowlab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
