@@ -1,6 +1,8 @@
-"""All registered queries."""
+"""All registered queries and their complete SQL twins."""
 
-from flowlab.plans import adapters, audits, cleaning, drift, sampling, scans, scoring, transfer  # noqa: F401
-from flowlab.plans.registry import ORACLES, QUERIES
+from flowlab.plans import adapters, audits, cleaning, drift, learning, sampling, scans, scoring, transfer  # noqa: F401
+from flowlab.plans.registry import QUERIES, TWINS, with_tables
+
+ORACLES = {name: with_tables(sql) for name, sql in TWINS.items()}
 
 __all__ = ["ORACLES", "QUERIES"]

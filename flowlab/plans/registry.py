@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+TWINS: dict[str, str] = {}
 TABLES: dict[str, str] = {}
 
 
@@ -50,7 +50,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = with_tables(sql)
+            TWINS[name] = sql
         return fn
 
     return keep
