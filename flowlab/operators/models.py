@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.clean import fill_missing
 from flowlab.operators.metrics import best_threshold, cell_counts, confusion, metrics_fixed, metrics_present, threshold_sweep
-from flowlab.operators.order import exact_quantiles
+from flowlab.operators.order import column_quantiles
 from flowlab.operators.prefix import latency, prefix_metrics
 from flowlab.operators.profile import class_counts, top_categories
 from flowlab.operators.sampling import balance, group_split, holdout, stratified_sample
@@ -69,14 +69,13 @@ class OrdinalCoder:
 
 def fit_ordinal(df: DataFrame, num: list[str], cat: list[str]) -> OrdinalCoder:
     """True medians (interpolated), most frequent category (ties by name), codes in sorted order, -1 for unseen."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot([], num, "feature", "value")
-    medians = {r["feature"]: r["quantile"] for r in exact_quantiles(long, ["feature"], "value", [0.5]).collect()}
+    medians = {r["feature"]: r["median"] for r in column_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], num, {"median": 0.5}).collect()}
     modes = {r["feature"]: r["value"] for r in top_categories(df.select(*cat).dropna(), cat, 1).collect()} if cat else {}
     index = None
     if cat:
         filled = df.fillna(modes)
         index = StringIndexer(inputCols=cat, outputCols=[f"{c}_ix" for c in cat], handleInvalid="keep", stringOrderType="alphabetAsc").fit(filled)
-    return OrdinalCoder({c: medians.get(c, 0.0) for c in num}, {c: modes[c] for c in cat}, index)
+    return OrdinalCoder({c: medians.get(c) or 0.0 for c in num}, {c: modes[c] for c in cat}, index)
 
 
 def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -93,10 +93,15 @@ def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, g
     return ranks.join(settle(known.unionByName(found)), keys)
 
 
-def mark_first(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, out: str, group_limit: int | None = None) -> DataFrame:
-    """Adds ``out``: is the row among the first ``k`` of its group in ``order``?  ``quota`` is (by..., k); no quota means none."""
+def mark_first(
+    df: DataFrame, by: list[str], order: list[str], quota: DataFrame, out: str, group_limit: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``out``: is the row among the first ``k`` of its group in ``order``?
+
+    ``quota`` is (by..., k); no quota means none.  ``sizes`` saves a count when the caller has it.
+    """
     limit = GROUP_LIMIT if group_limit is None else group_limit
-    sizes = group_sizes(df, by)
+    sizes = group_sizes(df, by) if sizes is None else sizes
     if largest(sizes) <= limit:
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         marked = df.withColumn("_pos", pos).join(quota.select(*by, "k"), by, "left")
@@ -107,9 +112,9 @@ def mark_first(df: DataFrame, by: list[str], order: list[str], quota: DataFrame,
     return df.join(cuts, by, "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, group_limit: int | None = None) -> DataFrame:
+def first_rows(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """The first ``k`` rows of each group in ``order``; ``quota`` is (by..., k)."""
-    return mark_first(df, by, order, quota, "_first", group_limit).where("_first").drop("_first")
+    return mark_first(df, by, order, quota, "_first", group_limit, sizes).where("_first").drop("_first")
 
 
 def running_sums(df: DataFrame, by: list[str], value: str, cols: list[str], descending: bool = False, group_limit: int | None = None) -> DataFrame:
@@ -160,6 +165,23 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     return joined.select(*by, "prob", (F.col("v_low") + step).alias("quantile"))
 
 
+def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], group_limit: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns: (by..., feature, one column per name in ``probs``).
+
+    Groups of a checked size need one wide aggregate; larger ones are unfolded
+    and searched rank by rank.
+    """
+    limit = GROUP_LIMIT if group_limit is None else group_limit
+    numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    if largest(group_sizes(numbers, by)) <= limit:
+        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+        wide = numbers.groupBy(*by).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
+        rows = [F.struct(F.lit(c).alias("feature"), *[F.get(c, F.lit(i)).alias(name) for i, name in enumerate(probs)]) for c in cols]
+        return wide.select(*by, F.inline(F.array(*rows)))
+    long = exact_quantiles(numbers.unpivot(list(by), cols, "feature", "value"), [*by, "feature"], "value", list(probs.values()), limit)
+    return long.groupBy(*by, "feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str, group_limit: int | None = None) -> DataFrame:
     """Rank of each row's value with ties averaged, from counts of distinct values."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))

@@ -25,16 +25,16 @@ def cap_earliest(df: DataFrame, by: list[str], order: list[str], n: int, group_l
     """Earliest ``n`` rows of each group, or of the table when ``by`` is empty."""
     if not by:
         return cap_earliest(whole(df), ["_all"], order, n, group_limit).drop("_all")
-    quota = df.select(*by).distinct().withColumn("k", F.lit(n))
-    return first_rows(df, by, order, settle(quota), group_limit)
+    sizes = group_sizes(df, by)
+    return first_rows(df, by, order, sizes.select(*by, F.lit(n).alias("k")), group_limit, sizes)
 
 
 def prefix(df: DataFrame, fraction: float, by: list[str], order: list[str], group_limit: int | None = None) -> DataFrame:
     """Earliest max(1, trunc(n*fraction)) rows of each group, or of the table when ``by`` is empty."""
     if not by:
         return prefix(whole(df), fraction, ["_all"], order, group_limit).drop("_all")
-    quota = group_sizes(df, by).select(*by, prefix_size(F.col("n_group"), fraction).alias("k"))
-    return first_rows(df, by, order, quota, group_limit)
+    sizes = group_sizes(df, by)
+    return first_rows(df, by, order, sizes.select(*by, prefix_size(F.col("n_group"), fraction).alias("k")), group_limit, sizes)
 
 
 def prefix_bucket(df: DataFrame, fractions: list[float], by: list[str], order: list[str], sizes: DataFrame, group_limit: int | None = None) -> DataFrame:

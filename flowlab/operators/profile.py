@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.clean import pct, safe_div, to_double
 from flowlab.functions.labels import attack_family, is_benign
-from flowlab.operators.order import exact_quantiles
+from flowlab.operators.order import column_quantiles
 from flowlab.schemas import CATEGORICAL
 
 LABEL_KEYS = ["scenario", "split", "label", "detailed_label", "label_phase", "label_binary"]
@@ -61,8 +61,7 @@ def split_summary(df: DataFrame) -> DataFrame:
 
 def pivot_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], group_limit: int | None = None) -> DataFrame:
     """Exact quantiles as named columns."""
-    long = exact_quantiles(df, by, value, list(probs.values()), group_limit)
-    return long.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
+    return column_quantiles(df, by, [value], probs, group_limit).drop("feature")
 
 
 QUALITY_PROBS = {"p00": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p100": 1.0}
@@ -216,8 +215,8 @@ def feature_summary(df: DataFrame, cols: list[str], by: str = "scenario", group_
     ])
     stats = wide.select(by, F.inline(F.array(*cols))).where("non_null_count > 0")
     stats = stats.withColumn("cv", F.try_divide(F.col("std"), F.abs("mean")))
-    long = usable.unpivot([by], cols, "feature", "value")
-    return stats.join(pivot_quantiles(long, [by, "feature"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95}, group_limit), [by, "feature"])
+    spans = column_quantiles(usable, [by], cols, {"q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95}, group_limit)
+    return stats.join(spans, [by, "feature"])
 
 
 def feature_shift(summary: DataFrame) -> DataFrame:

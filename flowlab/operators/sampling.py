@@ -22,9 +22,9 @@ def with_draw(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("_hash", hash_key(F.col(key), seed)).withColumn("_lead", hash_lead(F.col("_hash")))
 
 
-def draw(df: DataFrame, by: list[str], quota: DataFrame, key: str, seed: int, group_limit: int | None = None) -> DataFrame:
+def draw(df: DataFrame, by: list[str], quota: DataFrame, key: str, seed: int, group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``k`` pseudo-random rows of each group."""
-    return first_rows(with_draw(df, key, seed), by, DRAW, quota, group_limit).drop(*DRAW)
+    return first_rows(with_draw(df, key, seed), by, DRAW, quota, group_limit, sizes).drop(*DRAW)
 
 
 def share(n: Column, fraction: float, rounding: str = "even") -> Column:
@@ -36,8 +36,8 @@ def share(n: Column, fraction: float, rounding: str = "even") -> Column:
 def stratified_sample(df: DataFrame, by: list[str], fraction: float, key: str, seed: int, rounding: str = "even", group_limit: int | None = None) -> DataFrame:
     if fraction >= 1.0:
         return df
-    quota = group_sizes(df, by).select(*by, share(F.col("n_group"), fraction, rounding).alias("k"))
-    return draw(df, by, quota, key, seed, group_limit)
+    sizes = group_sizes(df, by)
+    return draw(df, by, sizes.select(*by, share(F.col("n_group"), fraction, rounding).alias("k")), key, seed, group_limit, sizes)
 
 
 def cap_stratified(df: DataFrame, n: int, label: str, key: str, seed: int, group_limit: int | None = None) -> DataFrame:
@@ -47,13 +47,13 @@ def cap_stratified(df: DataFrame, n: int, label: str, key: str, seed: int, group
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
     keep_one = min(round(n * (ones / max(ones + zeros, 1))), ones)
     keep = F.when(F.col(label) == 1, keep_one).otherwise(min(n - keep_one, zeros))
-    return draw(df, [label], sizes.select(label, keep.alias("k")), key, seed, group_limit)
+    return draw(df, [label], sizes.select(label, keep.alias("k")), key, seed, group_limit, sizes)
 
 
 def cap_random(df: DataFrame, n: int, key: str, seed: int, group_limit: int | None = None) -> DataFrame:
     one = df.withColumn("_all", F.lit(0))
-    quota = settle(one.limit(1).select("_all", F.lit(n).alias("k")))
-    return draw(one, ["_all"], quota, key, seed, group_limit).drop("_all")
+    sizes = group_sizes(one, ["_all"])
+    return draw(one, ["_all"], sizes.select("_all", F.lit(n).alias("k")), key, seed, group_limit, sizes).drop("_all")
 
 
 def sample_scan(df: DataFrame, n: int, key: str, seed: int, margin: float = 1.2, group_limit: int | None = None) -> DataFrame:
@@ -87,8 +87,9 @@ def label_quotas(counts: DataFrame, by: list[str], label: str, n: int) -> DataFr
 
 def label_preserving_sample(df: DataFrame, by: list[str], label: str, n: int, key: str, seed: int, group_limit: int | None = None) -> DataFrame:
     """About ``n`` rows per group that keep every label; a shortfall is filled from the rows left over."""
-    quotas = settle(label_quotas(group_sizes(df, [*by, label]), by, label, n))
-    marked = mark_first(with_draw(df, key, seed), [*by, label], DRAW, quotas.select(*by, label, "k"), "_kept", group_limit)
+    sizes = group_sizes(df, [*by, label])
+    quotas = settle(label_quotas(sizes, by, label, n))
+    marked = mark_first(with_draw(df, key, seed), [*by, label], DRAW, quotas.select(*by, label, "k"), "_kept", group_limit, sizes)
     short = settle(quotas.groupBy(*by).agg(F.max("top_up").alias("k")).where("k > 0"))
     chosen = marked.where("_kept").select(df.columns)
     if short.isEmpty():
@@ -114,7 +115,7 @@ def balance(df: DataFrame, label: str, key: str, seed: int, ratio: float = 1.0,
     small = min(counts.values())
     target = max(1, round(small * ratio))
     keep = F.when(F.col("n_group") == small, F.col("n_group")).otherwise(F.least(F.col("n_group"), F.lit(target)))
-    return draw(df, [label], sizes.select(label, keep.alias("k")), key, seed, group_limit)
+    return draw(df, [label], sizes.select(label, keep.alias("k")), key, seed, group_limit, sizes)
 
 
 def holdout(df: DataFrame, fraction: float, label: str, key: str, seed: int, on_empty: str = "skip", group_limit: int | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def holdout(df: DataFrame, fraction: float, label: str, key: str, seed: int, on_
     elif on_empty == "raise":
         if not sizes.where((k <= 0) | (k >= n)).isEmpty():
             raise ValueError("a class would be empty on one side of the split")
-    marked = mark_first(with_draw(df, key, seed), [label], DRAW, sizes.select(label, k.alias("k")), "_out", group_limit)
+    marked = mark_first(with_draw(df, key, seed), [label], DRAW, sizes.select(label, k.alias("k")), "_out", group_limit, sizes)
     return marked.withColumn("role", F.when(F.col("_out"), "holdout").otherwise("fit")).drop("_out", *DRAW)
 
 
