@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.schemas import CATEGORICAL, ENGINEERED, NUMERIC
+from flowlab.schemas import CATEGORICAL, NUMERIC
 
 NULL_TOKENS = ["-", "(empty)"]
 RATIO_CEILING = 1.0e6
@@ -31,8 +31,8 @@ def fill_missing(df: DataFrame, numeric: list[str], categorical: list[str], toke
 
 
 def clip(col: Column, low, high) -> Column:
-    """Bounds a value; null stays null (least/greatest alone would skip it)."""
-    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(low)), F.lit(high)))
+    """Bounds a value; null stays null (least/greatest would skip it, and generate more code)."""
+    return F.when(col < low, F.lit(low)).when(col > high, F.lit(high)).otherwise(col)
 
 
 def ratio_columns() -> dict[str, Column]:
@@ -52,12 +52,18 @@ def ratio_features(df: DataFrame) -> DataFrame:
 
 
 def clean_flows(df: DataFrame) -> DataFrame:
-    """Parsed strings to typed, filled, engineered columns in one projection chain."""
-    typed = null_tokens(df).withColumns({c: to_double(F.col(c).cast("string")) for c in NUMERIC})
-    typed = typed.withColumn("ts", to_double(F.col("ts").cast("string")))
-    filled = fill_missing(typed, NUMERIC, CATEGORICAL)
-    engineered = ratio_features(filled)
-    return engineered.withColumns({c: clip(F.col(c), 0.0, RATIO_CEILING) for c in ENGINEERED})
+    """Parsed strings to typed, filled, engineered columns.
+
+    Numbers need no token test of their own: a token does not parse, so it is
+    missing already.  Short expressions keep the generated stage within the
+    size that the JVM still compiles.
+    """
+    words = [c for c in (*CATEGORICAL, "label", "detailed_label") if c in df.columns]
+    filled = null_tokens(df, words).withColumns({
+        "ts": to_double(F.col("ts")), **{c: F.coalesce(to_double(F.col(c)), F.lit(0.0)) for c in NUMERIC},
+        **{c: F.coalesce(c, F.lit("unknown")) for c in CATEGORICAL},
+    })
+    return filled.withColumns({name: clip(ratio, 0.0, RATIO_CEILING) for name, ratio in ratio_columns().items()})
 
 
 def safe_div(top: Column, bottom: Column) -> Column:

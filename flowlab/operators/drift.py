@@ -82,7 +82,7 @@ DIFFICULTY_VARIABLES = [
 def difficulty_corr(joined: DataFrame, variables: list[str] = DIFFICULTY_VARIABLES, target: str = "difficulty") -> DataFrame:
     """Spearman correlation of scenario properties with difficulty, strongest first."""
     long = joined.select(target, *[F.col(v).cast("double").alias(v) for v in variables]).unpivot([target], variables, "variable", "value")
-    out = spearman(long, "value", target, ["variable"]).withColumnRenamed("spearman", "spearman_corr_with_difficulty")
+    out = spearman(settle(long), "value", target, ["variable"]).withColumnRenamed("spearman", "spearman_corr_with_difficulty")
     return out.orderBy(F.desc_nulls_last(F.abs("spearman_corr_with_difficulty")), "variable")
 
 

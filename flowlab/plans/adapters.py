@@ -40,11 +40,12 @@ def pick(number: Column, words: list[str]) -> Column:
 
 def flows_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed, uncleaned flow log: strings with null tokens."""
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = F.col("k")
     i = F.col("event_id")
     cents = F.round(F.col("value") * 100).cast("long").cast("string")
     family = F.when(F.col("event_type") == "error", "DDoS").when(F.col("event_type") == "signup", "C&C-HeartBeat")
-    return read(spark, sf, "events").select(
+    events = read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return events.select(
         i.alias("row_id"),
         F.expr("date_diff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6D").alias("ts"),
         F.concat(F.lit("CTU-Cap-"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias("scenario"),

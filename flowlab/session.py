@@ -20,6 +20,8 @@ def build_session(master: str = "local[8]", partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.aggregatePushdown", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM leaves larger methods interpreted; beyond this size Spark splits the stage instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

@@ -23,19 +23,26 @@ def scenario_from_path(path: Column) -> Column:
     return F.coalesce(near, far, folder(r"([^/]+)/[^/]+/[^/]*$"))
 
 
-def data_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    text = F.col(value)
-    return lines.where((F.trim(F.regexp_replace(text, "\\s+", " ")) != "") & ~text.startswith("#"))
-
-
 def tail_parts(tail: Column) -> Column:
     """Non-empty parts of the packed last field, split on runs of three or more blanks."""
     return F.filter(F.transform(F.split(F.trim(tail), r"\s{3,}"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def data_fields(value: Column) -> Column:
+    """The TAB fields of a data line in a one-element array; empty for comments, blank and short lines.
+
+    Exploding it drops the other lines and splits each line once: a filter on
+    the split fields would be pushed below the split and repeat it.
+    """
+    def usable(f: Column) -> Column:
+        return (F.size(f) >= MIN_FIELDS) & ~f[0].startswith("#") & F.exists(f, lambda x: F.trim(x) != "")
+
+    return F.filter(F.array(F.split(value, "\t")), usable)
+
+
 def parse_lines(lines: DataFrame, keep: list[str] = ("scenario",), value: str = "value") -> DataFrame:
     """TAB fields to named strings; lines with fewer than 21 fields are left out."""
-    parts = data_lines(lines, value).withColumn("_f", F.split(value, "\t")).where(F.size("_f") >= MIN_FIELDS)
+    parts = lines.select(*keep, F.explode(data_fields(F.col(value))).alias("_f"))
     packed = parts.withColumn("_t", tail_parts(F.col("_f")[20]))
     named = [F.col("_f")[i].alias(name) for i, name in enumerate(LOG_FIELDS)]
     tail = [F.coalesce(F.get("_t", F.lit(i)), F.lit("-")).alias(n) for i, n in enumerate(["tunnel_parents", "label", "detailed_label"])]
