@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.clean import f1, safe_div
-from flowlab.operators.order import running_sums
+from flowlab.operators.order import distinct_sizes, running_sums
 
 CELLS = ["tn", "fp", "fn", "tp"]
 
@@ -117,14 +117,16 @@ def _score_counts(df: DataFrame, by: list[str], y_true: str, score: str) -> Data
 
 def roc_auc(df: DataFrame, by: list[str], y_true: str = "y_true", score: str = "y_score", group_limit: int | None = None) -> DataFrame:
     """Mann-Whitney form over distinct scores; ties count one half; null on one-class groups."""
-    run = running_sums(_score_counts(df, by, y_true, score), by, score, ["neg"], group_limit=group_limit)
+    sizes = distinct_sizes(df, by, score)
+    run = running_sums(_score_counts(df, by, y_true, score), by, score, ["neg"], group_limit=group_limit, sizes=sizes)
     wins = F.sum(F.col("pos") * (F.col("run_neg") - F.col("neg") / 2.0))
     return run.groupBy(*by).agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, by: list[str], y_true: str = "y_true", score: str = "y_score", group_limit: int | None = None) -> DataFrame:
     """Sum of recall steps times precision, scores falling; null without positives."""
-    run = running_sums(_score_counts(df, by, y_true, score), by, score, ["pos", "neg"], descending=True, group_limit=group_limit)
+    sizes = distinct_sizes(df, by, score)
+    run = running_sums(_score_counts(df, by, y_true, score), by, score, ["pos", "neg"], descending=True, group_limit=group_limit, sizes=sizes)
     step = F.col("pos") * safe_div(F.col("run_pos"), F.col("run_pos") + F.col("run_neg"))
     return run.groupBy(*by).agg(F.try_divide(F.sum(step), F.sum("pos").cast("double")).alias("pr_auc"))
 

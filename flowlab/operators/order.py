@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlab.session import settle
+from flowlab.session import cut_lineage, settle
 
 GROUP_LIMIT = 2_000_000
 SLICES = 4096
@@ -90,7 +90,7 @@ def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, g
     known = state.where(one_key).select(*keys, *[F.col(f"lo_{c}").alias(f"cut_{c}") for c in order])
     placed = candidates(state.where(~one_key)).withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     found = placed.where("pos = k").select(*keys, *[F.col(c).alias(f"cut_{c}") for c in order])
-    return ranks.join(settle(known.unionByName(found)), keys)
+    return settle(ranks.join(known.unionByName(found), keys))
 
 
 def mark_first(
@@ -117,18 +117,30 @@ def first_rows(df: DataFrame, by: list[str], order: list[str], quota: DataFrame,
     return mark_first(df, by, order, quota, "_first", group_limit, sizes).where("_first").drop("_first")
 
 
-def running_sums(df: DataFrame, by: list[str], value: str, cols: list[str], descending: bool = False, group_limit: int | None = None) -> DataFrame:
+def distinct_sizes(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """About how many distinct values each group holds: one scan with small sketches, no shuffle of the values.
+
+    Good enough to choose between two exact ways.
+    """
+    return settle(df.groupBy(*by).agg(F.approx_count_distinct(value).alias("n_group")))
+
+
+def running_sums(
+    df: DataFrame, by: list[str], value: str, cols: list[str], descending: bool = False, group_limit: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
     """Running totals ``run_<col>`` over the distinct ``value``s of each group.
 
     ``df`` holds one row per (by, value).  Large groups are cut into slices of
     even size at settled quantiles; slice totals give each slice its offset.
+    The four reads of that way start from one checkpoint of ``df``.
     """
     limit = GROUP_LIMIT if group_limit is None else group_limit
-    sizes = group_sizes(df, by)
+    sizes = group_sizes(df, by) if sizes is None else sizes
     way = F.col(value).desc() if descending else F.col(value).asc()
     over = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
     if largest(sizes) <= limit:
         return df.select("*", *[F.sum(c).over(over).alias(f"run_{c}") for c in cols])
+    df = cut_lineage(df)
     probes = min(10_000, max(2, 2 * largest(sizes) // limit))
     marks = [i / probes for i in range(1, probes)]
     bounds = settle(df.groupBy(*by).agg(F.percentile_approx(value, marks, 100 * probes).alias("marks")))
@@ -180,11 +192,3 @@ def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[
         return wide.select(*by, F.inline(F.array(*rows)))
     long = exact_quantiles(numbers.unpivot(list(by), cols, "feature", "value"), [*by, "feature"], "value", list(probs.values()), limit)
     return long.groupBy(*by, "feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
-
-
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str, group_limit: int | None = None) -> DataFrame:
-    """Rank of each row's value with ties averaged, from counts of distinct values."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_sums(counts, by, value, ["_c"], group_limit=group_limit)
-    ranked = ranked.select(*by, value, (F.col("run__c") - (F.col("_c") - 1) / 2).alias(out))
-    return df.join(ranked, [*by, value])

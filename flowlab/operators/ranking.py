@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.clean import safe_div
-from flowlab.operators.order import average_ranks
+from flowlab.operators.order import running_sums
+from flowlab.session import settle
 
 
 def normalize_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -74,10 +75,11 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], group_limit: int | No
     if not by:
         return spearman(df.withColumn("_all", F.lit(0)), x, y, ["_all"], group_limit).drop("_all")
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    near = settle(known.groupBy(*by).agg(F.approx_count_distinct("_x").alias("_x"), F.approx_count_distinct("_y").alias("_y")))
     # Equal pairs are counted once, so the rank joins see distinct pairs only.
     known = known.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    rx = _weighted_ranks(known, by, "_x", group_limit).withColumnRenamed("_rank", "_rx")
-    ry = _weighted_ranks(known, by, "_y", group_limit).withColumnRenamed("_rank", "_ry")
+    rx = _weighted_ranks(known, by, "_x", group_limit, near).withColumnRenamed("_rank", "_rx")
+    ry = _weighted_ranks(known, by, "_y", group_limit, near).withColumnRenamed("_rank", "_ry")
     ranked = known.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
     n = F.sum("_n")
     # Ranks are centred on (n+1)/2, known from the group size, before they are multiplied.
@@ -88,16 +90,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], group_limit: int | No
     return ranked.groupBy(*by).agg(n.alias("n_rows"), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)).alias("spearman"))
 
 
-def _weighted_ranks(pairs: DataFrame, by: list[str], value: str, group_limit: int | None) -> DataFrame:
-    from flowlab.operators.order import running_sums
-
+def _weighted_ranks(pairs: DataFrame, by: list[str], value: str, group_limit: int | None, near: DataFrame) -> DataFrame:
+    """Average rank of each value: its running count less half of its own ties."""
     counts = pairs.groupBy(*by, value).agg(F.sum("_n").alias("_c"))
-    run = running_sums(counts, by, value, ["_c"], group_limit=group_limit)
+    run = running_sums(counts, by, value, ["_c"], group_limit=group_limit, sizes=near.select(*by, F.col(value).alias("n_group")))
     return run.select(*by, value, (F.col("run__c") - (F.col("_c") - 1) / 2).alias("_rank"))
-
-
-def rank_columns(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Average-rank columns rank_<col> beside the values."""
-    for c in cols:
-        df = average_ranks(df, by, c, f"rank_{c}")
-    return df

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import align as A
 from flowlab.operators import models as E
-from flowlab.plans.adapters import FRACTIONS, TEST, VAL, flows, preds, r6, unsw_like, zeek_lines
+from flowlab.plans.adapters import FRACTIONS, SQL_SPLIT, TEST, VAL, flows, flows_raw, preds, r6, split_of, unsw_like, zeek_lines
 from flowlab.plans.registry import query
 from flowlab.schemas import CATEGORICAL, ENGINEERED, NUMERIC
 from flowlab.session import work_path
@@ -28,7 +28,11 @@ def _rf(train, **params):
     return E.fit_rf(train, NUM, CATEGORICAL, "label_binary", **(SMALL_RF | params))
 
 
-@query("e01_onehot_features")
+_hot = " + ".join(f"({c} <> 0)::INT" for c in NUM) + " + " + " + ".join(f"({c} IN (SELECT {c} FROM flows WHERE split = 'train'))::INT" for c in CATEGORICAL)
+
+
+@query("e01_onehot_features", f"""
+SELECT split, count(*) AS n_rows, {len(NUM)} + (SELECT count(DISTINCT proto) + count(DISTINCT service) + count(DISTINCT conn_state) FROM flows WHERE split = 'train') AS width, round(avg({_hot}), 6) AS mean_filled FROM flows GROUP BY split""")
 def e01(spark, sf):
     """Vector width and filled slots per split, with the encoder learned on train."""
     from pyspark.ml import Pipeline
@@ -39,21 +43,29 @@ def e01(spark, sf):
     v = vector_to_array("features")
     encoded = model.transform(flows(spark, sf)).select("split", v.alias("v"))
     filled = F.size(F.filter("v", lambda x: x != 0))
-    return encoded.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("v")).alias("width"), F.avg(filled).alias("mean_filled"))
+    return encoded.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("v")).cast("long").alias("width"), F.round(F.avg(filled), 6).alias("mean_filled"))
+
+
+_gaps = f"SELECT row_id, {SQL_SPLIT} AS split, CASE WHEN proto = 'udp' AND scenario = 'CTU-Cap-09' THEN 'sctp' ELSE proto END AS proto, nullif(service, '-') AS service, TRY_CAST(duration AS DOUBLE) AS duration FROM flows_raw"
 
 
-@query("e02_ordinal_features")
+@query("e02_ordinal_features", f"""
+WITH gaps AS ({_gaps}), train AS (SELECT * FROM gaps WHERE split = 'train'), fill AS (SELECT quantile_cont(duration, 0.5) AS d, (SELECT service FROM train WHERE service IS NOT NULL GROUP BY service ORDER BY count(*) DESC, service LIMIT 1) AS s FROM train),
+protos AS (SELECT proto, row_number() OVER (ORDER BY proto) - 1 AS code FROM (SELECT DISTINCT proto FROM train) x), services AS (SELECT service, row_number() OVER (ORDER BY service) - 1 AS code FROM (SELECT DISTINCT coalesce(service, s) AS service FROM train, fill) x)
+SELECT row_id, coalesce(p.code, -1)::DOUBLE AS proto_code, coalesce(v.code, -1)::DOUBLE AS service_code, round(coalesce(duration, d), 6) AS duration FROM gaps CROSS JOIN fill LEFT JOIN protos p ON p.proto = gaps.proto LEFT JOIN services v ON v.service = coalesce(gaps.service, s)""")
 def e02(spark, sf):
-    """Codes and filled numbers of the aligned second domain, learned on the first one (unseen words become -1)."""
+    """Uncleaned flows with gaps: medians, modes and codes learned on train; a word only the test part holds becomes -1."""
     from pyspark.ml.functions import vector_to_array
 
-    names = list(A.mapping("iot23").values())
-    cat, num = names[:2], names[2:]
-    first = A.align(flows(spark, sf), A.mapping("iot23"), ["label_binary"])
-    coder = E.fit_ordinal(first, num, cat)
-    second = coder.transform(A.align(unsw_like(spark, sf), A.mapping("unsw"), ["label"]))
-    code = vector_to_array("features")
-    return second.select("label", code[0].alias("protocol_code"), code[1].alias("service_code")).groupBy("label", "protocol_code", "service_code").agg(F.count(F.lit(1)).alias("n_rows"))
+    from flowlab.functions.clean import null_tokens, to_double
+
+    raw = null_tokens(flows_raw(spark, sf), ["service"]).withColumns({
+        "split": split_of(F.col("scenario")), "duration": to_double(F.col("duration")),
+        "proto": F.when((F.col("proto") == "udp") & (F.col("scenario") == "CTU-Cap-09"), "sctp").otherwise(F.col("proto")),
+    })
+    coder = E.fit_ordinal(raw.where("split = 'train'"), ["duration"], ["proto", "service"])
+    v = vector_to_array("features")
+    return coder.transform(raw).select("row_id", v[0].alias("proto_code"), v[1].alias("service_code"), F.round(v[2], 6).alias("duration"))
 
 
 @query("e03_random_forest")
