@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.operators.profile import one_row
 from flowlab.operators.ranking import pearson, spearman
 from flowlab.session import settle
 
@@ -60,12 +61,11 @@ def mean_js(profile: DataFrame, by: str = "scenario", key: str = "label", value:
     pairs = left.join(right, (left[key] == right[key]) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(
         ((F.sum(common) + (1 - F.sum("p")) + (1 - F.sum("q"))) / 2).alias("js")
     )
-    met = pairs.agg(F.count(F.lit(1)).alias("met"), F.coalesce(F.sum("js"), F.lit(0.0)).alias("total")).withColumn("_k", F.lit(0))
-    sizes = p.agg(n.alias("n_scenarios"), F.count_distinct(key).alias("n_labels")).withColumn("_k", F.lit(0))
+    met = pairs.agg(F.count(F.lit(1)).alias("met"), F.coalesce(F.sum("js"), F.lit(0.0)).alias("total"))
+    sizes = p.agg(n.alias("n_scenarios"), F.count_distinct(key).alias("n_labels"))
     all_pairs = F.col("n_scenarios") * (F.col("n_scenarios") - 1) / 2
-    return sizes.join(met, "_k").select(
-        F.coalesce(F.try_divide(F.col("total") + all_pairs - F.col("met"), all_pairs), F.lit(0.0)).alias("mean_pairwise_js_divergence"), "n_scenarios", "n_labels"
-    )
+    found, total = one_row(met, ["met", "total"]).values()
+    return sizes.select(F.coalesce(F.try_divide(total + all_pairs - found, all_pairs), F.lit(0.0)).alias("mean_pairwise_js_divergence"), "n_scenarios", "n_labels")
 
 
 def label_profile(counts: DataFrame) -> DataFrame:

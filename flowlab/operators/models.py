@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.clean import fill_missing
 from flowlab.operators.metrics import best_threshold, cell_counts, confusion, metrics_fixed, metrics_present, threshold_sweep
-from flowlab.operators.order import column_quantiles
+from flowlab.operators.order import column_quantiles, whole
 from flowlab.operators.prefix import latency, prefix_metrics
 from flowlab.operators.profile import class_counts, top_categories
 from flowlab.operators.sampling import balance, group_split, holdout, stratified_sample
@@ -69,7 +69,7 @@ class OrdinalCoder:
 
 def fit_ordinal(df: DataFrame, num: list[str], cat: list[str]) -> OrdinalCoder:
     """True medians (interpolated), most frequent category (ties by name), codes in sorted order, -1 for unseen."""
-    medians = {r["feature"]: r["median"] for r in column_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], num, {"median": 0.5}).collect()}
+    medians = {r["feature"]: r["median"] for r in column_quantiles(whole(df), ["_all"], num, {"median": 0.5}).collect()}
     modes = {r["feature"]: r["value"] for r in top_categories(df.select(*cat).dropna(), cat, 1).collect()} if cat else {}
     index = None
     if cat:

@@ -20,6 +20,12 @@ from flowlab.session import cut_lineage, settle
 GROUP_LIMIT = 2_000_000
 SLICES = 4096
 NULLS_LAST = 1.0e300
+WHOLE = "_all"
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """One group for the whole table; its single cut key then becomes a plain filter."""
+    return df.withColumn(WHOLE, F.lit(0))
 
 
 def ts_key(ts: str = "ts") -> Column:
@@ -104,10 +110,16 @@ def mark_first(
     sizes = group_sizes(df, by) if sizes is None else sizes
     if largest(sizes) <= limit:
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        if by == [WHOLE]:
+            return df.withColumn(out, pos <= (quota.agg(F.max("k")).first()[0] or 0))
         marked = df.withColumn("_pos", pos).join(quota.select(*by, "k"), by, "left")
         return marked.select(*df.columns, (F.col("_pos") <= F.coalesce("k", F.lit(0))).alias(out))
     ranks = quota.join(sizes, by).select(*by, F.lit(0).alias("tag"), F.least("k", "n_group").alias("k"))
-    cuts = cut_keys(df, by, order, settle(ranks), limit).drop("tag", "k").withColumn("_known", F.lit(True))
+    cuts = cut_keys(df, by, order, settle(ranks), limit).drop("tag", "k")
+    if by == [WHOLE]:
+        bound = cuts.first()
+        return df.withColumn(out, F.lit(False) if bound is None else ~key_after(order, [F.lit(bound[f"cut_{c}"]) for c in order]))
+    cuts = cuts.withColumn("_known", F.lit(True))
     inside = F.col("_known").isNotNull() & ~key_after(order, [F.col(f"cut_{c}") for c in order])
     return df.join(cuts, by, "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
 

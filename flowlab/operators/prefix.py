@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.operators.metrics import CELLS, cell_counts, metrics_present
-from flowlab.operators.order import GROUP_LIMIT, cut_keys, first_rows, group_sizes, key_after, largest
+from flowlab.operators.order import GROUP_LIMIT, cut_keys, first_rows, group_sizes, key_after, largest, whole
 from flowlab.session import settle
 
 
@@ -16,11 +16,6 @@ def prefix_size(n: Column, fraction) -> Column:
     return F.greatest(F.lit(1), F.floor(n * f)).cast("long")
 
 
-def whole(df: DataFrame) -> DataFrame:
-    """One group for the whole table."""
-    return df.withColumn("_all", F.lit(0))
-
-
 def cap_earliest(df: DataFrame, by: list[str], order: list[str], n: int, group_limit: int | None = None) -> DataFrame:
     """Earliest ``n`` rows of each group, or of the table when ``by`` is empty."""
     if not by:

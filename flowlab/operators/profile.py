@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.clean import pct, safe_div, to_double
 from flowlab.functions.labels import attack_family, is_benign
-from flowlab.operators.order import column_quantiles
+from flowlab.operators.order import column_quantiles, whole
 from flowlab.schemas import CATEGORICAL
 
 LABEL_KEYS = ["scenario", "split", "label", "detailed_label", "label_phase", "label_binary"]
@@ -23,6 +23,12 @@ def count_rows(name: str = "n_rows") -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
+def one_row(df: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """The cells of a one-row table as scalar columns for another table."""
+    row = df.select(F.struct(*cols)).scalar()
+    return {c: row[c] for c in cols}
+
+
 def label_stats(df: DataFrame) -> DataFrame:
     return df.groupBy(*LABEL_KEYS).agg(count_rows("count"))
 
@@ -82,8 +88,8 @@ def quality_report(df: DataFrame, group_limit: int | None = None) -> DataFrame:
     combos = df.groupBy("scenario", *CATEGORICAL).agg(count_rows("n"), *[F.count_if(t).alias(c) for c, t in tests.items()])
     kinds = [(F.count_distinct(c) + F.max(F.col(c).isNull().cast("long"))).alias(f"cardinality_{c}") for c in CATEGORICAL]
     counts = combos.agg(F.sum("n").alias("n_rows_total"), F.count_distinct("scenario").alias("n_scenarios_total"), *[F.sum(c).alias(c) for c in tests], *kinds)
-    spans = pivot_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], "duration", QUALITY_PROBS, group_limit)
-    return counts.withColumn("_all", F.lit(0)).join(spans, "_all").drop("_all")
+    spans = pivot_quantiles(whole(df), ["_all"], "duration", QUALITY_PROBS, group_limit)
+    return counts.withColumns(one_row(spans, list(QUALITY_PROBS)))
 
 
 def numeric_describe(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -126,11 +132,10 @@ def data_summary(df: DataFrame, group_limit: int | None = None) -> DataFrame:
     parts = {"benign_flows": "benign_percentage", "malicious_flows": "malicious_percentage", "train_flows": "train_percentage", "val_flows": "val_percentage",
              "test_flows": "test_percentage", "zero_duration_flows": "zero_duration_percentage", "missing_timestamps": "missing_timestamp_percentage"}
     flows = flows.withColumns({name: F.round(pct(F.col(c), F.col("total_flows")), 4) for c, name in parts.items()})
-    spans = pivot_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], "duration", {"duration_median": 0.5, "duration_p95": 0.95, "duration_p99": 0.99}, group_limit)
+    spans = pivot_quantiles(whole(df), ["_all"], "duration", {"duration_median": 0.5, "duration_p95": 0.95, "duration_p99": 0.99}, group_limit)
     stats = df.agg(F.avg("duration").alias("duration_mean"), F.stddev_samp("duration").alias("duration_std"))
-    one = flows.withColumn("_all", F.lit(0)).join(spans, "_all").join(stats.withColumn("_all", F.lit(0)), "_all").drop("_all")
-    durations = [c for c in one.columns if c.startswith("duration_")]
-    one = one.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in durations})
+    durations = one_row(spans, ["duration_median", "duration_p95", "duration_p99"]) | one_row(stats, ["duration_mean", "duration_std"])
+    one = flows.withColumns({c: F.round(F.coalesce(v, F.lit(0.0)), 6) for c, v in durations.items()})
     return one.select([F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "metric", "value")
 
 
@@ -167,8 +172,8 @@ def split_statistics(df: DataFrame, group_limit: int | None = None) -> DataFrame
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """Counts and percent of all rows given."""
     counts = df.groupBy(F.coalesce(F.col(col), F.lit("unknown")).alias(col)).agg(count_rows("count"))
-    total = counts.agg(F.sum("count").alias("_n"))
-    return counts.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k").select(col, "count", F.round(pct(F.col("count"), F.col("_n")), 4).alias("percentage"))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select(col, "count", F.round(pct(F.col("count"), total), 4).alias("percentage"))
 
 
 def attack_type_counts(df: DataFrame, label: str = "detailed_label") -> DataFrame:
@@ -198,10 +203,8 @@ def scenario_stats(df: DataFrame, label: str = "detailed_label", binary: str = "
 
 def global_labels(df: DataFrame, label: str = "detailed_label") -> DataFrame:
     counts = df.groupBy(F.col(label).alias("label")).agg(count_rows("flow_count"))
-    total = counts.agg(F.sum("flow_count").alias("_n")).withColumn("_k", F.lit(0))
-    return counts.withColumn("_k", F.lit(0)).join(total, "_k").select(
-        "label", attack_family(F.col("label")).alias("attack_family"), "flow_count", (F.col("flow_count") / F.col("_n")).alias("global_ratio")
-    )
+    total = counts.agg(F.sum("flow_count")).scalar()
+    return counts.select("label", attack_family(F.col("label")).alias("attack_family"), "flow_count", (F.col("flow_count") / total).alias("global_ratio"))
 
 
 def feature_summary(df: DataFrame, cols: list[str], by: str = "scenario", group_limit: int | None = None) -> DataFrame:
@@ -238,11 +241,9 @@ def label_shift(df: DataFrame, label: str = "detailed_label") -> DataFrame:
     label grid is built.
     """
     ratios = attack_type_counts(df, label)
-    n = F.lit(1)
-    scenarios = ratios.select("scenario").distinct().agg(F.count(n).alias("n")).withColumn("_k", F.lit(0))
-    ratios = ratios.withColumn("_k", F.lit(0)).join(scenarios, "_k").withColumn("r", F.col("ratio_within_scenario"))
+    ratios = ratios.withColumns({"r": F.col("ratio_within_scenario"), "n": ratios.agg(F.count_distinct("scenario")).scalar()})
     means = ratios.groupBy("label").agg((F.sum("r") / F.first("n")).alias("m"))
-    present, m = F.count(n), F.first("m")
+    present, m = F.count(F.lit(1)), F.first("m")
     absent = F.first("n") - present
     spread = F.sqrt((F.sum(F.pow(F.col("r") - F.col("m"), 2)) + absent * m * m) / F.first("n"))
     lowest = F.when(absent > 0, 0.0).otherwise(F.min("r"))

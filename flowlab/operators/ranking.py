@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.clean import safe_div
-from flowlab.operators.order import running_sums
+from flowlab.operators.order import running_sums, whole
 from flowlab.session import settle
 
 
@@ -73,7 +73,7 @@ def pearson(x: Column, y: Column) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str], group_limit: int | None = None) -> DataFrame:
     """Pearson correlation of average ranks over rows where both sides are known."""
     if not by:
-        return spearman(df.withColumn("_all", F.lit(0)), x, y, ["_all"], group_limit).drop("_all")
+        return spearman(whole(df), x, y, ["_all"], group_limit).drop("_all")
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     near = settle(known.groupBy(*by).agg(F.approx_count_distinct("_x").alias("_x"), F.approx_count_distinct("_y").alias("_y")))
     # Equal pairs are counted once, so the rank joins see distinct pairs only.

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.order import first_rows, group_sizes, hash_key, hash_lead, mark_first
+from flowlab.operators.order import first_rows, group_sizes, hash_key, hash_lead, mark_first, whole
 from flowlab.session import settle
 
 DRAW = ["_lead", "_hash"]
@@ -51,7 +51,7 @@ def cap_stratified(df: DataFrame, n: int, label: str, key: str, seed: int, group
 
 
 def cap_random(df: DataFrame, n: int, key: str, seed: int, group_limit: int | None = None) -> DataFrame:
-    one = df.withColumn("_all", F.lit(0))
+    one = whole(df)
     sizes = group_sizes(one, ["_all"])
     return draw(one, ["_all"], sizes.select("_all", F.lit(n).alias("k")), key, seed, group_limit, sizes).drop("_all")
 

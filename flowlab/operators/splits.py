@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.operators.profile import one_row
+
 
 def loso_folds(df: DataFrame, group: str = "scenario", label: str = "label_binary") -> DataFrame:
     """Sizes of every leave-one-group-out fold: the training side is the total less the held-out group."""
     cells = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col(label) == 1).alias("n_test_attack"))
-    total = cells.agg(F.count(F.lit(1)).alias("g"), F.sum("n_test").alias("n"), F.sum("n_test_attack").alias("a")).withColumn("_k", F.lit(0))
-    return cells.withColumn("_k", F.lit(0)).join(total, "_k").select(
-        F.concat(F.lit("loso_"), group).alias("fold_name"), F.col(group).alias("test_group"), "n_test", "n_test_attack", (F.col("n") - F.col("n_test")).alias("n_train"),
-        (F.col("a") - F.col("n_test_attack")).alias("n_train_attack"), (F.col("g") - 1).alias("n_train_groups"),
+    total = one_row(cells.agg(F.count(F.lit(1)).alias("g"), F.sum("n_test").alias("n"), F.sum("n_test_attack").alias("a")), ["g", "n", "a"])
+    return cells.select(
+        F.concat(F.lit("loso_"), group).alias("fold_name"), F.col(group).alias("test_group"), "n_test", "n_test_attack", (total["n"] - F.col("n_test")).alias("n_train"),
+        (total["a"] - F.col("n_test_attack")).alias("n_train_attack"), (total["g"] - 1).alias("n_train_groups"),
     )
 
 
@@ -25,10 +27,11 @@ def loao_folds(df: DataFrame, kind: str = "attack_cat", benign: str = "Normal")
     """Sizes of every leave-one-attack-out fold; benign rows are on both sides."""
     cells = df.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     is_benign = F.col("kind") == benign
-    total = cells.agg(F.sum(F.when(is_benign, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~is_benign, F.col("n")).otherwise(0)).alias("a")).withColumn("_k", F.lit(0))
-    return cells.where(~is_benign).withColumn("_k", F.lit(0)).join(total, "_k").select(
-        F.col("kind").alias("held_out_attack"), (F.col("b") + F.col("a") - F.col("n")).alias("n_train"), (F.col("a") - F.col("n")).alias("n_train_attack"),
-        (F.col("b") + F.col("n")).alias("n_test"), F.col("n").alias("n_test_attack"), F.col("b").alias("n_benign"),
+    total = cells.agg(F.sum(F.when(is_benign, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~is_benign, F.col("n")).otherwise(0)).alias("a"))
+    b, a = one_row(total, ["b", "a"]).values()
+    return cells.where(~is_benign).select(
+        F.col("kind").alias("held_out_attack"), (b + a - F.col("n")).alias("n_train"), (a - F.col("n")).alias("n_train_attack"),
+        (b + F.col("n")).alias("n_test"), F.col("n").alias("n_test_attack"), b.alias("n_benign"),
     )
 
 
