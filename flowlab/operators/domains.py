@@ -80,6 +80,16 @@ def unsw_domains(counts: DataFrame, min_rows: int = 1000, min_attack: int = 100,
     }).select(DOMAIN_COLUMNS)
 
 
+def domain_rows(df: DataFrame, registry: DataFrame, groupings: list[str], split: str = "split") -> DataFrame:
+    """Rows beside the domains they belong to: one equi-join per grouping column, so a row may appear under several domains."""
+    parts = []
+    for g in groupings:
+        ids = registry.where(F.col("grouping") == g).select(F.col("group_value").alias("_value"), F.col("split").alias("_split"), "domain_id")
+        hit = (F.trim(F.coalesce(F.col(g).cast("string"), F.lit("missing"))) == F.col("_value")) & (F.col(split) == F.col("_split"))
+        parts.append(df.join(ids, hit).drop("_value", "_split"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def domain_pairs(domains: DataFrame) -> DataFrame:
     """Every train source of one dataset with every held-out target of the other, both directions.
 

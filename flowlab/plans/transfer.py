@@ -10,6 +10,7 @@ from flowlab.operators import domains as K
 from flowlab.operators import joins as J
 from flowlab.operators import profile as P
 from flowlab.operators import runs as R
+from flowlab.operators import sampling as H
 from flowlab.operators.prefix import first_tp, latency
 from flowlab.operators.stability import compatibility, importance_summary
 from flowlab.plans.adapters import FRACTIONS, METRICS, SQL_SPLIT, flows, importances, importances_b, pair_runs, pairs_meta, preds, r6, runs, sql_r6, unsw_like
@@ -211,6 +212,25 @@ def k03(spark, sf):
 table("v01_rows", "SELECT scenario, orig_bytes AS o, nullif(duration, '-') AS duration, nullif(label, '-') AS label FROM flows_raw")
 
 
+table("pool_caps", """
+SELECT domain_id, CASE WHEN cnt = 1 THEN 301 ELSE fl + CASE WHEN row_number() OVER (PARTITION BY grouping, split ORDER BY raw - fl DESC, n_rows DESC, domain_id DESC) <= 301 - sum(fl) OVER (PARTITION BY grouping, split) THEN 1 ELSE 0 END END AS k
+FROM (SELECT *, floor(raw) AS fl FROM (SELECT *, 301 * (n_rows::DOUBLE / sum(n_rows) OVER (PARTITION BY grouping, split)) AS raw, count(*) OVER (PARTITION BY grouping, split) AS cnt FROM unsw_registry) a) b""")
+table("pool_rows", """
+SELECT u.id, u.label, r.domain_id FROM unsw_split u JOIN unsw_registry r ON r.grouping = 'proto' AND r.group_value = trim(u.proto) AND r.split = u.split
+UNION ALL SELECT u.id, u.label, r.domain_id FROM unsw_split u JOIN unsw_registry r ON r.grouping = 'service' AND r.group_value = trim(u.service) AND r.split = u.split""")
+
+
+@query("h13_group_pools", """
+SELECT p.domain_id, id, label FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY md5(concat(CAST(id AS VARCHAR), ':42'))) AS rn FROM pool_rows) p JOIN pool_caps c ON p.domain_id = c.domain_id WHERE rn <= k""")
+def h13_groups(spark, sf):
+    """Second-domain pools: one cap per grouping and split, apportioned over its domains, all drawn in one job."""
+    rows = unsw_split(spark, sf)
+    reg = K.unsw_domains(P.group_counts(rows, ["proto", "service"]), 50, 10, 10, 3)
+    caps = H.allocate_caps(reg.withColumn("cap", F.lit(301)), ["grouping", "split"], "n_rows", "cap").select("domain_id", F.col("allocated").alias("k"))
+    pools = K.domain_rows(rows.select("id", "label", "proto", "service", "split"), reg, ["proto", "service"])
+    return H.load_pool(pools, "domain_id", caps, "id", 42).select("domain_id", "id", "label")
+
+
 @query("v01_input_contract", """
 SELECT * FROM (SELECT 'null_duration' AS violation, count(*) FILTER (WHERE duration IS NULL) AS n_rows FROM v01_rows UNION ALL SELECT 'null_label', count(*) FILTER (WHERE label IS NULL) FROM v01_rows
 UNION ALL SELECT 'repeated_key', coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM v01_rows GROUP BY scenario, o HAVING count(*) > 1) d) v WHERE n_rows > 0""")
