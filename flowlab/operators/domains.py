@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.clean import slugify
 from flowlab.functions.labels import scenario_family
-from flowlab.session import values
+from flowlab.session import settle, values
 
 
 def to_filter_json(dataset: Column, path: Column, column: Column, value: Column) -> Column:
@@ -81,8 +81,12 @@ def unsw_domains(counts: DataFrame, min_rows: int = 1000, min_attack: int = 100,
 
 
 def domain_rows(df: DataFrame, registry: DataFrame, groupings: list[str], split: str = "split") -> DataFrame:
-    """Rows beside the domains they belong to: one equi-join per grouping column, so a row may appear under several domains."""
-    parts = []
+    """Rows beside the domains they belong to: one equi-join per grouping column, so a row may appear under several domains.
+
+    The registry is settled first: rows are matched to a broadcast of checked
+    size, so a group value held by a third of all rows is not shuffled.
+    """
+    registry, parts = settle(registry), []
     for g in groupings:
         ids = registry.where(F.col("grouping") == g).select(F.col("group_value").alias("_value"), F.col("split").alias("_split"), "domain_id")
         hit = (F.trim(F.coalesce(F.col(g).cast("string"), F.lit("missing"))) == F.col("_value")) & (F.col(split) == F.col("_split"))

@@ -11,8 +11,8 @@ from flowlab.session import settle
 
 
 def normalize_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Share of the group total, with group totals joined from a pre-aggregate."""
-    totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
+    """Share of the group total; totals are aggregated and settled first, so rows of a large group stay where they are."""
+    totals = settle(df.groupBy(*by).agg(F.sum(value).alias("_total")))
     return df.join(totals, by).withColumn(f"{value}_norm", F.col(value) / (F.col("_total") + 1e-12)).drop("_total")
 
 
