@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from flowlab.session import cut_lineage, settle
 
 GROUP_LIMIT = 2_000_000
+CANDIDATES = 20_000
 SLICES = 4096
 NULLS_LAST = 1.0e300
 WHOLE = "_all"
@@ -61,41 +62,48 @@ def key_after(order: list[str], cut: list[Column]) -> Column:
 
 
 def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, group_limit: int | None = None, slices: int | None = None) -> DataFrame:
-    """Order key of the k-th row: ``ranks`` (by..., tag, k) -> (by..., tag, k, cut_<order>...)."""
-    group_limit = GROUP_LIMIT if group_limit is None else group_limit
+    """Order key of the k-th row: ``ranks`` (by..., tag, k) -> (by..., tag, k, cut_<order>...).
+
+    The search keeps, per wanted rank, the span of keys that still holds it.
+    Ranks with the same span share one histogram, so a pass over the rows costs
+    the same for one rank as for many.
+    """
+    few = min(GROUP_LIMIT if group_limit is None else group_limit, CANDIDATES)
     slices = SLICES if slices is None else slices
     keys = [*by, "tag"]
     numeric = [c for c in order if isinstance(df.schema[c].dataType, T.NumericType)]
     rows = df.select(*by, *order)
-    spans = [f(c).alias(f"{p}_{c}") for c in order for p, f in (("lo", F.min), ("hi", F.max))]
-    state = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *spans).join(ranks, by)
-    state = settle(state.where("k >= 1 and k <= n"))
-
-    def candidates(live: DataFrame) -> DataFrame:
-        inside = [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in order]
-        return rows.join(live, by).where(reduce(lambda a, b: a & b, inside))
-
-    for level, name in enumerate(numeric):
+    measures = [f(c).alias(f"{p}_{c}") for c in order for p, f in (("lo", F.min), ("hi", F.max))]
+    span = [f"{p}_{c}" for c in order for p in ("lo", "hi")]
+    state = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *measures).join(ranks, by)
+    state = settle(state.where("k >= 1 and k <= n").select(*keys, "k", "n", *span))
+
+    def shared(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows inside the distinct spans of ``live``, and which span each wanted rank looks into."""
+        spans = settle(live.select(*by, *span).distinct().withColumn("span", F.monotonically_increasing_id()))
+        inside = reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in order])
+        return rows.join(spans, by).where(inside), live.join(spans, [*by, *span]).select(*keys, "k", "span")
+
+    for name in numeric:
         fixed = [F.col(f"lo_{c}") == F.col(f"hi_{c}") for c in order[: order.index(name)]]
-        open_ = reduce(lambda a, b: a & b, fixed, (F.col("n") > group_limit) & (F.col(f"lo_{name}") < F.col(f"hi_{name}")))
+        open_ = reduce(lambda a, b: a & b, fixed, (F.col("n") > few) & (F.col(f"lo_{name}") < F.col(f"hi_{name}")))
         while not (busy := state.where(open_)).isEmpty():
+            inside, aims = shared(busy)
             width = F.col(f"hi_{name}").cast("double") - F.col(f"lo_{name}").cast("double")
             offset = (F.col(name) - F.col(f"lo_{name}")).cast("double")
-            sliced = candidates(busy).withColumn("slice", F.least(F.lit(slices - 1), F.floor(offset / width * slices)))
-            counted = sliced.groupBy(*keys, "k", "slice").agg(F.count(F.lit(1)).alias("n"), *spans)
-            upto = Window.partitionBy(*keys).orderBy("slice")
-            stepped = (
-                counted.withColumn("upto", F.sum("n").over(upto))
-                .where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
-                .withColumn("k_in", F.col("k") - (F.col("upto") - F.col("n")))
-            )
-            inner = stepped.select(*keys, F.col("k_in").alias("k"), "n", *[f"{p}_{c}" for c in order for p in ("lo", "hi")])
-            state = settle(state.where(~open_).select(inner.columns).unionByName(inner))
+            slice_ = F.least(F.lit(slices - 1), F.floor(offset / width * slices))
+            counted = inside.groupBy("span", slice_.alias("slice")).agg(F.count(F.lit(1)).alias("n"), *measures)
+            upto = F.sum("n").over(Window.partitionBy("span").orderBy("slice"))
+            hit = (F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))
+            stepped = counted.withColumn("upto", upto).join(aims, "span").where(hit)
+            stepped = stepped.select(*keys, (F.col("k") - F.col("upto") + F.col("n")).alias("k"), "n", *span)
+            state = settle(state.where(~open_).unionByName(stepped))
 
     one_key = reduce(lambda a, b: a & b, [F.col(f"lo_{c}") == F.col(f"hi_{c}") for c in order])
     known = state.where(one_key).select(*keys, *[F.col(f"lo_{c}").alias(f"cut_{c}") for c in order])
-    placed = candidates(state.where(~one_key)).withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    found = placed.where("pos = k").select(*keys, *[F.col(c).alias(f"cut_{c}") for c in order])
+    inside, aims = shared(state.where(~one_key))
+    placed = inside.withColumn("pos", F.row_number().over(Window.partitionBy("span").orderBy(*order))).select("span", "pos", *order)
+    found = placed.join(aims, "span").where("pos = k").select(*keys, *[F.col(c).alias(f"cut_{c}") for c in order])
     return settle(ranks.join(known.unionByName(found), keys))
 
 
