@@ -102,12 +102,28 @@ def point_offsets(data: bytes, spots: list[int]) -> list[int]:
 
 
 def to_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, kind) with byte offsets, to code-point offsets, in order."""
-    if not spans or data.isascii():
-        return sorted(spans)
-    spots = sorted({x for s in spans for x in s[:2]})
-    at = dict(zip(spots, point_offsets(data, spots)))
-    return sorted((at[s], at[e], k) for s, e, k in spans)
+    """(start, end, kind) with byte offsets, to code-point offsets, by start, then kind."""
+    if not data.isascii():
+        spots = sorted({x for s in spans for x in s[:2]})
+        at = dict(zip(spots, point_offsets(data, spots)))
+        spans = [(at[s], at[e], k) for s, e, k in spans]
+    return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
+
+
+def free_of(candidates: Iterable[re.Match], taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The candidates, in ascending order, that overlap none of the taken spans."""
+    joined: list[list[int]] = []
+    for start, end, _ in sorted(taken):
+        if joined and start <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    k = 0
+    for m in candidates:
+        while k < len(joined) and joined[k][1] <= m.start():
+            k += 1
+        if k == len(joined) or joined[k][0] >= m.end():
+            yield m
 
 
 def span_text(spans: list[tuple[int, int, int]], kinds: list[str]) -> str:
@@ -118,10 +134,6 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def non_overlapping(pattern: re.Pattern, data: bytes, kind: int, keep: Callable[[re.Match], bool] | None = None) -> list[tuple[int, int, int]]:
-    return [(m.start(), m.end(), kind) for m in pattern.finditer(data) if keep is None or keep(m)]
-
-
 def labelled_ids(labels: DataFrame, column: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled documents, (doc_id, label): those with the smallest hash of their id.
 
