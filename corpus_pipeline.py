@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import quality
+from flowlab.llm import bpe, decontam, quality, secrets, simhash
 from flowlab.llm.common import read_table
 from flowlab.session import shared_dir
 
@@ -16,8 +16,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    return secrets.redact_secrets(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and of the decoded text."""
+    return bpe.tokenised(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
+    ("simhash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("byte-level bpe", tokens_stage),
 ]
 
 #: Rules, fingerprints, walks and token ids have no SQL form; the stages are tested against brute force.

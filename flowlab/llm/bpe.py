@@ -24,6 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlab.llm.common import as_lists, sha256_hex
 
@@ -199,45 +200,34 @@ def _documents(held: list[tuple], codes: np.ndarray, lengths: np.ndarray):
         yield ids[at]
 
 
-def encode_table(docs: DataFrame, finish, schema: str, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
-    return assembled(encoded_words(chunked(docs, chunk_bytes, buckets), path, buckets), finish, schema, buckets)
-
-
-def round_trip(docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of decoded bytes, one row per row of ``docs``.
+def tokenised(docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, ids, n_tokens and the digests of ids and of decoded bytes, one row per row of ``docs``.
 
     A missing text is empty: no ids, the digests of nothing. Other columns are not
     read. ``path`` is a rank file, by default the public one of 50,256 tokens.
     """
+    key = docs.schema["doc_id"].dataType
+    kind = to_arrow_type(key)
+    names = ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def finish(doc_ids, arrays):
         table = token_bytes(path).__getitem__
-        n, ids_hash, text_hash = [], [], []
+        kept, ids_hash, text_hash = [], [], []
         for ids in arrays:
-            n.append(len(ids))
+            kept.append(ids.astype(np.int32))
             ids_hash.append(sha256_hex(ids.astype("<u4").tobytes()))
             text_hash.append(sha256_hex(b"".join(map(table, ids.tolist()))))
-        yield pa.RecordBatch.from_arrays([doc_ids.cast(kind), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        lengths = np.array([len(k) for k in kept], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int32)))
+        yield pa.RecordBatch.from_arrays([doc_ids.cast(kind), lists, pa.array(lengths), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=names)
 
-    key = docs.schema["doc_id"].dataType
-    kind = to_arrow_type(key)
-    return encode_table(docs, finish, f"doc_id {key.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", path, chunk_bytes, buckets)
-
-
-def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id and ids (array of int) of every whole text; at most 64 documents' ids to a batch."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key = docs.schema["doc_id"].dataType
-    kind = to_arrow_type(key)
+    schema = f"doc_id {key.simpleString()}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return assembled(encoded_words(chunked(docs, chunk_bytes, buckets), path, buckets), finish, schema, buckets)
 
-    def finish(doc_ids, arrays):
-        for i, ids in enumerate(arrays):
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(i, 1).cast(kind), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return encode_table(docs, finish, f"doc_id {key.simpleString()}, ids array<int>", path, chunk_bytes, buckets)
+def round_trip(docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+    """``tokenised`` without the ids themselves."""
+    return tokenised(docs, path, chunk_bytes, buckets).drop("ids")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
