@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,35 @@ def as_lists(batch: pa.RecordBatch) -> dict[str, list]:
     return {name: listed(batch.column(i)) for i, name in enumerate(batch.schema.names)}
 
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, byte plane by byte plane, compressed; whole numbers in as few bytes as they need."""
+    out = [struct.pack("<I", len(arrays))]
+    for a in arrays:
+        real = a.dtype.kind == "f"
+        if real:
+            wide = a.astype("<f8").view("<u8")
+        else:
+            top = int(a.max()) if len(a) else 0
+            wide = a.astype(f"<u{1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8}")
+        planes = np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes()
+        body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        out += [struct.pack("<?BQQ", real, wide.itemsize, len(a), len(body)), body]
+    return b"".join(out)
+
+
+def expand(data: bytes) -> list[np.ndarray]:
+    (count,) = struct.unpack_from("<I", data)
+    at, out = 4, []
+    for _ in range(count):
+        real, width, n, size = struct.unpack_from("<?BQQ", data, at)
+        at += struct.calcsize("<?BQQ")
+        planes = pa.decompress(data[at : at + size], decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
+        at += size
+        wide = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
+        out.append(wide.view("<f8") if real else wide.astype(np.int64))
+    return out
+
+
 def doc_key(column: str = "doc_id") -> Column:
     """``crc32(doc_id as text)``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe, decontam, html, pii, quality, secrets, simhash, tokenfile, toxicity
+from flowlab.llm import bpe, decontam, html, katz, pii, quality, secrets, simhash, tokenfile, toxicity
 from flowlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.language_scores(read_table(spark, sf_dir, "documents"))
