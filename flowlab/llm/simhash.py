@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     """The 64 bit positions in ``parts`` groups; each takes the bits most correlated with those it has."""
+    bits = bits if len(bits) else np.zeros((1, 64))
     spread = bits.std(axis=0)
     scaled = np.where(spread > 0, (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1), 0)
     related = np.abs(scaled.T @ scaled / max(1, len(bits)))
