@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.session import settle
 
 PAIR_KEYS = ["pair_id", "pair_family", "source_domain_id", "target_test_domain_id", "seed"]
 RUN_KEYS = [*PAIR_KEYS, "target_fraction"]
@@ -93,12 +92,12 @@ def valid_runs(runs: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Few keys (scenario or run lists) are broadcast after a check of their number; many are joined by shuffle."""
-    return df.join(settle(keys.select(*on).distinct()), on, "left_semi")
+    """Rows with a partner among ``keys``; Spark chooses between broadcast and shuffle by the keys' size."""
+    return df.join(keys.select(*on), on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(settle(keys.select(*on).distinct()), on, "left_anti")
+    return df.join(keys.select(*on), on, "left_anti")
 
 
 def matched_comparison(base: DataFrame, sens: DataFrame) -> DataFrame:

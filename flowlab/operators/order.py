@@ -1,10 +1,13 @@
 """Ordered selection without sorting a whole group in one task.
 
-The k-th row of a group is found by histogram: count rows per slice of the
-order key, step into the slice that holds rank k, repeat until few rows are
-left, and rank only those.  Rows are then kept or dropped by comparing them
-with that cut key, so a scenario with a third of all rows is never shuffled to
-a single task.  Groups whose checked size is small take a plain window.
+Order columns are first turned into keys that compare alike everywhere: a
+missing value and NaN come last, infinities have their own place, and text gets
+its first bytes as numbers (``total_order``).  The k-th row of a group is then
+found by histogram: count rows per slice of the key, step into the slice that
+holds rank k, repeat until few rows are left, and rank only those.  Rows are kept
+or dropped by comparing them with that cut key, so a scenario with a third of
+all rows is never shuffled to a single task.  Groups whose checked size is small
+take a plain window over the same keys; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from flowlab.session import cut_lineage, settle
 GROUP_LIMIT = 2_000_000
 CANDIDATES = 20_000
 SLICES = 4096
-NULLS_LAST = 1.0e300
+#: Numbers that the first bytes of a text are read as, and the bytes of each.
+LEADS, LEAD_BYTES = 3, 6
 WHOLE = "_all"
 
 
@@ -29,11 +33,6 @@ def whole(df: DataFrame) -> DataFrame:
     return df.withColumn(WHOLE, F.lit(0))
 
 
-def ts_key(ts: str = "ts") -> Column:
-    """Epoch seconds with missing times last."""
-    return F.coalesce(F.col(ts), F.lit(NULLS_LAST))
-
-
 def hash_key(key: Column, seed) -> Column:
     """Seeded pseudo-random text, equal in every engine that has md5."""
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
@@ -44,6 +43,42 @@ def hash_lead(hash_text: Column) -> Column:
     return F.conv(F.substring(hash_text, 1, 12), 16, 10).cast("long")
 
 
+def total_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the keys of each order column, none of which is ever null, NaN or infinite.
+
+    A number has its place (-1 minus infinity, 0 finite, 1 infinity, 2 missing or NaN)
+    and its finite value; text has its place, its first bytes as numbers, and itself.
+    """
+    added: dict[str, Column] = {}
+    for i, name in enumerate(order):
+        value, kind = F.col(name), df.schema[name].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            place = F.when(value.isNull() | F.isnan(value), 2).when(value == float("inf"), 1).when(value == float("-inf"), -1).otherwise(0)
+            added[f"_key{i}_place"] = place
+            added[f"_key{i}"] = F.when(place == 0, value.cast("double")).otherwise(0.0)
+            continue
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            value = F.unix_micros(value.cast("timestamp"))
+        elif isinstance(kind, T.DateType):
+            value = F.unix_date(value)
+        elif isinstance(kind, T.BooleanType):
+            value = value.cast("int")
+        added[f"_key{i}_place"] = F.when(value.isNull(), 2).otherwise(0)
+        if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+            text = F.coalesce(value.cast("string"), F.lit(""))
+            for j in range(LEADS):
+                digits = F.rpad(F.hex(F.substring(text.cast("binary"), LEAD_BYTES * j + 1, LEAD_BYTES)), 2 * LEAD_BYTES, "0")
+                added[f"_key{i}_lead{j}"] = F.conv(digits, 16, 10).cast("long")
+            added[f"_key{i}"] = text
+        else:
+            added[f"_key{i}"] = F.coalesce(value, F.lit(0).cast(value_type(kind)))
+    return df.withColumns(added), list(added)
+
+
+def value_type(kind: T.DataType) -> T.DataType:
+    return kind if isinstance(kind, T.NumericType) else T.IntegerType() if isinstance(kind, (T.BooleanType, T.DateType)) else T.LongType()
+
+
 def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
     return settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group")))
 
@@ -64,6 +99,8 @@ def key_after(order: list[str], cut: list[Column]) -> Column:
 def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, group_limit: int | None = None, slices: int | None = None) -> DataFrame:
     """Order key of the k-th row: ``ranks`` (by..., tag, k) -> (by..., tag, k, cut_<order>...).
 
+    ``order`` are keys of ``total_order``. Each step narrows a span whose ends differ, so
+    that its first and last slice hold fewer rows than the span: the search ends.
     The search keeps, per wanted rank, the span of keys that still holds it.
     Ranks with the same span share one histogram, so a pass over the rows costs
     the same for one rank as for many.
@@ -89,8 +126,7 @@ def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, g
         open_ = reduce(lambda a, b: a & b, fixed, (F.col("n") > few) & (F.col(f"lo_{name}") < F.col(f"hi_{name}")))
         while not (busy := state.where(open_)).isEmpty():
             inside, aims = shared(busy)
-            width = F.col(f"hi_{name}").cast("double") - F.col(f"lo_{name}").cast("double")
-            offset = (F.col(name) - F.col(f"lo_{name}")).cast("double")
+            width, offset = _distance(df, name, F.col(f"hi_{name}")), _distance(df, name, F.col(name))
             slice_ = F.least(F.lit(slices - 1), F.floor(offset / width * slices))
             counted = inside.groupBy("span", slice_.alias("slice")).agg(F.count(F.lit(1)).alias("n"), *measures)
             upto = F.sum("n").over(Window.partitionBy("span").orderBy("slice"))
@@ -107,29 +143,43 @@ def cut_keys(df: DataFrame, by: list[str], order: list[str], ranks: DataFrame, g
     return settle(ranks.join(known.unionByName(found), keys))
 
 
+def _distance(df: DataFrame, name: str, value: Column) -> Column:
+    """From the span's lower end to ``value`` as a finite double; half of it where a span of doubles may be too wide."""
+    low = F.col(f"lo_{name}")
+    if isinstance(df.schema[name].dataType, T.DoubleType):
+        half = F.when((F.col(f"hi_{name}") > 1e307) | (low < -1e307), 0.25).otherwise(1.0)
+        return value * half - low * half
+    if isinstance(df.schema[name].dataType, T.LongType):
+        return (value.cast("decimal(20,0)") - low.cast("decimal(20,0)")).cast("double")
+    return (value - low).cast("double")
+
+
 def mark_first(
     df: DataFrame, by: list[str], order: list[str], quota: DataFrame, out: str, group_limit: int | None = None, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``out``: is the row among the first ``k`` of its group in ``order``?
 
     ``quota`` is (by..., k); no quota means none.  ``sizes`` saves a count when the caller has it.
+    Missing values and NaN of an order column come last.
     """
+    columns = df.columns
+    df, order = total_order(df, order)
     limit = GROUP_LIMIT if group_limit is None else group_limit
     sizes = group_sizes(df, by) if sizes is None else sizes
     if largest(sizes) <= limit:
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         if by == [WHOLE]:
-            return df.withColumn(out, pos <= (quota.agg(F.max("k")).first()[0] or 0))
+            return df.select(*columns, (pos <= (quota.agg(F.max("k")).first()[0] or 0)).alias(out))
         marked = df.withColumn("_pos", pos).join(quota.select(*by, "k"), by, "left")
-        return marked.select(*df.columns, (F.col("_pos") <= F.coalesce("k", F.lit(0))).alias(out))
+        return marked.select(*columns, (F.col("_pos") <= F.coalesce("k", F.lit(0))).alias(out))
     ranks = quota.join(sizes, by).select(*by, F.lit(0).alias("tag"), F.least("k", "n_group").alias("k"))
     cuts = cut_keys(df, by, order, settle(ranks), limit).drop("tag", "k")
     if by == [WHOLE]:
         bound = cuts.first()
-        return df.withColumn(out, F.lit(False) if bound is None else ~key_after(order, [F.lit(bound[f"cut_{c}"]) for c in order]))
+        return df.select(*columns, (F.lit(False) if bound is None else ~key_after(order, [F.lit(bound[f"cut_{c}"]) for c in order])).alias(out))
     cuts = cuts.withColumn("_known", F.lit(True))
     inside = F.col("_known").isNotNull() & ~key_after(order, [F.col(f"cut_{c}") for c in order])
-    return df.join(cuts, by, "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
+    return df.join(cuts, by, "left").select(*columns, F.coalesce(inside, F.lit(False)).alias(out))
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[str], quota: DataFrame, group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
@@ -161,7 +211,7 @@ def running_sums(
     if largest(sizes) <= limit:
         return df.select("*", *[F.sum(c).over(over).alias(f"run_{c}") for c in cols])
     df = cut_lineage(df)
-    probes = min(10_000, max(2, 2 * largest(sizes) // limit))
+    probes = max(2, 2 * largest(sizes) // limit)
     marks = [i / probes for i in range(1, probes)]
     bounds = settle(df.groupBy(*by).agg(F.percentile_approx(value, marks, 100 * probes).alias("marks")))
     cut = df.join(bounds, by).withColumn("slice", F.size(F.filter("marks", lambda m: m < F.col(value)))).drop("marks")
@@ -189,12 +239,16 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     spot = sizes.select(*by, "n_group", F.explode(wanted).alias("prob")).withColumn("at", F.col("prob") * (F.col("n_group") - 1))
     spot = spot.withColumn("low", F.floor("at") + 1).withColumn("high", F.least(F.floor("at") + 2, F.col("n_group")))
     ranks = settle(spot.select(*by, F.explode(F.array("low", "high")).alias("k")).distinct().withColumn("tag", F.col("k")))
-    cuts = settle(cut_keys(rows, by, ["_v"], ranks, limit).select(*by, "tag", "cut__v"))
+    keyed, order = total_order(rows, ["_v"])
+    place = F.col("cut__key0_place")
+    value = F.when(place == 2, float("nan")).when(place == 1, float("inf")).when(place == -1, float("-inf")).otherwise(F.col("cut__key0"))
+    cuts = settle(cut_keys(keyed, by, order, ranks, limit).select(*by, "tag", value.alias("cut__v")))
     low = cuts.select(*by, F.col("tag").alias("low"), F.col("cut__v").alias("v_low"))
     high = cuts.select(*by, F.col("tag").alias("high"), F.col("cut__v").alias("v_high"))
     joined = spot.join(low, [*by, "low"]).join(high, [*by, "high"])
-    step = (F.col("v_high") - F.col("v_low")) * (F.col("at") - F.floor("at"))
-    return joined.select(*by, "prob", (F.col("v_low") + step).alias("quantile"))
+    part = F.col("at") - F.floor("at")
+    between = (1 - part) * F.col("v_low") + part * F.col("v_high")
+    return joined.select(*by, "prob", F.when((part == 0) | (F.col("v_low") == F.col("v_high")), F.col("v_low")).otherwise(between).alias("quantile"))
 
 
 def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], group_limit: int | None = None) -> DataFrame:

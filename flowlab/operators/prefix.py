@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.operators.metrics import CELLS, cell_counts, metrics_present
-from flowlab.operators.order import GROUP_LIMIT, cut_keys, first_rows, group_sizes, key_after, largest, whole
+from flowlab.operators.order import GROUP_LIMIT, cut_keys, first_rows, group_sizes, key_after, largest, total_order, whole
 from flowlab.session import settle
 
 
@@ -33,17 +33,19 @@ def prefix(df: DataFrame, fraction: float, by: list[str], order: list[str], grou
 
 
 def prefix_bucket(df: DataFrame, fractions: list[float], by: list[str], order: list[str], sizes: DataFrame, group_limit: int | None = None) -> DataFrame:
-    """Adds ``bucket``: how many of the rising fractions end before the row."""
+    """Adds ``bucket``: how many of the rising fractions end before the row; rows without a time come last."""
+    columns = df.columns
+    df, order = total_order(df, order)
     if largest(sizes) <= (GROUP_LIMIT if group_limit is None else group_limit):
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         ended = sum(((F.col("_pos") > prefix_size(F.col("n_group"), f)).cast("int") for f in fractions), F.lit(0))
-        return df.withColumn("_pos", pos).join(sizes, by).withColumn("bucket", ended).drop("_pos", "n_group")
+        return df.withColumn("_pos", pos).join(sizes, by).select(*columns, ended.alias("bucket"))
     ranks = sizes.select(*by, "n_group", F.posexplode(F.array(*map(F.lit, fractions))).alias("tag", "f"))
     ranks = settle(ranks.select(*by, "tag", prefix_size(F.col("n_group"), F.col("f")).alias("k")))
     cuts = cut_keys(df, by, order, ranks, group_limit)
     ends = settle(cuts.groupBy(*by).agg(F.collect_list(F.struct(*[f"cut_{c}" for c in order])).alias("ends")))
     ended = F.size(F.filter("ends", lambda e: key_after(order, [e[f"cut_{c}"] for c in order])))
-    return df.join(ends, by).withColumn("bucket", ended).drop("ends")
+    return df.join(ends, by).select(*columns, ended.alias("bucket"))
 
 
 def prefix_cells(df: DataFrame, fractions: list[float], by: list[str], order: list[str], counts: list[Column], extra: list[str] = (), group_limit: int | None = None) -> DataFrame:

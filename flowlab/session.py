@@ -1,4 +1,4 @@
-"""Session helpers: the shared work folder, settled small tables, size-checked broadcasts."""
+"""Session helpers: the shared work folder and settled tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
-
 
 def build_session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
     return (
@@ -60,17 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Fix a derived table, so that all later uses of it see the same rows.
 
-    Up to ``limit`` rows it becomes a local relation, whose exact size Catalyst
-    knows and weighs against the broadcast threshold; beyond that it is written
-    to a checkpoint and joined by shuffle.
+    It is written once to the shared folder and read from there: nothing passes the
+    driver, a lost executor costs a read, and Catalyst weighs the size on disk
+    against its broadcast threshold.
     """
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return df.sparkSession.createDataFrame(head, schema=df.schema)
-    return cut_lineage(df)
+    target = work_path(df.sparkSession, "settled")
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

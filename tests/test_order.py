@@ -21,7 +21,7 @@ def skewed(spark):
     pdf.loc[rng.random(n) < 0.02, "ts"] = None
     pdf["y_true"] = (rng.random(n) < 0.4).astype(int)
     pdf["y_pred"] = (rng.random(n) < 0.5).astype(int)
-    df = spark.createDataFrame(pdf).withColumn("ts", F.when(~F.isnan("ts"), F.col("ts"))).withColumn("t", O.ts_key())
+    df = spark.createDataFrame(pdf).withColumn("ts", F.when(~F.isnan("ts"), F.col("ts"))).withColumn("t", F.col("ts"))
     return pdf, df
 
 
@@ -118,3 +118,40 @@ def test_samples_do_not_depend_on_the_way_they_are_found(skewed, monkeypatch):
         a = sorted(r["row_id"] for r in fn(None).collect())
         b = sorted(r["row_id"] for r in fn(20).collect())
         assert a == b and a
+
+
+@pytest.fixture(scope="module")
+def odd_times(spark):
+    """Missing, NaN and infinite times and values, and text keys with long ties."""
+    rng = np.random.default_rng(3)
+    n = 400
+    special = [None, float("nan"), float("inf"), float("-inf"), 1.7e308, -1.7e308, 5e-324]
+    rows = [("g" if i % 5 else "h", special[i % 7] if i % 3 == 0 else float(rng.integers(0, 5)), f"Csame-prefix-{i:04d}", int(rng.random() < 0.4), int(rng.random() < 0.5)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "g string, ts double, uid string, y_true int, y_pred int")
+
+
+def place(row):
+    ts = row[1]
+    return (1, 0.0, row[2]) if ts is None or ts != ts else (0, ts, row[2])
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_missing_nan_and_infinite_times(odd_times, limit, monkeypatch):
+    rows, df = odd_times
+    monkeypatch.setattr(O, "SLICES", 8)
+    for fraction in (0.1, 0.5):
+        want = set()
+        for g in "gh":
+            own = sorted((r for r in rows if r[0] == g), key=place)
+            want |= {r[2] for r in own[: max(1, int(len(own) * fraction))]}
+        assert {r["uid"] for r in X.prefix(df, fraction, ["g"], ["ts", "uid"], limit).collect()} == want
+    assert {r["uid"] for r in X.cap_earliest(df, [], ["ts", "uid"], 15, limit).collect()} == {r[2] for r in sorted(rows, key=place)[:15]}
+    seen = {r["fraction"]: r["rows_evaluated"] for r in X.prefix_metrics(df, [0.1, 0.5], ["g"], ["ts", "uid"], group_limit=limit).collect()}
+    assert seen == {0.1: 40, 0.5: 200}
+
+
+def test_paths_agree_on_infinite_values(odd_times, monkeypatch):
+    _, df = odd_times
+    monkeypatch.setattr(O, "SLICES", 8)
+    a, b = (O.exact_quantiles(df, ["g"], "ts", [0.0, 0.05, 0.5, 0.9, 1.0], limit).orderBy("g", "prob").collect() for limit in (None, 20))
+    assert [(r["g"], r["prob"], str(r["quantile"])) for r in a] == [(r["g"], r["prob"], str(r["quantile"])) for r in b]

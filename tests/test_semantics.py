@@ -146,10 +146,7 @@ def test_prefix_size_truncates_and_keeps_one_row(rows):
 
 def test_prefix_is_monotone_and_missing_times_come_last(rows):
     df = rows([("s", None, 1), ("s", 5.0, 2), ("s", 1.0, 3), ("t", 2.0, 4)], "scenario string, ts double, row_id long")
-    from flowlab.operators.order import ts_key
-
-    df = df.withColumn("t", ts_key())
-    seen = [set(r["row_id"] for r in X.prefix(df, f, ["scenario"], ["t", "row_id"]).collect()) for f in (0.1, 0.7, 1.0)]
+    seen = [set(r["row_id"] for r in X.prefix(df, f, ["scenario"], ["ts", "row_id"]).collect()) for f in (0.1, 0.7, 1.0)]
     assert seen[0] == {3, 4} and seen[1] == {2, 3, 4} and seen[2] == {1, 2, 3, 4}
 
 
