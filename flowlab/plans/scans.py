@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlab.plans.adapters import flows, flows_raw, importances, preds, r6, runs, unsw_like, zeek_lines
 from flowlab.plans.registry import query
-from flowlab.schemas import FLOW_TYPES, LOG_FIELDS, NUMERIC, UNSW_LIKE_SCHEMA
+from flowlab.schemas import CATEGORICAL, FLOW_TYPES, LOG_FIELDS, NUMERIC, UNSW_COLUMNS, UNSW_LIKE_SCHEMA, UNSW_SCHEMA
 from flowlab.session import work_path
 from flowlab.sources import crawl, logs
 from flowlab.sources import tables as S
@@ -23,6 +23,31 @@ def s01(spark, sf):
     return logs.parse_lines(zeek_lines(spark, sf))
 
 
+@query("s01_log_files", f"""
+SELECT scenario, {_fields}, {_tail} FROM (
+ SELECT scenario, f, [trim(x) FOR x IN regexp_split_to_array(trim(f[21]), '\\s{{3,}}') IF trim(x) <> ''] AS t
+ FROM (SELECT scenario, string_split(value, chr(9)) AS f FROM zeek_lines WHERE value NOT LIKE '#%' AND trim(value) <> '') a WHERE len(f) >= 21) b""")
+def s01_files(spark, sf):
+    """The scan itself: log files under one folder per scenario, found and parsed, their scenario taken from the path."""
+    root = work_path(spark, "bro-logs")
+    zeek_lines(spark, sf).select("value", F.col("scenario").alias("capture"), F.lit("x").alias("bro")).write.partitionBy("capture", "bro").text(root)
+    lines = logs.read_log_lines(spark, root, "part-*")
+    named = lines.select("value", F.regexp_extract("scenario", r"^(?:capture=)?(.*)$", 1).alias("scenario"))
+    return logs.parse_lines(named)
+
+
+@query("s01_file_audit", """
+SELECT scenario, count(*) AS n_lines, count(*) FILTER (WHERE value LIKE '#%') AS n_comments,
+ count(*) FILTER (WHERE value NOT LIKE '#%' AND len(string_split(value, chr(9))) < 21) AS n_malformed,
+ count(*) FILTER (WHERE value NOT LIKE '#%' AND len(string_split(value, chr(9))) >= 21) AS n_parsed FROM zeek_lines GROUP BY scenario""")
+def s01_file_audit(spark, sf):
+    """Dropped and kept lines of the same files."""
+    root = work_path(spark, "audit-logs")
+    zeek_lines(spark, sf).select("value", F.col("scenario").alias("capture"), F.lit("x").alias("bro")).write.partitionBy("capture", "bro").text(root)
+    lines = logs.read_log_lines(spark, root, "part-*")
+    return logs.line_audit(lines.select("value", F.regexp_extract("scenario", r"^(?:capture=)?(.*)$", 1).alias("scenario")), ["scenario"])
+
+
 @query("s01_line_audit", """
 SELECT scenario, count(*) AS n_lines, count(*) FILTER (WHERE value LIKE '#%') AS n_comments,
  count(*) FILTER (WHERE value NOT LIKE '#%' AND len(string_split(value, chr(9))) < 21) AS n_malformed,
@@ -64,15 +89,31 @@ _floats = ", ".join(f"TRY_CAST({c} AS FLOAT) AS {c}" for c in NUMERIC)
 SELECT row_id, {_floats}, proto, service, conn_state, coalesce(TRY_CAST(CASE label WHEN 'benign' THEN '0' WHEN 'Malicious' THEN '1' END AS TINYINT), 0::TINYINT) AS label FROM flows_raw""")
 def s04(spark, sf):
     raw = flows_raw(spark, sf).withColumn("label", F.when(F.col("label") == "benign", "0").when(F.col("label") == "Malicious", "1"))
-    return S.typed_scan(raw, NUMERIC, S.FLOW_CATEGORICAL, "label", ["row_id"])
+    return S.typed_scan(raw, NUMERIC, CATEGORICAL, "label", ["row_id"])
 
 
 def _csv(spark, sf):
+    """The second domain as CSV with its columns in another order and one that nobody asked for."""
     path = work_path(spark, "unsw-csv")
-    S.write_table(unsw_like(spark, sf), path, "csv")
+    rows = unsw_like(spark, sf)
+    S.write_table(rows.select(*sorted(rows.columns, reverse=True), F.lit("x").alias("note")), path, "csv")
     return path
 
 
+_native = [(c, t) for c, t in UNSW_COLUMNS if c in ("proto", "service", "dur", "spkts", "dpkts", "sbytes", "dbytes", "smean", "dmean", "id", "attack_cat", "label")]
+_null_sql = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
+
+
+@query("s05_native_csv", "SELECT " + ", ".join(f"CAST({f'floor({c})' if t == 'bigint' else c} AS {_null_sql[t]}) AS {c}" if (c, t) in _native else f"CAST(NULL AS {_null_sql[t]}) AS {c}" for c, t in UNSW_COLUMNS) + " FROM unsw_like")
+def s05_native(spark, sf):
+    """All native columns by name from a file in another column order; numbers that the tables here lack are empty fields."""
+    path = work_path(spark, "unsw-native")
+    rows = unsw_like(spark, sf)
+    there = {c: F.floor(c).alias(c) if t == "bigint" else F.col(c) for c, t in _native}
+    S.write_table(rows.select(*[there.get(c, F.lit(None).cast("string").alias(c)) for c, _ in sorted(UNSW_COLUMNS)]), path, "csv")
+    return S.read_csv_cols(spark, path, UNSW_SCHEMA, [c for c, _ in UNSW_COLUMNS])
+
+
 @query("s05_csv_columns", "SELECT id, service, dur, sbytes, label FROM unsw_like")
 def s05(spark, sf):
     return S.read_csv_cols(spark, _csv(spark, sf), UNSW_LIKE_SCHEMA, ["id", "service", "dur", "sbytes", "label"])

@@ -25,17 +25,18 @@ UNSW_LIKE_SCHEMA = (
     "id bigint, proto string, service string, dur double, spkts bigint, dpkts bigint, sbytes double, dbytes double, "
     "smean double, dmean double, attack_cat string, label int"
 )
-# The second domain's CSV header.  Counts and flags are whole numbers, the rest are doubles.
-UNSW_DOUBLE = ["dur", "rate", "sload", "dload", "sinpkt", "dinpkt", "sjit", "djit", "tcprtt", "synack", "ackdat"]
-UNSW_LONG = [
-    "spkts", "dpkts", "sbytes", "dbytes", "sttl", "dttl", "sloss", "dloss", "swin", "stcpb", "dtcpb", "dwin", "smean", "dmean",
-    "trans_depth", "response_body_len", "ct_srv_src", "ct_state_ttl", "ct_dst_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm",
-    "ct_dst_src_ltm", "is_ftp_login", "ct_ftp_cmd", "ct_flw_http_mthd", "ct_src_ltm", "ct_srv_dst", "is_sm_ips_ports",
+# The second domain's columns, categories first, then numbers in the file's order, then id and labels.
+# Counts and flags are whole numbers, the rest are doubles.
+UNSW_COLUMNS = [
+    ("proto", "string"), ("service", "string"), ("state", "string"),
+    ("dur", "double"), ("spkts", "bigint"), ("dpkts", "bigint"), ("sbytes", "bigint"), ("dbytes", "bigint"), ("rate", "double"),
+    ("sttl", "bigint"), ("dttl", "bigint"), ("sload", "double"), ("dload", "double"), ("sloss", "bigint"), ("dloss", "bigint"),
+    ("sinpkt", "double"), ("dinpkt", "double"), ("sjit", "double"), ("djit", "double"), ("swin", "bigint"), ("stcpb", "bigint"),
+    ("dtcpb", "bigint"), ("dwin", "bigint"), ("tcprtt", "double"), ("synack", "double"), ("ackdat", "double"), ("smean", "bigint"),
+    ("dmean", "bigint"), ("trans_depth", "bigint"), ("response_body_len", "bigint"), ("ct_srv_src", "bigint"), ("ct_state_ttl", "bigint"),
+    ("ct_dst_ltm", "bigint"), ("ct_src_dport_ltm", "bigint"), ("ct_dst_sport_ltm", "bigint"), ("ct_dst_src_ltm", "bigint"),
+    ("is_ftp_login", "bigint"), ("ct_ftp_cmd", "bigint"), ("ct_flw_http_mthd", "bigint"), ("ct_src_ltm", "bigint"), ("ct_srv_dst", "bigint"),
+    ("is_sm_ips_ports", "bigint"), ("id", "bigint"), ("attack_cat", "string"), ("label", "int"),
 ]
-UNSW_SCHEMA = ", ".join(
-    ["id bigint", "proto string", "service string", "state string"]
-    + [f"{c} double" for c in UNSW_DOUBLE]
-    + [f"{c} bigint" for c in UNSW_LONG]
-    + ["attack_cat string", "label int"]
-)
+UNSW_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in UNSW_COLUMNS)
 METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_attack", "recall_attack", "f1_attack"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlab.sources.tables import csv_by_name
+
 # The run folder grammars.
 SEED_RUN = r"outputs_(?<direction>.+)_(?<model>rf|mlp)_seed(?<seed>\d+)"
 STUDY_RUN = r"outputs_(?<direction>.+)_(?<model>rf|mlp)_(?<study>train_size|eval_size|[a-z_]+?)_seed(?<seed>\d+)"
@@ -31,8 +33,8 @@ def folder_of(path: Column) -> Column:
 def crawl_runs(spark: SparkSession, summary_root: str, config_root: str, schema: str, pattern: str = SEED_RUN) -> DataFrame:
     """Summary rows of every run folder beside the parsed name parts and the run's config."""
     path = F.col("_metadata.file_path")
-    rows = spark.read.option("recursiveFileLookup", True).csv(summary_root, header=True, schema=schema)
-    rows = rows.select("*", folder_of(path).alias("run_name"))
+    rows = csv_by_name(spark, summary_root, schema, recursive=True)
+    rows = rows.withColumn("run_name", folder_of(path)).drop("_metadata")
     configs = spark.read.option("recursiveFileLookup", True).schema(RUN_CONFIG).json(config_root)
     configs = configs.select(folder_of(path).alias("run_name"), *[F.col(f.strip().split()[0]).alias(f.strip().split()[0] + "_config") for f in RUN_CONFIG.split(",")])
     named = rows.select(*parse_run_name(F.col("run_name"), pattern), "*")
@@ -54,6 +56,6 @@ def crawl_folds(spark: SparkSession, root: str, schema: str, multi_line: bool =
 
 def crawl_importances(spark: SparkSession, root: str) -> DataFrame:
     """Long (fold_name, feature, importance) from one CSV folder per fold; repeated features are summed."""
-    rows = spark.read.option("recursiveFileLookup", True).csv(root, header=True, schema="feature string, importance double")
+    rows = csv_by_name(spark, root, "feature string, importance double", recursive=True)
     named = rows.select(folder_of(F.col("_metadata.file_path")).alias("fold_name"), "feature", "importance")
     return named.groupBy("fold_name", "feature").agg(F.sum("importance").alias("importance"))

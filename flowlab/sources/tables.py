@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlab.functions.clean import to_double
-from flowlab.schemas import CATEGORICAL, FLOW_TYPES, PRED_SCHEMA
+from flowlab.schemas import FLOW_TYPES, PRED_SCHEMA
 
 
 def read_flows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -23,13 +24,32 @@ def typed_scan(df: DataFrame, numeric: list[str], categorical: list[str], target
     return df.select(*keep, *numbers, *words, label)
 
 
+def csv_by_name(spark: SparkSession, path: str, schema: str, recursive: bool = False) -> DataFrame:
+    """CSV columns matched to the declared schema by the header's names.
+
+    The files' own header decides where a column stands; other columns are left out.
+    A declared column that the header lacks raises an error; a value that does not
+    fit its type is null. Files of one scan share a header; a file whose header
+    differs from the first one's fails the job instead of being misread.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    text = reader.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    wanted = StructType.fromDDL(schema).fields
+    there = {c.strip().lower(): c for c in text.columns}
+    missing = [f.name for f in wanted if f.name.lower() not in there]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+    return text.select("*", "_metadata").select(*[F.col(f"`{there[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in wanted], "_metadata")
+
+
 def read_csv_cols(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
-    """Declared schema, never inferred; a missing column fails on select."""
-    return spark.read.csv(path, header=True, schema=schema).select(*columns)
+    """Declared types, never inferred; only the chosen columns have to be there."""
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema).fields}
+    return csv_by_name(spark, path, ", ".join(f"{c} {kinds[c]}" for c in columns)).select(*columns)
 
 
 def filtered_csv(spark: SparkSession, path: str, schema: str, col: str, value: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True, schema=schema)
+    rows = csv_by_name(spark, path, schema).drop("_metadata")
     return rows.where(F.trim(F.coalesce(F.col(col).cast("string"), F.lit("missing"))) == value)
 
 
@@ -86,6 +106,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def row_count(spark: SparkSession, path: str) -> DataFrame:
     """No column is read: parquet counts come from the file footers."""
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-FLOW_CATEGORICAL = CATEGORICAL

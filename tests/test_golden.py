@@ -91,9 +91,9 @@ def test_largest_importance_shifts(spark):
 def test_feature_set_comparison_counts(spark):
     """2 shared, 13 and 40 own columns of the two published feature lists."""
     from flowlab.operators.align import compare_sets
-    from flowlab.schemas import FEATURES, CATEGORICAL, UNSW_DOUBLE, UNSW_LONG
+    from flowlab.schemas import FEATURES, CATEGORICAL, UNSW_COLUMNS
 
     first = spark.createDataFrame([(c,) for c in [*CATEGORICAL, *FEATURES]], "c string")
-    second = spark.createDataFrame([(c,) for c in ["proto", "service", "state", *UNSW_DOUBLE, *UNSW_LONG]], "c string")
+    second = spark.createDataFrame([(c,) for c in [c for c, _ in UNSW_COLUMNS if c not in ("id", "attack_cat", "label")]], "c string")
     got = {r["found_in"]: r["n"] for r in compare_sets(first, second, "c").groupBy("found_in").agg(F.count("*").alias("n")).collect()}
     assert got == {"both": 2, "only_a": 13, "only_b": 40}

@@ -94,3 +94,21 @@ def test_ingest_reads_only_new_logs(spark, tmp_path):
     T.stream_ingest(spark, str(root), out, state, test=["CTU-B"], val=["CTU-C"]).awaitTermination()
     got = spark.read.parquet(out).groupBy("split", "scenario").count().collect()
     assert {(r["split"], r["scenario"]): r["count"] for r in got} == {("train", "CTU-A"): 2, ("test", "CTU-B"): 1}
+
+
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,dur,proto,label,extra\n1,0.5,tcp,1,x\n2,bad,udp,0,y\n")
+    schema = "id long, proto string, dur double, label int"
+    got = S.read_csv_cols(spark, str(tmp_path / "a.csv"), schema, ["label", "proto", "dur", "id"]).collect()
+    assert [tuple(r) for r in got] == [(1, "tcp", 0.5, 1), (0, "udp", None, 2)]
+    assert [r["id"] for r in S.filtered_csv(spark, str(tmp_path / "a.csv"), schema, "proto", "udp").collect()] == [2]
+    with pytest.raises(ValueError, match="state"):
+        S.read_csv_cols(spark, str(tmp_path / "a.csv"), schema + ", state string", ["id", "state"])
+
+
+def test_importances_with_columns_in_another_order(spark, tmp_path):
+    for fold, text in (("one", "importance,feature\n0.5,dur\n0.25,dur\n"), ("two", "importance,feature\n1.0,proto\n")):
+        (tmp_path / fold).mkdir()
+        (tmp_path / fold / "importance.csv").write_text(text)
+    got = sorted(tuple(r) for r in crawl.crawl_importances(spark, str(tmp_path)).collect())
+    assert got == [("one", "dur", 0.75), ("two", "proto", 1.0)]
