@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.clean import f1, safe_div
 from flowlab.operators.order import distinct_sizes, running_sums
+from flowlab.operators.profile import one_row
 
 CELLS = ["tn", "fp", "fn", "tp"]
 
@@ -215,9 +216,11 @@ def best_thresholds(sweep: DataFrame, by: list[str] = ()) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, by: list[str] = (), low: float | None = None, high: float | None = None) -> DataFrame:
     """Equal-width counts between the column's bounds; the top bound falls into the last bin."""
     if low is None or high is None:
-        low, high = df.agg(F.min(col), F.max(col)).first()
-    width = (high - low) / bins or 1.0
+        low, high = one_row(df.agg(F.min(col).cast("double").alias("low"), F.max(col).cast("double").alias("high")), ["low", "high"]).values()
+    else:
+        low, high = F.lit(float(low)), F.lit(float(high))
+    width = F.when(high > low, (high - low) / bins).otherwise(1.0)
     bin_ = F.least(F.lit(bins - 1), F.floor((F.col(col) - low) / width)).cast("int")
     return df.where(F.col(col).isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "bin_low", F.lit(low) + F.col("bin") * width
+        "bin_low", low + F.col("bin") * width
     )

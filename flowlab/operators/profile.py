@@ -280,6 +280,10 @@ def class_counts(df: DataFrame, by: list[str] = (), label: str = "label_binary")
     return out.withColumns({"scale_pos_weight": weight, "has_both_classes": (F.col("n_benign") > 0) & (F.col("n_attack") > 0)})
 
 
+def label_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def inspect(df: DataFrame) -> DataFrame:
     """Type and null count of every column."""
     wide = df.agg(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.count_if(F.col(c).isNull()).alias("n_null")).alias(c) for c, t in df.dtypes])

@@ -90,6 +90,11 @@ def pivot_metrics(df: DataFrame, rows: list[str], col: str, values: list, metric
     return df.groupBy(*rows).agg(*[F.avg(F.when(F.col(col) == v, F.col(m))).alias(f"{m}_{v}") for m in metrics for v in values])
 
 
+def pivot_counts(df: DataFrame, rows: list[str], col: str, values: list) -> DataFrame:
+    """Wide n_<value> columns: rows per value of ``col``; other values count nowhere."""
+    return df.groupBy(*rows).agg(*[F.count_if(F.col(col) == v).alias(f"n_{v}") for v in values])
+
+
 def key_findings(df: DataFrame, min_gain: float = 0.005) -> DataFrame:
     """Best score per condition, best gain and the fractions where adaptation helps, per direction."""
     wide = pivot_metrics(df, ["direction", "target_fraction"], "condition", ["target_only_updated", "transfer_learning_updated"], ["f1_macro"])

@@ -107,8 +107,13 @@ def sample_manifest(before: DataFrame, after: DataFrame, by: list[str], label: s
 
 
 def balance(df: DataFrame, label: str, key: str, seed: int, ratio: float = 1.0, group_limit: int | None = None) -> DataFrame:
-    """Keep the smaller class, draw round(min*ratio) rows of the larger one; one-class tables stay as they are."""
+    """Keep the smaller class, draw round(min*ratio) rows of the larger one; one-class tables stay as they are.
+
+    A label other than 0 and 1, or a missing one, raises an error.
+    """
     sizes = group_sizes(df, [label])
+    if not sizes.where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).isEmpty():
+        raise ValueError(f"{label} must be 0 or 1")
     counts = {r[label]: r["n_group"] for r in sizes.where(F.col(label).isin(0, 1)).collect()}
     if len(counts) < 2:
         return df

@@ -9,9 +9,9 @@ from flowlab.operators import metrics as M
 from flowlab.operators import profile as P
 from flowlab.operators import reports as R
 from flowlab.operators.joins import gain_table
-from flowlab.plans.adapters import FRACTIONS, METRICS, flows, pair_runs, pairs_meta, preds, r6, run_cells, runs, sql_metrics, sql_r6, unsw_like
+from flowlab.plans.adapters import FRACTIONS, METRICS, flows, importances, pair_runs, pairs_meta, preds, r6, run_cells, runs, sql_metrics, sql_r6, unsw_like
 from flowlab.plans.registry import query, table
-from flowlab.schemas import CATEGORICAL, FEATURES
+from flowlab.schemas import CATEGORICAL, FEATURES, UNSW_LIKE_SCHEMA
 
 FOLD_METRICS = ["accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "precision_benign", "recall_benign", "f1_benign", "precision_attack", "recall_attack", "f1_attack"]
 _CM = """count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
@@ -239,9 +239,18 @@ def a19(spark, sf):
     return P.class_counts(flows(spark, sf), ["scenario"]).withColumn("scale_pos_weight", F.round("scale_pos_weight", 6))
 
 
-@query("a20_inspect", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM unsw_like" for c in ["id", "proto", "service", "dur", "spkts", "dpkts", "sbytes", "dbytes", "smean", "dmean", "attack_cat", "label"]))
+_unsw_kinds = {c: t for c, t in (f.split() for f in UNSW_LIKE_SCHEMA.split(", "))}
+
+
+@query("a20_inspect", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM unsw_like" for c, t in _unsw_kinds.items()))
 def a20(spark, sf):
-    return P.inspect(unsw_like(spark, sf)).select("column", "n_null")
+    rows = unsw_like(spark, sf)
+    return P.inspect(rows.select(*[F.col(c).cast(t).alias(c) for c, t in _unsw_kinds.items()]))
+
+
+@query("a20_label_counts", "SELECT attack_cat, label, count(*) AS n_rows FROM unsw_like GROUP BY attack_cat, label")
+def a20_labels(spark, sf):
+    return P.label_counts(unsw_like(spark, sf), ["attack_cat", "label"])
 
 
 _fa = ["accuracy", "f1_macro", "recall_attack"]
@@ -367,6 +376,29 @@ def a28_matrix(spark, sf):
     return out.select("scenario", *[F.round(F.col(f"`f1_attack_{f}`"), 6).alias(f"f1_at_{i}") for i, f in enumerate(FRACTIONS)])
 
 
+_brands = [f"{m}{n}" for m in range(1, 6) for n in range(1, 6)]
+
+
+@query("a28_pivot_label_scenario", "SELECT kind, " + ", ".join(f"count(*) FILTER (WHERE scenario = 'CTU-Cap-{i:02d}') AS n_{i:02d}" for i in range(12)) + " FROM named_flows GROUP BY kind")
+def a28_labels(spark, sf):
+    out = R.pivot_counts(named_flows(spark, sf), ["kind"], "scenario", [f"CTU-Cap-{i:02d}" for i in range(12)])
+    return out.select("kind", *[F.col(f"`n_CTU-Cap-{i:02d}`").alias(f"n_{i:02d}") for i in range(12)])
+
+
+@query("a28_pivot_category_fraction", "SELECT attack_cat, " + ", ".join(f"count(*) FILTER (WHERE id % 10 < {10 * f}) AS n_at_{i}" for i, f in enumerate(FRACTIONS)) + " FROM unsw_like GROUP BY attack_cat")
+def a28_categories(spark, sf):
+    rows = unsw_like(spark, sf)
+    reached = F.filter(F.array(*map(F.lit, FRACTIONS)), lambda f: F.col("id") % 10 < 10 * f)
+    out = R.pivot_counts(rows.select("attack_cat", F.explode_outer(reached).alias("fraction")), ["attack_cat"], "fraction", FRACTIONS)
+    return out.select("attack_cat", *[F.col(f"`n_{f}`").alias(f"n_at_{i}") for i, f in enumerate(FRACTIONS)])
+
+
+@query("a28_pivot_feature_run", "SELECT feature, " + ", ".join(f"round(avg(importance) FILTER (WHERE fold_name = 'Brand#{b}'), 6) AS importance_{b}" for b in _brands) + " FROM importances GROUP BY feature")
+def a28_features(spark, sf):
+    out = R.pivot_metrics(importances(spark, sf), ["feature"], "fold_name", [f"Brand#{b}" for b in _brands], ["importance"])
+    return out.select("feature", *[F.round(F.col(f"`importance_Brand#{b}`"), 6).alias(f"importance_{b}") for b in _brands])
+
+
 @query("a29_key_findings", """
 SELECT direction, round(max(a), 6) AS best_target_only_macro_f1, round(max(b), 6) AS best_transfer_macro_f1, round(max(b - a), 6) AS best_macro_f1_gain_vs_target_only,
  coalesce(string_agg(CAST(target_fraction AS VARCHAR), ',' ORDER BY target_fraction) FILTER (WHERE b - a > 0.005::DOUBLE), 'none') AS target_fractions_with_positive_macro_f1_gain,

@@ -10,6 +10,7 @@ from flowlab.operators import seeds as S
 from flowlab.operators import stability as T
 from flowlab.operators.joins import difficulty_join
 from flowlab.operators.ranking import curve_auc, normalize_share
+from flowlab.operators.stability import compatibility
 from flowlab.plans.adapters import METRICS, flows, importances, importances_b, r6, runs, sql_r6
 from flowlab.plans.audits import folds, gains, named_flows
 from flowlab.plans.registry import query, table
@@ -77,16 +78,40 @@ def d05(spark, sf):
     return D.difficulty_corr(joined).select("variable", "n_rows", *r6("spearman_corr_with_difficulty"))
 
 
-PREDICTORS = ["source_only_accuracy", "source_only_f1_macro", "source_only_f1_attack", "target_minus_source_f1_attack", "abs_attack_rate_gap"]
-_pl = " UNION ALL ".join(f"SELECT scope, '{p}' AS predictor, {p} AS value, primary_gain FROM scoped" for p in PREDICTORS)
+RUN_PREDICTORS = ["source_only_accuracy", "source_only_f1_macro", "source_only_f1_attack", "target_minus_source_f1_attack", "abs_attack_rate_gap"]
+RANK_PREDICTORS = ["pretrain_target_rank_spearman", "adapted_target_rank_spearman", "source_target_rank_spearman", "pretrain_target_top_3_overlap_ratio", "pretrain_target_top_5_overlap_ratio"]
+PREDICTORS = RUN_PREDICTORS + RANK_PREDICTORS
+#: Importance tables of the three stages stand beside the runs: a run's seed names the fold "Brand#<seed + 10>" of pretraining, + 20 of adaptation, + 30 of the source.
+STAGE_FOLDS = {"pretrain": 10, "adapted": 20, "source": 30}
+_pl = " UNION ALL ".join(f"SELECT scope, '{p}' AS predictor, {p} AS value, primary_gain FROM scoped WHERE {p} IS NOT NULL" for p in PREDICTORS)
+table("compat_stage", f"""
+SELECT s.fold_name, s.rank_spearman, t.r3 AS top_3_overlap_ratio, t.r5 AS top_5_overlap_ratio FROM compat s LEFT JOIN (
+ SELECT fold_name, count(*) FILTER (WHERE ra <= 3 AND rb <= 3) / 3.0::DOUBLE AS r3, count(*) FILTER (WHERE ra <= 5 AND rb <= 5) / 5.0::DOUBLE AS r5
+ FROM (SELECT fold_name, feature, row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) AS ra FROM importances) a
+ JOIN (SELECT fold_name, feature, row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) AS rb FROM importances_b) b USING (fold_name, feature) GROUP BY fold_name) t USING (fold_name)""")
+table("stage_gains", """
+SELECT g.*, p.rank_spearman AS pretrain_target_rank_spearman, a.rank_spearman AS adapted_target_rank_spearman, s.rank_spearman AS source_target_rank_spearman,
+ p.top_3_overlap_ratio AS pretrain_target_top_3_overlap_ratio, p.top_5_overlap_ratio AS pretrain_target_top_5_overlap_ratio FROM gains g
+ LEFT JOIN compat_stage p ON p.fold_name = concat('Brand#', g.seed + 10) LEFT JOIN compat_stage a ON a.fold_name = concat('Brand#', g.seed + 20) LEFT JOIN compat_stage s ON s.fold_name = concat('Brand#', g.seed + 30)""")
+
+
+def stage_gains(spark, sf):
+    compat = compatibility(importances(spark, sf), importances_b(spark, sf), ["fold_name"])
+    fold = F.regexp_extract("fold_name", r"(\d+)$", 1).cast("int")
+    out = gains(spark, sf)
+    for stage, shift in STAGE_FOLDS.items():
+        wanted = {f"{stage}_target_{c}": c for c in ("rank_spearman", "top_3_overlap_ratio", "top_5_overlap_ratio") if f"{stage}_target_{c}" in RANK_PREDICTORS}
+        own = compat.select((fold - shift).alias("stage_seed"), *[F.col(c).alias(n) for n, c in wanted.items()])
+        out = out.join(own, out["seed"] == own["stage_seed"], "left").drop("stage_seed")
+    return out
 
 
 @query("d06_predictor_correlations", f"""
-WITH scoped AS (SELECT 'overall' AS scope, * FROM gains UNION ALL SELECT concat('target_fraction=', CAST(target_fraction AS VARCHAR)) AS scope, * FROM gains)
+WITH scoped AS (SELECT 'overall' AS scope, * FROM stage_gains UNION ALL SELECT concat('target_fraction=', CAST(target_fraction AS VARCHAR)) AS scope, * FROM stage_gains)
 SELECT scope, predictor, count(*) AS n_runs, round({_corr('value', 'primary_gain')}, 6) AS pearson_corr, round({_corr('rx', 'ry')}, 6) AS spearman_corr, abs(round({_corr('value', 'primary_gain')}, 6)) AS abs_pearson_corr, abs(round({_corr('rx', 'ry')}, 6)) AS abs_spearman_corr
 FROM ({_ranks('value', 'primary_gain', 'scope, predictor')} FROM ({_pl}) l) r GROUP BY scope, predictor HAVING count(*) >= 3""")
 def d06(spark, sf):
-    out = D.predictor_corr(gains(spark, sf), PREDICTORS)
+    out = D.predictor_corr(stage_gains(spark, sf), PREDICTORS)
     return out.select("scope", "predictor", "n_runs", *r6("pearson_corr", "spearman_corr", "abs_pearson_corr", "abs_spearman_corr"))
 
 

@@ -304,16 +304,20 @@ def w13(spark, sf):
     return out.select("direction", "model", "seed", *r6(*[c for c in out.columns if c not in ("direction", "model", "seed")]))
 
 
-@query("w14_topk_overlap", """
-WITH a AS (SELECT fold_name, feature FROM importances QUALIFY row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) <= 3),
-b AS (SELECT fold_name, feature FROM importances_b QUALIFY row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) <= 3)
-SELECT fold_name, o AS overlap_count, round(o / 3.0::DOUBLE, 6) AS overlap_ratio, round(o::DOUBLE / (na + nb - o), 6) AS jaccard
-FROM (SELECT fold_name, count(a.feature) AS na, count(b.feature) AS nb, count(*) FILTER (WHERE a.feature IS NOT NULL AND b.feature IS NOT NULL) AS o FROM a FULL JOIN b USING (fold_name, feature) GROUP BY fold_name) x""")
+def _overlap_sql(k):
+    top = f"QUALIFY row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) <= {k}"
+    return f"""
+SELECT fold_name, {k} AS k, o AS overlap_count, round(o / {k}.0::DOUBLE, 6) AS overlap_ratio, round(o::DOUBLE / (na + nb - o), 6) AS jaccard
+FROM (SELECT fold_name, count(a.feature) AS na, count(b.feature) AS nb, count(*) FILTER (WHERE a.feature IS NOT NULL AND b.feature IS NOT NULL) AS o
+ FROM (SELECT fold_name, feature FROM importances {top}) a FULL JOIN (SELECT fold_name, feature FROM importances_b {top}) b USING (fold_name, feature) GROUP BY fold_name) x"""
+
+
+@query("w14_topk_overlap", " UNION ALL ".join(map(_overlap_sql, (3, 5))))
 def w14(spark, sf):
     from flowlab.plans.adapters import importances_b
 
-    out = R.topk_overlap(importances(spark, sf), importances_b(spark, sf), ["fold_name"], "feature", "importance", 3)
-    return out.select("fold_name", "overlap_count", *r6("overlap_ratio", "jaccard"))
+    parts = [R.topk_overlap(importances(spark, sf), importances_b(spark, sf), ["fold_name"], "feature", "importance", k).withColumn("k", F.lit(k)) for k in (3, 5)]
+    return parts[0].unionByName(parts[1]).select("fold_name", "k", "overlap_count", *r6("overlap_ratio", "jaccard"))
 
 
 @query("w15_spearman", """

@@ -12,6 +12,7 @@ from flowlab.operators import profile as P
 from flowlab.operators import runs as R
 from flowlab.operators import sampling as H
 from flowlab.operators.prefix import first_tp, latency
+from flowlab.operators.profile import one_row
 from flowlab.operators.stability import compatibility, importance_summary
 from flowlab.plans.adapters import FRACTIONS, METRICS, SQL_SPLIT, flows, importances, importances_b, pair_runs, pairs_meta, preds, r6, runs, sql_r6, unsw_like
 from flowlab.plans.audits import FOLD_METRICS, final_runs, folds, folds_b, gains, named_flows, unsw_split
@@ -119,7 +120,7 @@ def j08(spark, sf):
 @query("j09_semi_join", "SELECT row_id, scenario FROM flows WHERE scenario IN (SELECT scenario FROM folds WHERE f1_macro >= (SELECT avg(f1_macro) FROM folds))")
 def j09(spark, sf):
     good = folds(spark, sf)
-    mean = good.agg(F.avg("f1_macro")).first()[0]
+    mean = one_row(good.agg(F.avg("f1_macro").alias("mean")), ["mean"])["mean"]
     return J.semi(flows(spark, sf), good.where(F.col("f1_macro") >= mean), ["scenario"]).select("row_id", "scenario")
 
 
