@@ -126,21 +126,21 @@ def with_compat(gain: DataFrame, compat: DataFrame, keys: list[str] = ("pair_id"
 def resolve_pool(targets: DataFrame, registry: DataFrame) -> DataFrame:
     """Training pool of each target: exact group match, else same family, else every train domain.
 
-    Each level is its own equi-join; the best level that matches wins.  Full
-    pools are joined per dataset, so registry rows, not data rows, are paired.
+    Each level is its own equi-join and sees only the targets that no level before it
+    matched, so a full pool is listed only where nothing narrower exists. Registry
+    rows, not data rows, are paired.
     """
     train = registry.where("split = 'train'")
-    target = targets.select(F.col("domain_id").alias("target_domain_id"), "dataset", "grouping", "group_value", "domain_family")
+    open_ = targets.select(F.col("domain_id").alias("target_domain_id"), "dataset", "grouping", "group_value", "domain_family")
     levels = [
-        (1, "exact_group_match", ["dataset", "grouping", "group_value"]),
-        (2, "family_train_pool", ["dataset", "domain_family"]),
-        (3, "full_train_pool", ["dataset"]),
+        ("exact_group_match", ["dataset", "grouping", "group_value"]),
+        ("family_train_pool", ["dataset", "domain_family"]),
+        ("full_train_pool", ["dataset"]),
     ]
     parts = []
-    for rank, name, keys in levels:
-        hit = target.join(train.select(*keys, "domain_id"), keys)
-        parts.append(hit.groupBy("target_domain_id").agg(
-            F.lit(rank).alias("rank"), F.lit(name).alias("resolution"), F.array_sort(F.collect_set("domain_id")).alias("train_domain_ids")
-        ))
-    found = reduce(lambda a, b: a.unionByName(b), parts)
-    return found.groupBy("target_domain_id").agg(F.min_by(F.struct("resolution", "train_domain_ids"), "rank").alias("p")).select("target_domain_id", "p.*")
+    for name, keys in levels:
+        pool = train.select(*keys, "domain_id")
+        hit = open_.join(pool, keys)
+        parts.append(hit.groupBy("target_domain_id").agg(F.lit(name).alias("resolution"), F.array_sort(F.collect_set("domain_id")).alias("train_domain_ids")))
+        open_ = open_.join(pool.select(*keys).distinct(), keys, "left_anti")
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -18,10 +18,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.clean import fill_missing
 from flowlab.operators.metrics import best_threshold, cell_counts, confusion, metrics_fixed, metrics_present, threshold_sweep
-from flowlab.operators.order import column_quantiles, whole
-from flowlab.operators.prefix import latency, prefix_metrics
+from flowlab.operators.order import WHOLE, column_quantiles, whole
+from flowlab.operators.prefix import latency_of_cells, metrics_of_cells, prefix_cells
 from flowlab.operators.profile import class_counts, top_categories
 from flowlab.operators.sampling import balance, group_split, holdout, stratified_sample
 from flowlab.operators.splits import loao_split, loso_split
@@ -95,8 +94,10 @@ def imbalance_weight(df: DataFrame, label: str, out: str = "weight") -> DataFram
 # Fits
 
 def rf_stage(label: str, trees: int = 100, depth: int = 20, seed: int = 42, **params) -> RandomForestClassifier:
-    """MLlib trees stop at depth 30, so deeper settings are cut there."""
-    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=min(depth, 30), seed=seed, **params)
+    """MLlib trees stop at depth 30; a deeper setting raises an error."""
+    if depth > 30:
+        raise ValueError("trees deeper than 30 levels are not supported")
+    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, **params)
 
 
 def gbt_stage(label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, subsample: float = 0.9, seed: int = 42, **params) -> GBTClassifier:
@@ -130,6 +131,15 @@ def score(model, df: DataFrame, keep: list[str], threshold: float = 0.5) -> Data
     return model.transform(df).select(*keep, p.alias("y_score")).withColumn("y_pred", (F.col("y_score") >= threshold).cast("int"))
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Keeps a fitted pipeline in a folder that all executors reach."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def importances(model: PipelineModel, data: DataFrame) -> DataFrame:
     """(feature, importance), largest first; slot names come from the assembled vector's metadata."""
     spark = data.sparkSession
@@ -179,15 +189,18 @@ def fold_metrics(predictions: DataFrame) -> DataFrame:
     return metrics_present(confusion(predictions, ["fold"]))
 
 
-def early_detection(train: DataFrame, evals: dict[str, DataFrame], fit: Callable[[DataFrame], PipelineModel], label: str, fractions: list[float], by: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Fit, score each split once, then read every prefix from those scores: (metrics, latency)."""
+def early_detection(train: DataFrame, evals: dict[str, DataFrame], fit: Callable[[DataFrame], PipelineModel], label: str, fractions: list[float], by: list[str], order: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Fit, score and fix each split once, count its prefixes once, and read both tables from those counts: (metrics, latency)."""
     model = fit(train)
     curves, delays = [], []
     for name, df in evals.items():
-        scored = score(model, df, [*by, *order, F.col(label).alias("y_true")])
-        curves.append(prefix_metrics(scored, fractions, by, order).withColumn("split", F.lit(name)))
+        scored = cut_lineage(score(model, df, [*by, *order, F.col(label).alias("y_true")]))
+        groups = by or [WHOLE]
+        cells = prefix_cells(scored if by else whole(scored), sorted({*fractions, 1.0}), groups, order, cell_counts())
+        wanted = cells.where(F.col("fraction").isin(*map(float, fractions)))
+        curves.append(metrics_of_cells(wanted, groups).withColumn("split", F.lit(name)))
         if by:
-            delays.append(latency(scored, fractions, by, order).withColumn("split", F.lit(name)))
+            delays.append(latency_of_cells(cells, groups).where(F.col("fraction").isin(*map(float, fractions))).withColumn("split", F.lit(name)))
     return union_all(*curves), union_all(*delays) if delays else None
 
 
@@ -310,7 +323,3 @@ def pairwise(pairs: DataFrame, pools: Callable[[dict], tuple[DataFrame, DataFram
             run = transfer_grid(source, train, test, seed=seed, **grid)
             parts.append(run.withColumns({"pair_id": F.lit(pair["pair_id"]), "seed": F.lit(seed)}))
     return union_all(*parts)
-
-
-def prepared(df: DataFrame, num: list[str], cat: list[str], token: str = "unknown") -> DataFrame:
-    return fill_missing(df, num, cat, token)

@@ -63,11 +63,8 @@ def prefix_cells(df: DataFrame, fractions: list[float], by: list[str], order: li
     return summed.withColumn("rows_seen", prefix_size(F.col("n_group"), F.col("fraction")))
 
 
-def prefix_metrics(df: DataFrame, fractions: list[float], by: list[str], order: list[str], y_true: str = "y_true", y_pred: str = "y_pred", group_limit: int | None = None) -> DataFrame:
-    """Metrics of each fraction over all groups, with the detection rate of groups that hold attacks."""
-    if not by:
-        return prefix_metrics(whole(df), fractions, ["_all"], order, y_true, y_pred, group_limit)
-    cells = prefix_cells(df, fractions, by, order, cell_counts(y_true, y_pred), group_limit=group_limit)
+def metrics_of_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics per fraction over all groups of ``prefix_cells``, with the detection rate of groups that hold attacks."""
     last = F.max(F.col("tp") + F.col("fn")).over(Window.partitionBy(*by))
     cells = cells.withColumn("attacks", last)
     rate = F.avg(F.when(F.col("attacks") > 0, (F.col("tp") > 0).cast("double")))
@@ -77,18 +74,29 @@ def prefix_metrics(df: DataFrame, fractions: list[float], by: list[str], order:
     return metrics_present(total).withColumnRenamed("n_rows", "rows_evaluated")
 
 
-def latency(df: DataFrame, fractions: list[float], by: list[str], order: list[str], y_true: str = "y_true", y_pred: str = "y_pred", group_limit: int | None = None) -> DataFrame:
-    """Per group and fraction: rows seen and whether the prefix holds an attack, an alarm, a hit."""
-    tops = sorted({*fractions, 1.0})
-    cells = prefix_cells(df, tops, by, order, cell_counts(y_true, y_pred), group_limit=group_limit)
+def latency_of_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and fraction of ``prefix_cells``, whose fractions end at 1: rows seen and whether the prefix holds an attack, an alarm, a hit."""
     attacks = F.max(F.col("tp") + F.col("fn")).over(Window.partitionBy(*by))
-    table = cells.select(
+    return cells.select(
         *by, "fraction", "rows_seen", F.col("n_group").alias("scenario_rows_total"), attacks.alias("scenario_attack_rows_total"),
         (F.col("tp") + F.col("fn") > 0).alias("prefix_has_true_attack"),
         (F.col("tp") + F.col("fp") > 0).alias("prefix_has_predicted_attack"),
         (F.col("tp") > 0).alias("prefix_has_true_positive"),
     )
-    return table.where(F.col("fraction").isin(*map(float, fractions)))
+
+
+def prefix_metrics(df: DataFrame, fractions: list[float], by: list[str], order: list[str], y_true: str = "y_true", y_pred: str = "y_pred", group_limit: int | None = None) -> DataFrame:
+    """Metrics of each fraction over all groups, with the detection rate of groups that hold attacks."""
+    if not by:
+        return prefix_metrics(whole(df), fractions, ["_all"], order, y_true, y_pred, group_limit)
+    return metrics_of_cells(prefix_cells(df, fractions, by, order, cell_counts(y_true, y_pred), group_limit=group_limit), by)
+
+
+def latency(df: DataFrame, fractions: list[float], by: list[str], order: list[str], y_true: str = "y_true", y_pred: str = "y_pred", group_limit: int | None = None) -> DataFrame:
+    """Per group and fraction: rows seen and whether the prefix holds an attack, an alarm, a hit."""
+    tops = sorted({*fractions, 1.0})
+    cells = prefix_cells(df, tops, by, order, cell_counts(y_true, y_pred), group_limit=group_limit)
+    return latency_of_cells(cells, by).where(F.col("fraction").isin(*map(float, fractions)))
 
 
 def first_tp(table: DataFrame, by: list[str]) -> DataFrame:

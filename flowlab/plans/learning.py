@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import align as A
 from flowlab.operators import models as E
+from flowlab.operators.prefix import detection_rate, first_tp, first_tp_summary
 from flowlab.plans.adapters import FRACTIONS, SQL_SPLIT, TEST, VAL, flows, flows_raw, preds, r6, split_of, unsw_like, zeek_lines
 from flowlab.plans.registry import query
 from flowlab.schemas import CATEGORICAL, ENGINEERED, NUMERIC
@@ -138,9 +139,13 @@ def e09_attack(spark, sf):
 
 @query("e10_early_detection")
 def e10(spark, sf):
+    """Curve per fraction beside the detection rate of attack scenarios and when each was first hit."""
     parts = _by_split(spark, sf)
-    curves, _ = E.early_detection(parts["train"], {"val": parts["val"], "test": parts["test"]}, _rf, "label_binary", FRACTIONS, ["scenario"], ["ts", "row_id"])
-    return curves.select("split", "fraction", "rows_evaluated", "n_scenarios", *r6("malicious_scenarios_detected_rate", *REPORT))
+    curves, delays = E.early_detection(parts["train"], {"val": parts["val"], "test": parts["test"]}, _rf, "label_binary", FRACTIONS, ["scenario"], ["ts", "row_id"])
+    rates = detection_rate(delays, ["split", "fraction"]).select("split", "fraction", "detection_rate", F.col("n_scenarios").alias("n_attack_scenarios"))
+    firsts = first_tp_summary(first_tp(delays, ["split", "scenario"]), ["split"]).select("split", "n_valid_rows", "mean_fraction", "median_fraction", "min_fraction", "max_fraction")
+    out = curves.join(rates, ["split", "fraction"], "left").join(firsts, "split", "left")
+    return out.select("split", "fraction", "rows_evaluated", "n_scenarios", *r6("malicious_scenarios_detected_rate", *REPORT, "detection_rate"), "n_attack_scenarios", F.col("n_valid_rows").alias("n_detected"), *r6("mean_fraction", "median_fraction", "min_fraction", "max_fraction"))
 
 
 @query("e11_importances")
@@ -166,9 +171,9 @@ def m15(spark, sf):
 
 
 def _scored_stream(spark, sf):
-    """The events table as a stream, one file per micro-batch, scored as the predictions are."""
+    """The events table as a stream, two files per micro-batch, scored as the predictions are."""
     source = work_path(spark, "stream-in")
-    preds(spark, sf).select("scenario", "ts", "y_true", "y_pred").repartition(4).write.parquet(source)
+    preds(spark, sf).select("scenario", "ts", "y_true", "y_pred").write.parquet(source)
     return spark.readStream.schema("scenario string, ts double, y_true int, y_pred int").option("maxFilesPerTrigger", 2).parquet(source)
 
 
