@@ -36,6 +36,16 @@ def profiles(df: DataFrame, cols: list[str], by: str = "scenario") -> DataFrame:
     return scaled.withColumn("value", (F.col("value") - F.avg("value").over(whole)) / F.when(std == 0, 1.0).otherwise(std))
 
 
+#: Parts that the right side of a pair join is dealt in; the left side, one row per scenario and key, is repeated as often.
+TILES = 8
+
+
+def tiled(left: DataFrame, right: DataFrame, key: str, owner: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a second join key, so that a key which all scenarios share is joined in TILES tasks."""
+    left = left.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
+    return left, right.withColumn("_tile", F.pmod(F.xxhash64(owner), F.lit(TILES)).cast("int"))
+
+
 def cosine_matrix(long: DataFrame, by: str = "scenario", key: str = "feature") -> DataFrame:
     """Cosine of every two scenarios that share a key; pairs without one are 0 and not listed."""
     norm = F.greatest(F.sqrt(F.sum(F.col("value") * F.col("value"))), F.lit(NORM_FLOOR))
@@ -43,7 +53,8 @@ def cosine_matrix(long: DataFrame, by: str = "scenario", key: str = "feature") -
     unit = settle(unit)
     left = unit.select(F.col(by).alias("a"), key, F.col("u").alias("ua"))
     right = unit.select(F.col(by).alias("b"), key, F.col("u").alias("ub"))
-    return left.join(right, key).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    left, right = tiled(left, right, key, "b")
+    return left.join(right, [key, "_tile"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
 
 
 def mean_js(profile: DataFrame, by: str = "scenario", key: str = "label", value: str = "ratio") -> DataFrame:
@@ -58,7 +69,8 @@ def mean_js(profile: DataFrame, by: str = "scenario", key: str = "label", value:
     right = p.select(F.col(by).alias("b"), key, F.col(value).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     common = F.col("p") * F.log2(F.col("p") / m) + F.col("q") * F.log2(F.col("q") / m)
-    pairs = left.join(right, (left[key] == right[key]) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(
+    left, right = tiled(left, right, key, "b")
+    pairs = left.join(right, [key, "_tile"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(
         ((F.sum(common) + (1 - F.sum("p")) + (1 - F.sum("q"))) / 2).alias("js")
     )
     met = pairs.agg(F.count(F.lit(1)).alias("met"), F.coalesce(F.sum("js"), F.lit(0.0)).alias("total"))
