@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import math
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from flowlab.llm.common import sha256_hex
+
 #: Words of an item that may be edited, as a share, rounded down: similarity of 0.8 and more.
 EDIT_SHARE = 0.2
 #: Items of fewer words name nothing specific and are not searched.
@@ -332,28 +333,24 @@ def batch_matches(index: Index, texts: list[bytes | None]):
 
 
 def _indexed(spark, block: tuple[list, list]):
-    """The block as a broadcast; every worker builds its index once."""
+    """The block as a broadcast; every worker builds its index once, known by what is in the block."""
     held = spark.sparkContext.broadcast(block)
-    name = zlib.crc32(repr(block[0][:50]).encode())
+    name = sha256_hex(repr(block).encode("utf-8", "replace"))
 
     def index() -> Index:
-        return _built(held, name)
+        slot = _slot(name)
+        if not slot:
+            slot.append(Index(*held.value))
+        return slot[0]
 
     return index
 
 
 @functools.lru_cache(maxsize=2)
-def _cached(key) -> list:
+def _slot(name: str) -> list[Index]:
     return []
 
 
-def _built(held, name) -> Index:
-    slot = _cached((held.id if hasattr(held, "id") else 0, name))
-    if not slot:
-        slot.append(Index(*held.value))
-    return slot[0]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start, stop) of every document and item it holds, documents in whole.
 
