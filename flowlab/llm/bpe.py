@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlab.llm.common import as_lists, sha256_hex
+from flowlab.llm.common import as_lists, expand, sha256_hex, squeeze
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
 #: Pieces that a chunk's distinct words are dealt in.
 BUCKETS = 64
 #: Words that a task keeps with their ids, at most; the ids of others are computed again.
@@ -86,24 +86,24 @@ def _batch(chunk: list[str], bucket: list[int], data: list[bytes]) -> pa.RecordB
 
 
 def _chunk_rows(name: str, ids: list, codes: list[np.ndarray], rest: dict[str, int], first: dict[str, int], buckets: int):
-    """A row of words for every bucket that has some, and a last row with the documents' codes.
+    """A row of words for every bucket that has some, a row with the documents' words, and one with the documents.
 
-    Codes are renumbered to the order of the words in the buckets.
+    Words are numbered by falling frequency in the chunk, and stand in their bucket in that order.
     """
     words, old = [" " + w for w in rest] + list(first), np.fromiter([*rest.values(), *first.values()], np.int64, len(rest) + len(first))
-    dealt = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(dealt, kind="stable")
-    new = np.empty(len(words), np.uint32)
-    new[old[order]] = np.arange(len(words), dtype=np.uint32)
-    bounds = np.searchsorted(dealt[order], np.arange(buckets + 1))
-    listed = pa.array(words, pa.large_string()).take(pa.array(order))
-    for k in range(buckets):
-        if bounds[k] < bounds[k + 1]:
-            yield _batch([name], [k], [packed(word=listed.slice(bounds[k], bounds[k + 1] - bounds[k]))])
-    flat = new[np.concatenate(codes)] if codes else np.empty(0, np.uint32)
-    lengths = [len(c) for c in codes]
-    yield _batch([name], [buckets], [packed(code=flat)])
-    yield _batch([name], [buckets + 1], [packed(doc_id=pa.array(ids), length=lengths)])
+    flat = np.concatenate(codes)
+    by_code = np.empty(len(words), np.int64)
+    by_code[old] = np.arange(len(words))
+    order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    new = np.empty(len(words), np.int64)
+    new[order] = np.arange(len(words))
+    listed = [words[k] for k in by_code[order].tolist()]
+    dealt = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in listed), np.int64, len(listed))
+    column = pa.array(listed, pa.large_string())
+    for k in np.unique(dealt).tolist():
+        yield _batch([name], [k], [packed(word=column.take(pa.array(np.flatnonzero(dealt == k))))])
+    yield _batch([name], [buckets], [squeeze(new[flat], dealt)])
+    yield _batch([name], [buckets + 1], [packed(doc_id=pa.array(ids), length=[len(c) for c in codes])])
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
@@ -160,7 +160,7 @@ def encoded_words(chunks: DataFrame, path: str | None = None, buckets: int = BUC
                     found.append(ids)
                 counts = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
-                yield _batch([chunk], [bucket], [packed(count=pa.array([counts]), ids=pa.array([flat]))])
+                yield _batch([chunk], [bucket], [squeeze(counts, flat)])
 
     spread = F.when(F.col("bucket") < buckets, F.col("bucket").cast("string")).otherwise(F.col("chunk"))
     return chunks.repartition(spread).mapInArrow(run, CHUNK_SCHEMA)
@@ -170,27 +170,29 @@ def assembled(encoded: DataFrame, finish, schema: str, buckets: int = BUCKETS) -
     """Rows that ``finish(doc_ids, arrays of ids)`` makes of each chunk's documents."""
 
     def run(batches):
-        held: list[tuple] = []
-        flat = None
+        held, texts = [], None
         for b in batches:
             for chunk, bucket, data in zip(*(c.to_pylist() for c in b.columns)):
-                own = opened(data)
                 if bucket < buckets:
-                    held.append((own.column("count")[0].values.to_numpy(), own.column("ids")[0].values.to_numpy()))
+                    held.append(expand(data))
                 elif bucket == buckets:
-                    flat = own.column("code").to_numpy()
+                    texts = expand(data)
                 else:
-                    yield from finish(own.column("doc_id"), _documents(held, flat, own.column("length").to_numpy()))
-                    held, flat = [], None
+                    own = opened(data)
+                    yield from finish(own.column("doc_id"), _documents(held, *texts, own.column("length").to_numpy()))
+                    held, texts = [], None
 
     return encoded.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
 
 
-def _documents(held: list[tuple], codes: np.ndarray, lengths: np.ndarray):
+def _documents(held: list[list[np.ndarray]], codes: np.ndarray, dealt: np.ndarray, lengths: np.ndarray):
     """The ids of each document of a chunk, in the order of its words."""
-    counts = np.concatenate([c for c, _ in held]).astype(np.int64) if held else np.empty(0, np.int64)
-    ids = np.concatenate([i for _, i in held]) if held else np.empty(0, np.uint32)
-    starts = np.cumsum(counts) - counts
+    order = np.argsort(dealt, kind="stable")
+    counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    ids = np.concatenate([i for _, i in held]).astype(np.uint32) if held else np.empty(0, np.uint32)
+    if held:
+        own = np.concatenate([c for c, _ in held])
+        counts[order], starts[order] = own, np.cumsum(own) - own
     ends = np.cumsum(lengths.astype(np.int64))
     for end, length in zip(ends.tolist(), lengths.tolist()):
         own = codes[end - length : end]
