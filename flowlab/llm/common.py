@@ -165,13 +165,25 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def smallest_hashes(df: DataFrame, key: str, rows: int, size: int) -> DataFrame:
+    """About ``rows`` rows, never more: those with the smallest hash of ``key``, of ``size`` rows with distinct keys.
+
+    Rows far above the expected cut are filtered first, so that tasks hand few rows to the final ordering.
+    """
+    spread = 1 << 20
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(spread))
+    cut = spread if size <= rows else int(spread * min(1.0, (2 * rows + 100) / size)) + 1
+    return df.where(place < cut).orderBy(place, key).limit(rows)
+
+
 def labelled_ids(labels: DataFrame, column: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents, (doc_id, label): those with the smallest hash of their id.
+    """At most ``rows`` labelled documents, (doc_id, label), chosen by a hash of their id.
 
     Rows without id or label are left out; of contradicting labels the smaller counts.
     """
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    return known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    single = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    return smallest_hashes(single, "doc_id", rows, single.count())
 
 
 def with_sample(docs: DataFrame, sample: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import ASCII_LOWER, map_rows
+from flowlab.llm.common import ASCII_LOWER, map_rows, smallest_hashes
 from flowlab.session import cut_lineage
 
 SHINGLE = 4
@@ -297,8 +297,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Stars (u, v) that connect all fingerprints of ``nodes`` whose links of at most ``distance`` bits connect them."""
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    parts = plan(sample, nodes.count(), distance)
+    count = nodes.count()
+    sample = smallest_hashes(nodes.select("fp"), "fp", PLAN_SAMPLE, count).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    parts = plan(sample, count, distance)
     keyed = filed(nodes, parts)
     hot = cut_lineage(keyed.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key"))
     if hot.isEmpty():
