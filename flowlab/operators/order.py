@@ -83,6 +83,12 @@ def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
     return settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group")))
 
 
+def window_limit(by: list[str], group_limit: int | None) -> int:
+    """Rows of a group that one window task may rank; a whole table, which has one group, gets few."""
+    limit = GROUP_LIMIT if group_limit is None else group_limit
+    return min(limit, CANDIDATES) if by == [WHOLE] else limit
+
+
 def largest(sizes: DataFrame) -> int:
     return sizes.agg(F.max("n_group")).first()[0] or 0
 
@@ -164,7 +170,7 @@ def mark_first(
     """
     columns = df.columns
     df, order = total_order(df, order)
-    limit = GROUP_LIMIT if group_limit is None else group_limit
+    limit = window_limit(by, group_limit)
     sizes = group_sizes(df, by) if sizes is None else sizes
     if largest(sizes) <= limit:
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

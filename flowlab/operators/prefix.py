@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.operators.metrics import CELLS, cell_counts, metrics_present
-from flowlab.operators.order import GROUP_LIMIT, cut_keys, first_rows, group_sizes, key_after, largest, total_order, whole
+from flowlab.operators.order import cut_keys, first_rows, group_sizes, key_after, largest, total_order, whole, window_limit
 from flowlab.session import settle
 
 
@@ -36,7 +36,7 @@ def prefix_bucket(df: DataFrame, fractions: list[float], by: list[str], order: l
     """Adds ``bucket``: how many of the rising fractions end before the row; rows without a time come last."""
     columns = df.columns
     df, order = total_order(df, order)
-    if largest(sizes) <= (GROUP_LIMIT if group_limit is None else group_limit):
+    if largest(sizes) <= window_limit(by, group_limit):
         pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         ended = sum(((F.col("_pos") > prefix_size(F.col("n_group"), f)).cast("int") for f in fractions), F.lit(0))
         return df.withColumn("_pos", pos).join(sizes, by).select(*columns, ended.alias("bucket"))
