@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlab.llm.common import as_lists, expand, sha256_hex, squeeze
+from flowlab.llm.common import LEVEL, as_lists, expand, sha256_hex, squeeze
 
 CHUNK_BYTES = 32 << 20
 #: Pieces that a chunk's distinct words are dealt in.
@@ -68,7 +68,7 @@ def packed(**columns) -> bytes:
     """Columns as one compressed Arrow stream."""
     batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

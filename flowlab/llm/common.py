@@ -82,6 +82,10 @@ def as_lists(batch: pa.RecordBatch) -> dict[str, list]:
     return {name: listed(batch.column(i)) for i, name in enumerate(batch.schema.names)}
 
 
+#: Compression level of packed numbers and words.
+LEVEL = 9
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers, byte plane by byte plane, compressed; whole numbers in as few bytes as they need."""
     out = [struct.pack("<I", len(arrays))]
@@ -93,7 +97,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
             top = int(a.max()) if len(a) else 0
             wide = a.astype(f"<u{1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8}")
         planes = np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes()
-        body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        body = pa.Codec("zstd", compression_level=LEVEL).compress(planes, asbytes=True) if planes else b""
         out += [struct.pack("<?BQQ", real, wide.itemsize, len(a), len(body)), body]
     return b"".join(out)
 
