@@ -35,7 +35,7 @@ from flowlab.session import work_path
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Counts up to K are discounted.
 K = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Partitions of the tables.
 BUCKETS = 64
 #: The end of a text as a word; no word holds a blank.
