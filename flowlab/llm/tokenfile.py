@@ -10,6 +10,7 @@ it. The file is a Parquet folder, so that Spark commits it and any store holds i
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from flowlab.llm.common import ASCII_LOWER
 from flowlab.session import work_path
 
 END_ID = 2
@@ -25,7 +27,7 @@ BLOCK = 4_096
 #: Ids of a segment, at most, unless one document has more.
 SEGMENT_IDS = 1 << 20
 #: Words that a Python worker keeps with their ids, at most.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 420_000
 
 
 def id_bits(vocabulary: int) -> int:
@@ -67,12 +69,25 @@ def ids_between(packed: bytes, offsets, bits: int, total: int, start: int, stop:
     return unpack(packed[offsets[first] : end], bits, held)[start - first * BLOCK : stop - first * BLOCK]
 
 
+#: Words whose pieces do not depend on a Unicode version: letters of the first Latin blocks (without the one that lower-cases to two), ASCII digits and signs but "<".
+PLAIN_WORD = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: The pieces that the tokenizer splits a lower-cased word of such characters into.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+
+#: A full stop or comma between a letter and white space is a piece of its own.
+CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+
+
 class WordEncoder:
     """Encodes texts word by word.
 
     The tokenizer drops white space and none of its steps reaches over it, so a
-    text's ids are those of its words. New words go to the tokenizer in one text,
-    parted by its end-of-text token, and are kept for the worker's later tasks.
+    text's ids are those of its words. New words go to the tokenizer in one text, are
+    told apart by the tokens that end a piece, of which each word's number is known,
+    and are kept for the worker's later tasks. Words with other than plain letters,
+    digits and signs, or with a special token, are encoded alone. Texts without special
+    tokens are lower-cased first, as the tokenizer would, and parted from closing
+    stops and commas, which leaves fewer distinct words.
     """
 
     def __init__(self, path: str | None):
@@ -82,27 +97,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        #: tokens that end a piece, by their mark in the vocabulary
+        self.ends_piece = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends_piece[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
     def learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if self.mark_id is not None and "<|" not in t]
+        plain = [i for i, t in enumerate(texts) if PLAIN_WORD.fullmatch(t)]
+        rest = set(range(len(words))).difference(plain)
         if plain:
-            ids = self._ids(self.mark.join(texts[i] for i in plain))
-            bounds = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]]).tolist()
-            data, size = ids.tobytes(), self.dtype.itemsize
-            for i, a, b in zip(plain, bounds, bounds[1:]):
-                self.known[words[i]] = data[(a + 1) * size : b * size]
-        for i in set(range(len(words))) - set(plain):
-            self.known[words[i]] = self._ids(texts[i]).tobytes()
+            pieces = np.cumsum([1 if texts[i].isalpha() else len(PIECES.findall(texts[i].lower())) for i in plain])
+            ids = np.array(self._encode([" ".join(texts[i] for i in plain)])[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_piece[ids]) + 1
+            if len(ends) == pieces[-1]:
+                bounds = [0, *ends[pieces - 1].tolist()]
+                data, size = ids.tobytes(), self.dtype.itemsize
+                for i, a, b in zip(plain, bounds, bounds[1:]):
+                    self.known[words[i]] = data[a * size : b * size]
+            else:
+                rest.update(plain)
+        alone = sorted(rest)
+        for i, found in zip(alone, self._encode([texts[i] for i in alone])):
+            self.known[words[i]] = np.array(found.ids, self.dtype).tobytes()
+
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def encode(self, data: bytes | None) -> bytes:
         """The ids of a whole text as little-endian numbers of ``dtype``."""
+        if data and b"<|" not in data:
+            data = CLOSING.sub(rb" \1", data.translate(ASCII_LOWER))
         words = data.split() if data else []
         try:
             return b"".join(map(self.known.__getitem__, words))
