@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlab.session import work_path
+from flowlab.session import settle, work_path
 
 #: A class is valid if its tokens are on this share of a host's pages, and has this many tokens.
 MIN_SHARE, MIN_TOKENS = 0.5, 2
@@ -225,7 +225,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 def templates(tokens: DataFrame) -> DataFrame:
     """(host, mains): the tokens of each host's main slots."""
-    own = tokens.groupBy("host", "token").agg(
+    summed = tokens.groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"),
         F.count("*").alias("pages"),
         F.sum("chars").alias("chars"),
@@ -234,6 +234,8 @@ def templates(tokens: DataFrame) -> DataFrame:
         F.max("dropped").alias("dropped"),
         F.max("kind").alias("kind"),
     )
+    # Three tables are read from these sums; settled, the pages are parsed for them once.
+    own = settle(summed)
     classes = own.groupBy("host", "vector").agg(F.count("*").alias("size"))
     roots = own.where("token = 0").select("host", F.col("pages").alias("all_pages"), (F.col("chars") - F.col("links")).alias("all_text"))
     valid = own.join(classes, ["host", "vector"]).join(roots, "host").where((F.col("size") >= MIN_TOKENS) & (F.col("pages") >= MIN_SHARE * F.col("all_pages")) & (F.col("dropped") == 0) & (F.col("token") != 0))
