@@ -65,15 +65,16 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every whole text, one row per row of ``docs``; fp is the signed form of the 64 bits."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) and the columns ``more`` of every whole text, one row per row of ``docs``; fp is the signed form of the 64 bits."""
 
     def make(batches):
         for b in batches:
-            yield {"doc_id": b["doc_id"], "fp": [signed(fingerprint(t)) for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "fp": [signed(fingerprint(t)) for t in b["text"]]} | {c: b[c] for c in more}
 
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, fp long")
+    return map_rows(docs.select("doc_id", "text", *more), make, f"doc_id {kind}, fp long{kinds}")
 
 
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -287,14 +288,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     such rows has no id. Other columns are not read.
     """
     printed = cut_lineage(fingerprints(docs))
-    nodes = cut_lineage(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    edges = links(nodes, distance)
-    roots = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    roots = rooted(printed, distance)
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = roots.join(ids, "root").select("fp", "component_id")
     return printed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rooted(printed: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, first_id, root) of every distinct fingerprint: its smallest doc_id and the smallest fingerprint of its component."""
+    nodes = cut_lineage(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = components(links(nodes, distance)).withColumnRenamed("node", "fp")
+    return nodes.join(found, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Stars (u, v) that connect all fingerprints of ``nodes`` whose links of at most ``distance`` bits connect them."""
     count = nodes.count()
@@ -310,14 +316,18 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The document with the smallest doc_id of every component, with all its columns.
+    """One row of every component, with all its columns: that with the smallest doc_id.
 
-    Rows that repeat a doc_id count as one document, of which one row stays; rows
-    without doc_id stay only if no row of their component has one.
+    Rows are told apart by doc_id and the digest of their text, so rows without doc_id
+    and different texts under one doc_id are decided each in its own component. A row
+    without doc_id stays only if no row of its component has one; of rows that have
+    the smallest doc_id in common, the one with the smallest digest stays.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), distance)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    names = docs.columns
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    joined = rows.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return joined.dropDuplicates(["row_id"]).select("row.*")
+    digest = F.unhex(F.md5("text"))
+    printed = cut_lineage(fingerprints(docs.select("doc_id", "text", digest.alias("digest")), "digest"))
+    own = printed.join(rooted(printed, distance).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "digest")).alias("first")
+    kept = own.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    rows = docs.select(F.col("doc_id").alias("row_id"), digest.alias("row_digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")) & F.col("row_digest").eqNullSafe(F.col("kept_digest")), "left_semi")
+    return joined.dropDuplicates(["row_id", "row_digest"]).select("row.*")

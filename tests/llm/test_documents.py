@@ -94,6 +94,16 @@ def test_near_duplicates(documents, texts, odd, nothing):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted({c for _, _, c in classes([(r["doc_id"], plain_fingerprint(r["text"])) for r in odd.collect()]) if c != "None"} | {"None"})
 
 
+def test_keep_one_decides_per_component(spark):
+    """Rows without id, and different texts under one id, are documents of their own."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(500)], 60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (5, texts[3]), (5, texts[4]), (2, texts[5]), (5, texts[5])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted([(None, texts[0]), (None, texts[1]), (3, texts[2]), (5, texts[3]), (5, texts[4]), (2, texts[5])], key=key)
+
+
 def random_prints(rng, count):
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     out = []
