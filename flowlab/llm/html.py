@@ -1,13 +1,15 @@
 """Main text of web pages by deducing each host's template.
 
-A token of a page is an element with its path of tags and classes. Over the pages
-of a host, tokens that occur equally often on every page share an occurrence
-vector and form an equivalence class; a vector is compared by the sum of hashes of
-(page, count), so that Spark sums it without gathering pages. Classes with two
-and more tokens on enough pages are valid, and nest by their paths into the
-host's template. The template's slot with the article is found by its element's
-meaning, else by its share of the text outside links. What stands in that slot is
-the text; parts whose element or class marks them as no part of the article go.
+A token of a page is an element with its path of tags and classes. Over the pages of a host, tokens that occur
+equally often on every page share an occurrence vector and form an equivalence
+class; a vector is compared by the sum of hashes of (page, count), so that Spark
+sums it without gathering pages. Classes with two and more tokens (a block counts
+its words) on enough pages are valid; their blocks are the template's text. The
+path of a token is its place in the template. The template's slot with the article
+is found by its element's meaning, else it is the deepest element that keeps
+nearly all text outside links and template. The text is what stands in that slot
+without the template's blocks and without parts whose element or class marks them
+as no part of the article.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from flowlab.session import settle, work_path
 
 #: A class is valid if its tokens are on this share of a host's pages, and has this many tokens.
 MIN_SHARE, MIN_TOKENS = 0.5, 2
-#: The slot without a telling element is the deepest one with this share of a host's text outside links.
-TEXT_SHARE = 0.5
+#: Least number of different pages that a block of a template is on.
+MIN_PAGES = 3
+#: The slot without a telling element is the deepest one with this share of a host's text outside links and template, and with all headings.
+KEPT_SHARE = 0.95
+#: A marked element with this share of a page's article text is a wrapper around it.
+WRAPPER_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg xmp object canvas math".split())
@@ -34,12 +40,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i in
 #: Elements that are no part of an article wherever they stand; those of the second set only outside of one.
 DROPPED = frozenset("nav aside footer form button select option menu dialog fieldset input head".split())
 DROPPED_OUTSIDE = frozenset("header".split())
+#: Of these, and of marked elements, those that hold the article are wrappers.
+WRAPPERS = frozenset("form fieldset header".split())
+HEADINGS = frozenset("h1 h2".split())
 #: Names in class, id and role that mark the same.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|masthead|site-?header|comments?|commentlist|discussion|disqus|replies|reply|cookies?|consent|gdpr|notices?|popup|modal|overlay|alert"
     r"|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|teaser|widget|toolbar|pagination|pager|skip|contentinfo|complementary|navigation|search|form|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Of these names, those that have much text by their nature: they are wrappers only around a telling element.
+WORDY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|comments?|commentlist|discussion|disqus|replies|reply|cookies?|consent|gdpr|newsletter|related|recommend\w*|teaser|footer|contentinfo|disclaimer)(?:$|[\s_-])", re.IGNORECASE)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -54,11 +65,19 @@ def url_host(url: str | None) -> str:
 
 
 class Element:
-    __slots__ = ("tag", "path", "depth", "dropped", "kind", "inside", "link", "chars", "links")
+    """An element of a page. ``hard`` elements are dropped with all they hold, ``soft`` ones unless they turn out as wrappers."""
 
-    def __init__(self, tag, path, depth, dropped, kind, inside, link):
-        self.tag, self.path, self.depth, self.dropped, self.kind, self.inside, self.link = tag, path, depth, dropped, kind, inside, link
-        self.chars = self.links = 0
+    __slots__ = ("tag", "path", "depth", "above", "hard", "soft", "wordy", "kind", "article", "link", "head", "dropped", "inside", "chars", "links", "heads", "all_chars", "strongest", "told")
+
+    def __init__(self, tag, path, above, hard, soft, wordy, kind):
+        self.tag, self.path, self.above, self.hard, self.soft, self.wordy, self.kind = tag, path, above, hard, soft, wordy, kind
+        self.depth = above.depth + 1 if above else 0
+        self.article = kind > 0 or above is not None and above.article
+        self.link = tag == "a" or above is not None and above.link
+        self.head = tag in HEADINGS or above is not None and above.head
+        self.dropped = self.inside = False
+        self.chars = self.links = self.heads = self.all_chars = self.strongest = 0
+        self.told = None
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -74,38 +93,109 @@ def _kind(tag: str, attrs: dict[str, str]) -> int:
 
 
 class Page:
-    """One pass over a page: its text blocks with their place, and the counts of its tokens."""
+    """A page's elements and text blocks in order, and which of them are dropped or inside the main slots."""
 
     def __init__(self, source: str, mains: frozenset[int] | None = None):
         self.mains = mains
-        self.tokens: dict[int, list[int]] = {}
-        self.blocks: list[tuple[str, bool]] = []
-        self.found = False
-        self.parts: list[str] = []
-        root = Element("", 0, 0, False, 0, mains is not None and 0 in mains, False)
-        self.stack = [root]
+        #: Every block as the element around it and its pieces of text with theirs.
+        self.blocks: list[tuple[Element, list[tuple[Element, str]]]] = []
+        self.parts: list[tuple[Element, str]] = []
+        root = Element("", 0, None, False, False, False, 0)
+        self.elements, self.stack = [root], [root]
         self._read(source)
         self._break()
-        while self.stack:
-            self._pop()
+        self._wrappers()
+        self.found = self._place(mains)
 
     def _break(self) -> None:
         """Ends the running block."""
         if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
-            if text:
-                self.blocks.append((text, self.stack[-1].inside))
+            around = self.stack[-1]
+            while around.tag in INLINE and around.above:
+                around = around.above
+            self.blocks.append((around, self.parts))
             self.parts = []
 
     def _pop(self) -> None:
-        e = self.stack.pop()
-        if self.stack:
-            self.stack[-1].chars += e.chars
-            self.stack[-1].links += e.links
-        own = self.tokens.setdefault(e.path, [0, 0, 0, e.depth, int(e.dropped), e.kind])
-        own[0] += 1
-        own[1] += e.chars
-        own[2] += e.links
+        self.stack.pop()
+
+    def _wrappers(self) -> None:
+        """Soft elements that hold the article, by their share of its text, are not dropped.
+
+        With telling elements, these hold one of a stronger kind than all outside of soft
+        elements, and most of the text in telling ones; else most of the text outside links.
+        """
+        if not any(e.soft for e in self.elements):
+            return
+        for _, parts in self.blocks:
+            for e, t in parts:
+                if not e.link:
+                    e.all_chars += _size(t)
+        for e in self.elements:
+            e.told = [0] * (BODY + 1)
+        for e in reversed(self.elements):
+            if e.kind:
+                e.told[e.kind] = e.all_chars
+                e.strongest = max(e.strongest, e.kind if e.all_chars else 0)
+            if e.above:
+                e.above.all_chars += e.all_chars
+                e.above.strongest = max(e.above.strongest, e.strongest)
+                for k in range(1, BODY + 1):
+                    e.above.told[k] += e.told[k]
+        root = self.elements[0]
+        free = 0
+        for e in self.elements[1:]:
+            e.dropped = e.above.dropped or e.hard or e.soft
+            if e.kind and not e.dropped and e.all_chars:
+                free = max(free, e.kind)
+        for e in self.elements[1:]:
+            if not e.soft:
+                continue
+            k = e.strongest
+            if k > free:
+                whole = root.all_chars if e.wordy else max(root.told)
+                wrapper = e.told[k] >= WRAPPER_SHARE * whole and not (e.wordy and free)
+            else:
+                host = e.above
+                while host.above and not host.kind:
+                    host = host.above
+                # Outside of a page's telling elements nothing but these is looked for.
+                wrapper = not e.wordy and (host.kind > 0 or root.strongest == 0) and e.all_chars > WRAPPER_SHARE * host.all_chars
+            e.soft = not wrapper
+
+    def _place(self, mains: frozenset[int] | None) -> bool:
+        """Sets what is dropped and what is inside the slots; whether a slot has been found."""
+        found = False
+        for e in self.elements:
+            above = e.above
+            e.dropped = e.hard or e.soft or above is not None and above.dropped
+            e.inside = above is not None and above.inside or (e.kind > 0 if mains is None else e.path in mains)
+            found = found or e.inside and not e.dropped
+        return found
+
+    def tokens(self) -> dict[tuple[int, bool], list[int]]:
+        """By path and whether it is a block: count, characters, those in links, those of headings, depth, dropped, kind, path above, words."""
+        for _, parts in self.blocks:
+            for e, t in parts:
+                if not e.dropped:
+                    size = _size(t)
+                    e.chars += size
+                    e.links += size if e.link else 0
+                    e.heads += size if e.head and not e.link else 0
+        found: dict[tuple[int, bool], list[int]] = {}
+        for e in reversed(self.elements):
+            above = e.above
+            if above:
+                above.chars += e.chars
+                above.links += e.links
+                above.heads += e.heads
+            own = found.setdefault((e.path, False), [0, 0, 0, 0, e.depth, int(e.dropped), e.kind, above.path if above else 0, 1])
+            own[0] += 1
+            own[6] = max(own[6], e.kind)
+            own[1] += e.chars
+            own[2] += e.links
+            own[3] += e.heads
+        return found
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -132,21 +222,19 @@ class Page:
         above = self.stack[-1]
         names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
         kind = _kind(tag, attrs)
-        inside_article = any(e.kind for e in self.stack[-4:])
-        dropped = above.dropped or tag in DROPPED or tag in DROPPED_OUTSIDE and not inside_article or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (not kind and tag not in ("html", "body") and bool(MARKED.search(names)))
         path = xxhash.xxh3_64_intdigest(f"{above.path} {tag} {DIGITS.sub('0', attrs.get('class', ''))}".encode("utf-8", "replace")) >> 1
-        inside = above.inside or (kind > 0 if self.mains is None else path in self.mains)
-        self.found = self.found or inside and not dropped
-        self.stack.append(Element(tag, path, above.depth + 1, dropped, kind, inside, above.link or tag == "a"))
+        slot = self.mains is not None and path in self.mains
+        marked = not kind and not slot and tag not in ("html", "body") and bool(MARKED.search(names))
+        hard = above.hard or tag in DROPPED and tag not in WRAPPERS or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+        soft = marked or tag in DROPPED and tag in WRAPPERS or tag in DROPPED_OUTSIDE and not above.article
+        e = Element(tag, path, above, hard, soft and not hard, marked and bool(WORDY.search(names)), kind)
+        e.article = e.article or slot
+        self.stack.append(e)
+        self.elements.append(e)
 
     def _text(self, text: str) -> None:
-        top = self.stack[-1]
-        if top.dropped or not text:
-            return
-        size = len(text) - text.count(" ")
-        top.chars += size
-        top.links += size if top.link else 0
-        self.parts.append(text)
+        if text and not self.stack[-1].hard:
+            self.parts.append((self.stack[-1], text))
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -187,12 +275,31 @@ class Page:
             else:
                 self._open(tag, m.group(3))
 
-    def text(self) -> str:
-        return "\n".join(t for t, inside in self.blocks if inside)
+    def text(self, template: frozenset[int] = frozenset()) -> str:
+        """The blocks inside the slots that are not the template's; all of them on a page whose slots hold nothing else."""
+        own, more = [], []
+        for around, parts in self.blocks:
+            left = [(e, t) for e, t in parts if not e.dropped]
+            text = _joined([(e, t) for e, t in left if e.inside])
+            if text:
+                (more if template and block_token(around, _joined(left)) in template else own).append((len(own) + len(more), text))
+        return "\n".join(t for _, t in own or more)
+
 
+def _size(text: str) -> int:
+    return sum(map(len, text.split()))
 
-def main_text(source: str | None, mains: frozenset[int]) -> str:
-    """The blocks inside the host's main slots; on a page without them, inside the page's own telling elements, else all that is not dropped."""
+
+def _joined(parts: list[tuple[Element, str]]) -> str:
+    return " ".join(html.unescape("".join(t for _, t in parts)).split())
+
+
+def block_token(around: Element, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{around.path} {text}".encode("utf-8", "replace")) >> 1
+
+
+def main_text(source: str | None, mains: frozenset[int], template: frozenset[int] = frozenset()) -> str:
+    """The blocks inside the host's main slots, without the template's; on a page without them, inside the page's own telling elements, else all that is not dropped."""
     if not source:
         return ""
     page = Page(source, mains)
@@ -200,49 +307,82 @@ def main_text(source: str | None, mains: frozenset[int]) -> str:
         page = Page(source)
         if not page.found:
             page = Page(source, frozenset([0]))
-    return page.text()
+    return page.text(template)
 
 
-TOKEN = "host string, page long, token long, n int, chars long, links long, depth int, dropped int, kind int"
+NUMBERS = "n chars links heads depth dropped kind above words".split()
+TOKEN = "host string, page long, token long, block boolean, " + ", ".join(f"{c} long" for c in NUMBERS)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row per page and token. Pages are told apart by id and url."""
+    """One row per page and token. Pages are told apart by their source, so copies of a page count once."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for page_id, url, source in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                page = xxhash.xxh3_64_intdigest(f"{page_id} {url}".encode("utf-8", "replace")) >> 1
+            for url, source in zip(*(b.column(c).to_pylist() for c in ("url", "html"))):
+                page = xxhash.xxh3_64_intdigest((source or "").encode("utf-8", "replace")) >> 1
                 host = url_host(url)
-                rows += [(host, page, token, *own) for token, own in Page(source or "").tokens.items()]
+                rows += [(host, page, *token, *own) for token, own in Page(source or "").tokens().items()]
             if rows:
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), kinds)], names=["host", "page", "token", "n", "chars", "links", "depth", "dropped", "kind"])
-
-    return pages.select("page_id", "url", "html").mapInArrow(run, TOKEN)
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * len(NUMBERS)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), kinds)], names=["host", "page", "token", "block", *NUMBERS])
+
+    return pages.select("url", "html").mapInArrow(run, TOKEN)
+
+
+def deduced(tokens: list[dict]) -> tuple[list[int], list[int]]:
+    """A host's main slots and its template's blocks, from its tokens on enough pages."""
+    elements = {t["token"]: t for t in tokens if not t["block"]}
+    text = {k: t["chars"] - t["links"] for k, t in elements.items()}
+    heads = {k: t["heads"] for k, t in elements.items()}
+    blocks = [t for t in tokens if t["block"] and t["size"] >= MIN_TOKENS]
+    for t in blocks:
+        k = t["above"]
+        while k in elements:
+            text[k] -= t["chars"] - t["links"]
+            heads[k] -= t["heads"]
+            if k == 0:
+                break
+            k = elements[k]["above"]
+    valid = [k for k, t in elements.items() if k and t["size"] >= MIN_TOKENS and t["dropped"] <= 0.5]
+    kind = max((elements[k]["kind"] for k in valid), default=0)
+    if kind:
+        mains = [k for k in valid if elements[k]["kind"] == kind]
+    else:
+        best = max((elements[k]["depth"] for k in valid if text[0] > 0 and text[k] >= 0.5 * text[0]), default=None)
+        mains = [k for k in valid if text[0] > 0 and text[k] >= 0.5 * text[0] and elements[k]["depth"] == best]
+    return mains, [t["token"] for t in blocks]
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """(host, mains): the tokens of each host's main slots."""
-    summed = tokens.groupBy("host", "token").agg(
+    """(host, mains, template): the tokens of each host's main slots and of its template's blocks."""
+    summed = tokens.groupBy("host", "token", "block").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"),
-        F.count("*").alias("pages"),
-        F.sum("chars").alias("chars"),
-        F.sum("links").alias("links"),
-        F.min("depth").alias("depth"),
-        F.max("dropped").alias("dropped"),
-        F.max("kind").alias("kind"),
+        F.count("*").alias("rows"),
+        # Elements occur on every page; only for blocks, and for the page itself, copies are told.
+        F.countDistinct(F.when(F.col("block") | (F.col("token") == 0), F.col("page"))).alias("pages"),
+        *[F.sum(c).alias(c) for c in ("chars", "links", "heads")],
+        F.avg("dropped").alias("dropped"),
+        *[F.max(c).alias(c) for c in ("depth", "kind", "above", "words")],
     )
     # Three tables are read from these sums; settled, the pages are parsed for them once.
-    own = settle(summed)
-    classes = own.groupBy("host", "vector").agg(F.count("*").alias("size"))
-    roots = own.where("token = 0").select("host", F.col("pages").alias("all_pages"), (F.col("chars") - F.col("links")).alias("all_text"))
-    valid = own.join(classes, ["host", "vector"]).join(roots, "host").where((F.col("size") >= MIN_TOKENS) & (F.col("pages") >= MIN_SHARE * F.col("all_pages")) & (F.col("dropped") == 0) & (F.col("token") != 0))
-    share = F.when(F.col("all_text") > 0, (F.col("chars") - F.col("links")) / F.col("all_text")).otherwise(0.0)
-    ranked = valid.select("host", "token", "kind", F.when(F.col("kind") > 0, F.col("kind") * 1000.0).when(share >= TEXT_SHARE, F.col("depth").cast("double")).otherwise(-1.0).alias("rank")).where("rank >= 0")
-    best = ranked.groupBy("host").agg(F.max("rank").alias("rank"))
-    return ranked.join(best, ["host", "rank"]).groupBy("host").agg(F.collect_set("token").alias("mains"))
+    own = settle(summed.where((~F.col("block")) | (F.col("pages") >= MIN_PAGES)))
+    classes = own.groupBy("host", "vector").agg(F.sum("words").alias("size"))
+    roots = own.where("token = 0 AND NOT block").select("host", F.col("rows").alias("all_rows"), F.col("pages").alias("all_pages"))
+    often = F.when(F.col("block"), F.col("pages") >= MIN_SHARE * F.col("all_pages")).otherwise(F.col("rows") >= MIN_SHARE * F.col("all_rows"))
+    frequent = own.join(roots, "host").where(often).join(classes, ["host", "vector"])
+    # Tokens on half of a host's pages are at most twice as many as a page has.
+    listed = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "block", "size", "chars", "links", "heads", "dropped", "depth", "kind", "above")).alias("tokens"))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                made = [deduced(t) for t in b.column("tokens").to_pylist()]
+                numbers = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([m for m, _ in made], numbers), pa.array([t for _, t in made], numbers)], names=["host", "mains", "template"])
+
+    return listed.mapInArrow(run, "host string, mains array<long>, template array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -250,7 +390,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Missing or empty html and pages without an article give an empty text; pages without
     url share the host of the empty name; repeated rows give repeated results. The
-    templates, a few numbers per host, are written and read again, so that Spark
+    templates, some numbers per host, are written and read again, so that Spark
     broadcasts them only if their size on disk allows it.
     """
     spark = pages.sparkSession
@@ -261,11 +401,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     rest = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:.*?://)?([^/?#]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(rest, r"^.*@", ""), r":.*$", ""))
-    joined = pages.select("page_id", "url", "html", host.alias("host")).join(found, F.col("host") == F.col("page_host"), "left").select("page_id", "url", "html", "mains")
+    joined = pages.select("page_id", "url", "html", host.alias("host")).join(found, F.col("host") == F.col("page_host"), "left").select("page_id", "url", "html", "mains", "template")
 
     def run(batches):
         for b in batches:
-            texts = [main_text(source, frozenset(mains or ())) for source, mains in zip(b.column("html").to_pylist(), b.column("mains").to_pylist())]
+            columns = (b.column(c).to_pylist() for c in ("html", "mains", "template"))
+            texts = [main_text(source, frozenset(mains or ()), frozenset(template or ())) for source, mains, template in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(kind), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")

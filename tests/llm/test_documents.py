@@ -271,6 +271,20 @@ def test_main_text(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_article_in_marked_wrappers():
+    """A wrapper is known by the article text it holds, not by its name; what is beside or in the article still goes."""
+    for name in ("wrapper has-sidebar", "content no-sidebar", "nav-open", "long-form", "search share"):
+        for inner in ("article", "main"):
+            source = page(f'<div class="sidebar">beside</div><div class="{name}"><{inner}><h1>Head</h1><p>the text of it</p><div class="comments">a reader</div></{inner}></div><div class="related"><article>another one</article></div>')
+            assert html.main_text(source, frozenset()) == "Head\nthe text of it", (name, inner)
+    inside = page('<article><div class="long-form"><p>most of the text</p></div><p>end</p><div class="share">tell</div></article>')
+    assert html.main_text(inside, frozenset()) == "most of the text\nend"
+    assert html.main_text(page("<form><main><article><p>text</p></article></main><div class=alert>x</div></form>"), frozenset()) == "text"
+    assert html.main_text(page('<main>the post itself<div class="related"><article>teaser</article></div></main>'), frozenset()) == "the post itself"
+    deep = page("<article><div><div><div><div><div><header><h1>Deep</h1></header></div></div></div></div></div><p>text</p></article><header>site</header>")
+    assert html.main_text(deep, frozenset()) == "Deep\ntext"
+
+
 def test_main_text_of_whole_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     sources = {r["page_id"]: r["html"] for r in pages.collect()}
