@@ -222,6 +222,11 @@ class Page:
         above = self.stack[-1]
         names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
         kind = _kind(tag, attrs)
+        if kind == BODY:
+            # The article around the body has the headings too.
+            around = next((e for e in reversed(self.stack) if e.kind >= ARTICLE), None)
+            if around:
+                around.kind, kind = BODY, ARTICLE
         path = xxhash.xxh3_64_intdigest(f"{above.path} {tag} {DIGITS.sub('0', attrs.get('class', ''))}".encode("utf-8", "replace")) >> 1
         slot = self.mains is not None and path in self.mains
         marked = not kind and not slot and tag not in ("html", "body") and bool(MARKED.search(names))
@@ -350,8 +355,8 @@ def deduced(tokens: list[dict]) -> tuple[list[int], list[int]]:
     if kind:
         mains = [k for k in valid if elements[k]["kind"] == kind]
     else:
-        best = max((elements[k]["depth"] for k in valid if text[0] > 0 and text[k] >= 0.5 * text[0]), default=None)
-        mains = [k for k in valid if text[0] > 0 and text[k] >= 0.5 * text[0] and elements[k]["depth"] == best]
+        whole = [k for k in valid if text[0] > 0 and text[k] >= KEPT_SHARE * text[0] and heads[k] >= heads[0]]
+        mains = [max(whole, key=lambda k: (elements[k]["depth"], k), default=0)]
     return mains, [t["token"] for t in blocks]
 
 

@@ -285,6 +285,20 @@ def test_article_in_marked_wrappers():
     assert html.main_text(deep, frozenset()) == "Deep\ntext"
 
 
+def texts_of(spark, sources):
+    pages = spark.createDataFrame([(k, "https://one.example/p", s) for k, s in enumerate(sources)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html.extract(pages).collect(), key=lambda r: r["page_id"])]
+
+
+def test_slot_keeps_heading_and_list(spark):
+    """Without telling elements the slot has all of the article's text, and an article has what stands around its body."""
+    words = [f"{'abcdefgh'[k]}long " * 20 for k in range(6)]
+    plain = [page(f"<div class=x><h1>Title {k}</h1><p>{w}</p><ul><li>first {k}</li><li>second {k}</li></ul></div>") for k, w in enumerate(words)]
+    assert texts_of(spark, plain) == [f"Title {k}\n{w.strip()}\nfirst {k}\nsecond {k}" for k, w in enumerate(words)]
+    body = [page(f"<article><h1>Title {k}</h1><p>lead {k}</p><div itemprop=articleBody><p>{w}</p></div></article>") for k, w in enumerate(words)]
+    assert texts_of(spark, body) == [f"Title {k}\nlead {k}\n{w.strip()}" for k, w in enumerate(words)]
+
+
 def test_main_text_of_whole_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     sources = {r["page_id"]: r["html"] for r in pages.collect()}
