@@ -1,6 +1,7 @@
 """Main text of web pages by deducing each host's template.
 
-A token of a page is an element with its path of tags and classes. Over the pages of a host, tokens that occur
+A token of a page is an element with its path of tags and classes, or a block of
+text with the path of its element. Over the pages of a host, tokens that occur
 equally often on every page share an occurrence vector and form an equivalence
 class; a vector is compared by the sum of hashes of (page, count), so that Spark
 sums it without gathering pages. Classes with two and more tokens (a block counts
@@ -195,6 +196,16 @@ class Page:
             own[1] += e.chars
             own[2] += e.links
             own[3] += e.heads
+        for around, parts in self.blocks:
+            left = [(e, t) for e, t in parts if not e.dropped]
+            text = _joined(left)
+            if text:
+                sizes = [(_size(t), e) for e, t in left]
+                own = found.setdefault((block_token(around, text), True), [0, 0, 0, 0, around.depth, 0, 0, around.path, text.count(" ") + 1])
+                own[0] += 1
+                own[1] += sum(n for n, _ in sizes)
+                own[2] += sum(n for n, e in sizes if e.link)
+                own[3] += sum(n for n, e in sizes if e.head and not e.link)
         return found
 
     def _close(self, tag: str) -> None:

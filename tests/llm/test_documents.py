@@ -299,6 +299,16 @@ def test_slot_keeps_heading_and_list(spark):
     assert texts_of(spark, body) == [f"Title {k}\nlead {k}\n{w.strip()}" for k, w in enumerate(words)]
 
 
+def test_template_text_inside_the_slot_goes(spark):
+    """A block on a host's pages is template; copies of one page make none, nor is a page left empty."""
+    notice = "<p>Read our letter every week</p>"
+    hosts = [page(f"<article><h1>Title {k}</h1><p>one {k}</p>{notice}<p>two {k}</p></article>") for k in range(5)]
+    assert texts_of(spark, hosts) == [f"Title {k}\none {k}\ntwo {k}" for k in range(5)]
+    copies = [hosts[0]] * 4 + [page("<article><p>other text</p></article>")]
+    assert texts_of(spark, copies) == ["Title 0\none 0\nRead our letter every week\ntwo 0"] * 4 + ["other text"]
+    assert texts_of(spark, [*hosts, page(f"<article>{notice}</article>")])[5] == "Read our letter every week"
+
+
 def test_main_text_of_whole_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     sources = {r["page_id"]: r["html"] for r in pages.collect()}
