@@ -36,8 +36,8 @@ HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Counts up to K are discounted.
 K = 5
 CHUNK_BYTES = 16 << 20
-#: Partitions of the tables.
-BUCKETS = 64
+#: Partitions of the tables, at least, and the bytes of text for each; a task holds one, so it does not grow with the corpus.
+BUCKETS, BUCKET_BYTES = 64, 32 << 20
 #: The end of a text as a word; no word holds a blank.
 END = b" "
 WORDS, TEXTS, TOTALS = 0, 1, 2
@@ -53,6 +53,11 @@ def _rows(batches) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns))
 
 
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(BUCKETS, -(-size // BUCKET_BYTES))
+
+
 def grouped(rows: DataFrame, key: str, make: Callable, schema: str) -> DataFrame:
     """``make(key, [(chunk, kind, bucket, data)])`` over the rows of each chunk or bucket, ordered by kind, bucket, chunk."""
 
@@ -345,17 +350,19 @@ def scores(chunks: DataFrame, words: DataFrame, pairs: DataFrame, base: Unigrams
     return grouped(rows, "chunk", make, f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """Scores of every whole text under the model learned from the training fold, one row per row of ``docs``.
 
     A missing text is empty: its one token is the end. Repeated rows give repeated
     results and count as often in training. Without training rows every word is
-    unknown with probability one. Other columns are not read. The tables are
+    unknown with probability one. Other columns are not read. Without ``buckets`` the
+    number of the tables' partitions follows from the bytes of text. The tables are
     written to the shared folder; the input's partitions must come out the same
     when a lost task runs again, as those of files do.
     """
     spark = docs.sparkSession
     base_path = work_path(spark, "katz")
+    buckets = buckets or bucket_count(docs)
 
     def stored(name: str, rows: DataFrame) -> DataFrame:
         rows.write.partitionBy("kind").parquet(f"{base_path}/{name}")

@@ -162,3 +162,15 @@ def test_language_model_of_odd_rows(odd, nothing):
 def test_language_model_with_one_hot_context(spark):
     rows = [(i, " ".join(f"the w{(i * 7 + j * j) % 60}" for j in range(40))) for i in range(60)]
     close(katz.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=4_000, buckets=6).collect(), plain_model(rows))
+
+
+def test_language_model_has_more_buckets_for_more_text(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 11 + j * j) % 700}" for j in range(60))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert katz.bucket_count(docs) == katz.bucket_count(docs.where("false")) == katz.BUCKETS
+    size = sum(len(t) for _, t in rows)
+    monkeypatch.setattr(katz, "BUCKET_BYTES", size // 90)
+    used = []
+    monkeypatch.setattr(katz, "word_table", lambda chunks, buckets, make=katz.word_table: used.append(buckets) or make(chunks, buckets))
+    close(katz.language_scores(docs, chunk_bytes=8_000).collect(), plain_model(rows))
+    assert used == [katz.bucket_count(docs)] and used[0] >= 90
