@@ -1,4 +1,7 @@
-"""Registered queries of the document operators. Their results hold digests and scores that SQL cannot express, so none has a SQL twin."""
+"""Registered queries of the document operators.
+
+Digests, model scores and drawn blocks have no SQL form; the two searches have a SQL twin.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe, decontam, html, katz, pii, quality, secrets, simhash, tokenfile, toxicity
+from flowlab.llm import bpe, decontam, html, katz, lexical, mixing, negatives, pii, quality, secrets, simhash, tokenfile, toxicity
 from flowlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hard_negatives": negatives.ORACLE, "op13_ranked_search": lexical.ORACLE}
 
 
 def query(fn):
@@ -66,3 +69,18 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.language_scores(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
