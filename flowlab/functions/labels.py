@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,25 +80,34 @@ def is_benign(col: Column) -> Column:
     return F.lower(F.trim(F.coalesce(col, F.lit("unknown")))).isin(*BENIGN_WORDS)
 
 
+# Attack families in the order in which they are tried, each with the words that mark it.
+FAMILY_WORDS = [
+    ("c&c", ["c&c", "cnc", "command"]),
+    ("ddos", ["dos"]),
+    ("scanning", ["scan"]),
+    ("filedownload", ["download"]),
+    ("attack", ["attack"]),
+]
+
+# Fold quality words and the macro F1 from which they hold, best first; below the last one a fold
+# is trivial from this accuracy on with at most so many attacks, and a failure otherwise.
+FOLD_WORDS = [("excellent", 0.90), ("strong", 0.75), ("unstable", 0.55)]
+TRIVIAL_ACCURACY, TRIVIAL_ATTACKS = 0.95, 1
+
+
+def first_match(tests: list[tuple[Column, str]], otherwise: Column) -> Column:
+    """The word of the first test that holds."""
+    out = otherwise
+    for test, word in reversed(tests):
+        out = F.when(test, word).otherwise(out)
+    return out
+
+
 def attack_family(col: Column) -> Column:
-    """First match wins."""
-    s = F.coalesce(F.nullif(F.lower(F.trim(col)), F.lit("")), F.lit("unknown"))
-
-    def has(*words: str) -> Column:
-        hit = s.contains(words[0])
-        for w in words[1:]:
-            hit = hit | s.contains(w)
-        return hit
-
-    return (
-        F.when(s == "benign", "benign")
-        .when(has("c&c", "cnc", "command"), "c&c")
-        .when(has("dos"), "ddos")
-        .when(has("scan"), "scanning")
-        .when(has("download"), "filedownload")
-        .when(has("attack"), "attack")
-        .otherwise(s)
-    )
+    """First family any of whose words the label contains; an unmatched label is its own family."""
+    label = F.coalesce(F.nullif(F.lower(F.trim(col)), F.lit("")), F.lit("unknown"))
+    marked = [(reduce(lambda a, b: a | b, [label.contains(w) for w in words]), family) for family, words in FAMILY_WORDS]
+    return first_match([(label == "benign", "benign"), *marked], label)
 
 
 def scenario_family(col: Column) -> Column:
@@ -107,14 +118,8 @@ def scenario_family(col: Column) -> Column:
 def fold_category(df: DataFrame) -> DataFrame:
     """Fold quality words plus attack ratio, miss and false alarm rates."""
     score = F.col("f1_macro")
-    word = (
-        F.when(score.isNull(), "unknown")
-        .when(score >= 0.90, "excellent")
-        .when(score >= 0.75, "strong")
-        .when(score >= 0.55, "unstable")
-        .when((F.col("accuracy") >= 0.95) & (F.col("n_attack") <= 1), "trivial_or_single_class")
-        .otherwise("failure")
-    )
+    trivial = (F.col("accuracy") >= TRIVIAL_ACCURACY) & (F.col("n_attack") <= TRIVIAL_ATTACKS)
+    word = first_match([(score.isNull(), "unknown"), *[(score >= least, name) for name, least in FOLD_WORDS], (trivial, "trivial_or_single_class")], F.lit("failure"))
     ratio = F.try_divide(F.col("n_attack").cast("double"), F.col("n_rows").cast("double"))
     return df.withColumns({
         "attack_ratio": ratio,

@@ -60,24 +60,22 @@ def cosine_matrix(long: DataFrame, by: str = "scenario", key: str = "feature") -
 def mean_js(profile: DataFrame, by: str = "scenario", key: str = "label", value: str = "ratio") -> DataFrame:
     """Mean Jensen-Shannon divergence (base 2) over all pairs of scenarios.
 
-    A label that only one of two scenarios holds adds half its ratio, so only
-    common labels are joined; pairs without common labels have divergence 1.
+    A pair's divergence is one plus half of what each common label adds, so the sum over
+    pairs is a sum over labels.  Scenarios that give a label the same ratio are one weighted
+    class of it; only the classes of a label meet, never the scenarios.
     """
-    p = settle(profile.where(F.col(value) > 0).select(by, key, value))
-    n = F.count_distinct(by)
-    left = p.select(F.col(by).alias("a"), key, F.col(value).alias("p"))
-    right = p.select(F.col(by).alias("b"), key, F.col(value).alias("q"))
+    p = settle(profile.where(F.col(value) > 0).groupBy(key, value).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    size = profile.where(F.col(value) > 0).agg(F.count_distinct(by).alias("n_scenarios"), F.count_distinct(key).alias("n_labels"))
+    left = p.select(key, F.col(value).alias("p"), F.col("w").alias("wp"))
+    right = p.select(key, F.col(value).alias("q"), F.col("w").alias("wq"))
+    left, right = tiled(left, right, key, "q")
     m = (F.col("p") + F.col("q")) / 2
-    common = F.col("p") * F.log2(F.col("p") / m) + F.col("q") * F.log2(F.col("q") / m)
-    left, right = tiled(left, right, key, "b")
-    pairs = left.join(right, [key, "_tile"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(
-        ((F.sum(common) + (1 - F.sum("p")) + (1 - F.sum("q"))) / 2).alias("js")
-    )
-    met = pairs.agg(F.count(F.lit(1)).alias("met"), F.coalesce(F.sum("js"), F.lit(0.0)).alias("total"))
-    sizes = p.agg(n.alias("n_scenarios"), F.count_distinct(key).alias("n_labels"))
-    all_pairs = F.col("n_scenarios") * (F.col("n_scenarios") - 1) / 2
-    found, total = one_row(met, ["met", "total"]).values()
-    return sizes.select(F.coalesce(F.try_divide(total + all_pairs - found, all_pairs), F.lit(0.0)).alias("mean_pairwise_js_divergence"), "n_scenarios", "n_labels")
+    adds = F.col("p") * F.log2(F.col("p") / m) + F.col("q") * F.log2(F.col("q") / m) - F.col("p") - F.col("q")
+    times = F.when(F.col("p") == F.col("q"), F.col("wp") * (F.col("wp") - 1) / 2).otherwise(F.col("wp") * F.col("wq"))
+    met = left.join(right, [key, "_tile"]).where(F.col("p") <= F.col("q")).agg(F.coalesce(F.sum(times * adds), F.lit(0.0)).alias("adds"))
+    pairs = F.col("n_scenarios") * (F.col("n_scenarios") - 1) / 2
+    (added,) = one_row(met, ["adds"]).values()
+    return size.select(F.coalesce(F.try_divide(pairs + added / 2, pairs), F.lit(0.0)).alias("mean_pairwise_js_divergence"), "n_scenarios", "n_labels")
 
 
 def label_profile(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,28 +143,45 @@ def metrics_by(df: DataFrame, by: list[str], order: str, y_true: str = "y_true",
 BOOTSTRAP_METRICS = ["accuracy", "precision_attack", "recall_attack", "f1_attack", "f1_macro"]
 
 
+def hash_unit(*parts: Column) -> Column:
+    """A number in (0, 1) from the digest of its parts; the same in every engine that has md5."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def binomial_draw(n: Column, hits: Column, of: Column, z: Column) -> Column:
+    """Quantile of Binomial(n, hits/of) at the normal deviate ``z``, by the second-order Cornish-Fisher expansion.
+
+    Within one of the exact quantile; exact where the share is nought or one.
+    """
+    p = hits / of
+    x = F.floor(n * p + F.sqrt(n * p * (1 - p)) * z + (1 - 2 * p) * (z * z - 1) / 6 + 0.5)
+    return F.when((n <= 0) | (hits <= 0), 0).when(hits >= of, n).otherwise(F.greatest(F.lit(0), F.least(n, x))).cast("long")
+
+
+def redrawn_cells(cm: DataFrame, by: list[str], resamples: int, seed: int) -> DataFrame:
+    """Multinomial redraws of the four cells: each takes its binomial share of what the cells before it have left."""
+    draws = cm.select(*by, *[F.col(c).alias(f"_{c}") for c in CELLS], F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    name = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    left, mass = sum((F.col(f"_{c}") for c in CELLS[1:]), F.col(f"_{CELLS[0]}")), sum((F.col(f"_{c}") for c in CELLS[1:]), F.col(f"_{CELLS[0]}"))
+    draws = draws.withColumns({"_left": left, "_mass": mass})
+    for c in CELLS[:-1]:
+        u, v = (hash_unit(F.lit(seed), *name, F.col("resample"), F.lit(c), F.lit(k)) for k in (1, 2))
+        deviate = F.sqrt(-2 * F.log(u)) * F.cos(v * 2 * F.pi())
+        draws = draws.withColumn(c, binomial_draw(F.col("_left"), F.col(f"_{c}"), F.col("_mass"), deviate))
+        draws = draws.withColumns({"_left": F.col("_left") - F.col(c), "_mass": F.col("_mass") - F.col(f"_{c}")})
+    return draws.select(*by, "resample", *CELLS[:-1], F.col("_left").alias(CELLS[-1]))
+
+
 def bootstrap_ci(df: DataFrame, by: list[str], resamples: int = 1000, seed: int = 42, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Mean and 95% percentile interval of the confusion metrics over bootstrap resamples.
 
-    Resampling rows with replacement makes the four cells a multinomial draw,
-    so the table is read once and the cost of the draws does not depend on it.
+    Resampling rows with replacement makes the four cells a multinomial draw, so the table
+    is read once and the cost of the draws does not depend on it.  Draws come from digests
+    of group, resample and cell: they repeat, and are made in column expressions alone.
     """
-    cm = confusion(df, by, y_true, y_pred)
-    draws = cm.select(*by, *CELLS, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-
-    @F.pandas_udf("tn long, fp long, fn long, tp long")
-    def redraw(tn: pd.Series, fp: pd.Series, fn: pd.Series, tp: pd.Series, b: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        rows = []
-        for cells, i in zip(zip(tn, fp, fn, tp), b):
-            n = int(sum(cells))
-            rows.append(np.random.default_rng([seed, int(i), *map(int, cells)]).multinomial(n, np.array(cells) / n))
-        return pd.DataFrame(rows, columns=["tn", "fp", "fn", "tp"])
-
-    drawn = draws.select(*by, redraw(*CELLS, "resample").alias("cells")).select(*by, "cells.*")
-    scored = metrics_present(drawn).select(*by, *BOOTSTRAP_METRICS)
-    long = scored.unpivot(list(by), BOOTSTRAP_METRICS, "metric", "value") if by else scored.unpivot([], BOOTSTRAP_METRICS, "metric", "value")
+    scored = metrics_present(redrawn_cells(confusion(df, by, y_true, y_pred), list(by), resamples, seed)).select(*by, *BOOTSTRAP_METRICS)
+    long = scored.unpivot(list(by), BOOTSTRAP_METRICS, "metric", "value")
     return long.groupBy(*by, "metric").agg(
         F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("ci_low"), F.percentile("value", 0.975).alias("ci_high"),
         F.count(F.lit(1)).alias("n_resamples"),

@@ -206,9 +206,9 @@ def running_sums(
 ) -> DataFrame:
     """Running totals ``run_<col>`` over the distinct ``value``s of each group.
 
-    ``df`` holds one row per (by, value).  Large groups are cut into slices of
-    even size at settled quantiles; slice totals give each slice its offset.
-    The four reads of that way start from one checkpoint of ``df``.
+    ``df`` holds one row per (by, value).  Where a group is large, rows are dealt to slices
+    by range of (by, value), so that a hot group lies in as many slices as it needs; the
+    totals of a group's slices give each slice its offset, and rows add up within it.
     """
     limit = GROUP_LIMIT if group_limit is None else group_limit
     sizes = group_sizes(df, by) if sizes is None else sizes
@@ -216,21 +216,40 @@ def running_sums(
     over = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
     if largest(sizes) <= limit:
         return df.select("*", *[F.sum(c).over(over).alias(f"run_{c}") for c in cols])
-    df = cut_lineage(df)
-    probes = max(2, 2 * largest(sizes) // limit)
-    marks = [i / probes for i in range(1, probes)]
-    bounds = settle(df.groupBy(*by).agg(F.percentile_approx(value, marks, 100 * probes).alias("marks")))
-    cut = df.join(bounds, by).withColumn("slice", F.size(F.filter("marks", lambda m: m < F.col(value)))).drop("marks")
-    totals = cut.groupBy(*by, "slice").agg(*[F.sum(c).alias(f"tot_{c}") for c in cols])
-    slice_way = F.col("slice").desc() if descending else F.col("slice").asc()
-    before = Window.partitionBy(*by).orderBy(slice_way).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(totals.select(*by, "slice", *[F.coalesce(F.sum(f"tot_{c}").over(before), F.lit(0)).alias(f"off_{c}") for c in cols]))
-    inside = Window.partitionBy(*by, "slice").orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, [*by, "slice"]).select(
+    cut = range_slices(df, by, [way], sizes, limit)
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"tot_{c}") for c in cols])
+    offsets = totals.select(*by, "_slice", *[F.coalesce(F.sum(f"tot_{c}").over(before), F.lit(0)).alias(f"off_{c}") for c in cols])
+    inside = Window.partitionBy(*by, "_slice").orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(settle(offsets), [*by, "_slice"]).select(
         *df.columns, *[(F.col(f"off_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in cols]
     )
 
 
+def range_slices(df: DataFrame, by: list[str], order: list[Column], sizes: DataFrame, limit: int) -> DataFrame:
+    """``df`` settled with ``_slice``: numbers that rise with (by, order), each of about half of ``limit`` rows."""
+    total = sizes.agg(F.sum("n_group")).first()[0] or 0
+    parts = max(2, 2 * total // limit)
+    return settle(df.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def row_ranks(df: DataFrame, by: list[str], order: list[Column], out: str, group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Position of every row in its group; ``order`` must tell all rows of a group apart.
+
+    Large groups are dealt to slices by range; a slice's rows start after those of the
+    group's earlier slices.
+    """
+    limit = GROUP_LIMIT if group_limit is None else group_limit
+    sizes = group_sizes(df, by) if sizes is None else sizes
+    if largest(sizes) <= limit:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    cut = range_slices(df, by, order, sizes, limit)
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order)
+    return cut.join(settle(offsets), [*by, "_slice"]).select(*df.columns, (F.col("_off") + F.row_number().over(inside)).alias(out))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], group_limit: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles (by..., prob, quantile); nulls are left out."""
     limit = GROUP_LIMIT if group_limit is None else group_limit
@@ -257,15 +276,17 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     return joined.select(*by, "prob", F.when((part == 0) | (F.col("v_low") == F.col("v_high")), F.col("v_low")).otherwise(between).alias("quantile"))
 
 
-def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], group_limit: int | None = None) -> DataFrame:
+def column_quantiles(
+    df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], group_limit: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
     """Exact quantiles of several columns: (by..., feature, one column per name in ``probs``).
 
     Groups of a checked size need one wide aggregate; larger ones are unfolded
-    and searched rank by rank.
+    and searched rank by rank.  ``sizes`` saves a read of the table when the caller has counted.
     """
     limit = GROUP_LIMIT if group_limit is None else group_limit
     numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if largest(group_sizes(numbers, by)) <= limit:
+    if largest(group_sizes(numbers, by) if sizes is None else sizes) <= limit:
         wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
         wide = numbers.groupBy(*by).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
         rows = [F.struct(F.lit(c).alias("feature"), *[F.get(c, F.lit(i)).alias(name) for i, name in enumerate(probs)]) for c in cols]

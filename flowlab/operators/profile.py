@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from flowlab.functions.clean import pct, safe_div, to_double
 from flowlab.functions.labels import attack_family, is_benign
 from flowlab.operators.order import column_quantiles, whole
+from flowlab.session import settle
 from flowlab.schemas import CATEGORICAL
 
 LABEL_KEYS = ["scenario", "split", "label", "detailed_label", "label_phase", "label_binary"]
@@ -65,9 +66,14 @@ def split_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def pivot_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], group_limit: int | None = None) -> DataFrame:
+def pivot_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Exact quantiles as named columns."""
-    return column_quantiles(df, by, [value], probs, group_limit).drop("feature")
+    return column_quantiles(df, by, [value], probs, group_limit, sizes).drop("feature")
+
+
+def counted_rows(counts: DataFrame) -> DataFrame:
+    """The size of the whole table, from counts that were taken already."""
+    return whole(counts).groupBy("_all").agg(F.sum("n").alias("n_group"))
 
 
 QUALITY_PROBS = {"p00": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p100": 1.0}
@@ -85,10 +91,10 @@ def quality_report(df: DataFrame, group_limit: int | None = None) -> DataFrame:
         "n_unknown_detailed_label": F.col("detailed_label") == "unknown", "n_other_malicious": F.col("label_phase") == "other_malicious",
         "n_all_zero_traffic_rows": zero_traffic,
     }
-    combos = df.groupBy("scenario", *CATEGORICAL).agg(count_rows("n"), *[F.count_if(t).alias(c) for c, t in tests.items()])
+    combos = settle(df.groupBy("scenario", *CATEGORICAL).agg(count_rows("n"), *[F.count_if(t).alias(c) for c, t in tests.items()]))
     kinds = [(F.count_distinct(c) + F.max(F.col(c).isNull().cast("long"))).alias(f"cardinality_{c}") for c in CATEGORICAL]
     counts = combos.agg(F.sum("n").alias("n_rows_total"), F.count_distinct("scenario").alias("n_scenarios_total"), *[F.sum(c).alias(c) for c in tests], *kinds)
-    spans = pivot_quantiles(whole(df), ["_all"], "duration", QUALITY_PROBS, group_limit)
+    spans = pivot_quantiles(whole(df), ["_all"], "duration", QUALITY_PROBS, group_limit, counted_rows(combos))
     return counts.withColumns(one_row(spans, list(QUALITY_PROBS)))
 
 
@@ -112,9 +118,9 @@ def top_categories(df: DataFrame, cols: list[str], n: int = 30) -> DataFrame:
 
 def data_summary(df: DataFrame, group_limit: int | None = None) -> DataFrame:
     """Key-value summary: counts, percentages (4 places) and duration statistics (6 places)."""
-    counts = df.groupBy(*LABEL_KEYS).agg(
+    counts = settle(df.groupBy(*LABEL_KEYS).agg(
         count_rows("n"), F.count_if(F.col("duration") == 0).alias("zero"), F.count_if(F.col("ts").isNull()).alias("no_ts"),
-    )
+    ))
     bad = F.col("label_binary") == 1
 
     def total(test: Column) -> Column:
@@ -132,7 +138,7 @@ def data_summary(df: DataFrame, group_limit: int | None = None) -> DataFrame:
     parts = {"benign_flows": "benign_percentage", "malicious_flows": "malicious_percentage", "train_flows": "train_percentage", "val_flows": "val_percentage",
              "test_flows": "test_percentage", "zero_duration_flows": "zero_duration_percentage", "missing_timestamps": "missing_timestamp_percentage"}
     flows = flows.withColumns({name: F.round(pct(F.col(c), F.col("total_flows")), 4) for c, name in parts.items()})
-    spans = pivot_quantiles(whole(df), ["_all"], "duration", {"duration_median": 0.5, "duration_p95": 0.95, "duration_p99": 0.99}, group_limit)
+    spans = pivot_quantiles(whole(df), ["_all"], "duration", {"duration_median": 0.5, "duration_p95": 0.95, "duration_p99": 0.99}, group_limit, counted_rows(counts))
     stats = df.agg(F.avg("duration").alias("duration_mean"), F.stddev_samp("duration").alias("duration_std"))
     durations = one_row(spans, ["duration_median", "duration_p95", "duration_p99"]) | one_row(stats, ["duration_mean", "duration_std"])
     one = flows.withColumns({c: F.round(F.coalesce(v, F.lit(0.0)), 6) for c, v in durations.items()})
@@ -140,12 +146,12 @@ def data_summary(df: DataFrame, group_limit: int | None = None) -> DataFrame:
 
 
 def _durations(df: DataFrame, by: str, probs: dict[str, float], group_limit: int | None) -> DataFrame:
-    means = df.groupBy(by).agg(
+    means = settle(df.groupBy(by).agg(
         count_rows("n_flows"), F.count_if(F.col("label_binary") == 0).alias("n_benign"), F.count_if(F.col("label_binary") == 1).alias("n_malicious"),
         F.avg("duration").alias("duration_mean"), F.coalesce(F.min("ts"), F.lit(0.0)).alias("ts_min"), F.coalesce(F.max("ts"), F.lit(0.0)).alias("ts_max"),
         F.count_if(F.col("duration") == 0).alias("n_zero_duration"), F.min("split").alias("split_name"),
-    )
-    joined = means.join(pivot_quantiles(df, [by], "duration", probs, group_limit), by)
+    ))
+    joined = means.join(pivot_quantiles(df, [by], "duration", probs, group_limit, means.select(by, F.col("n_flows").alias("n_group"))), by)
     shares = {f"pct_{k}": F.round(pct(F.col(f"n_{k}"), F.col("n_flows")), 4) for k in ("benign", "malicious")}
     return joined.withColumns(shares | {c: F.round(c, 6) for c in ["duration_mean", *probs]})
 
@@ -211,14 +217,14 @@ def feature_summary(df: DataFrame, cols: list[str], by: str = "scenario", group_
     """Population statistics and exact quantiles per group and feature; NaN and infinities are left out."""
     usable = df.select(by, *[to_double(F.col(c).cast("string"), finite=True).alias(c) if dict(df.dtypes)[c] == "string" else
                              F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c).cast("double")).alias(c) for c in cols])
-    wide = usable.groupBy(by).agg(*[
+    wide = settle(usable.groupBy(by).agg(count_rows("n_group"), *[
         F.struct(
             F.lit(c).alias("feature"), F.count(c).alias("non_null_count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")
         ).alias(c) for c in cols
-    ])
+    ]))
     stats = wide.select(by, F.inline(F.array(*cols))).where("non_null_count > 0")
     stats = stats.withColumn("cv", F.try_divide(F.col("std"), F.abs("mean")))
-    spans = column_quantiles(usable, [by], cols, {"q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95}, group_limit)
+    spans = column_quantiles(usable, [by], cols, {"q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95}, group_limit, wide.select(by, "n_group"))
     return stats.join(spans, [by, "feature"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.clean import safe_div
-from flowlab.operators.order import running_sums, whole
+from flowlab.operators.order import group_sizes, row_ranks, running_sums, whole
 from flowlab.session import settle
 
 
@@ -16,10 +16,13 @@ def normalize_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.join(totals, by).withColumn(f"{value}_norm", F.col(value) / (F.col("_total") + 1e-12)).drop("_total")
 
 
-def rank_first(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """Falling order rank without gaps, ties by name, and its share of the largest rank."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc(), F.col(tie))))
-    return ranked.withColumn("rank_norm", F.col("rank") / F.max("rank").over(Window.partitionBy(*by)))
+def rank_first(df: DataFrame, by: list[str], value: str, tie: str, group_limit: int | None = None) -> DataFrame:
+    """Falling order rank without gaps, ties by name, and its share of the largest rank, which is the group's size."""
+    sizes = group_sizes(df, by)
+    ranked = row_ranks(df, by, [F.col(value).desc(), F.col(tie).asc()], "rank", group_limit, sizes)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    named = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], "n_group")
+    return ranked.join(named, same).withColumn("rank_norm", F.col("rank") / F.col("n_group")).drop("n_group", *[f"_of_{c}" for c in by])
 
 
 def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

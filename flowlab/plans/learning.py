@@ -282,10 +282,26 @@ def _drain(spark, df, mode):
 
 
 @query("t01_stream_confusion", """
-SELECT CAST(floor(ts / 86400) AS BIGINT) * 86400000000 AS window_start_us, scenario, count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
- count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp FROM preds GROUP BY 1, 2""")
+WITH days AS (SELECT *, floor(ts / 86400) AS day, (min(floor(ts / 86400)) OVER () + max(floor(ts / 86400)) OVER ()) / 2 AS mid FROM preds), in_time AS (SELECT * FROM days WHERE NOT (row_id % 50 = 0 AND day < mid))
+SELECT CAST(day AS BIGINT) * 86400000000 AS window_start_us, scenario, count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
+ count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp
+FROM in_time WHERE (day + 1) * 86400 <= (SELECT max(ts) FROM in_time) - 3600 GROUP BY 1, 2""")
 def t01(spark, sf):
-    return _drain(spark, T.stream_confusion(_scored_stream(spark, sf), late="60 days"), "complete")
+    """Three arrivals: the first half of the days, the second half, and rows of the first half that come too late.
+
+    Windows behind the watermark are handed on once and leave the state, so the late rows are dropped; a window
+    that the watermark has not passed stays open and is not handed on.
+    """
+    rows = settle(preds(spark, sf).select("row_id", "scenario", "ts", "y_true", "y_pred").withColumn("day", F.floor(F.col("ts") / 86400)))
+    mid = rows.agg(((F.min("day") + F.max("day")) / 2).alias("mid")).first()["mid"]
+    early = F.col("day") < mid
+    late = early & (F.col("row_id") % 50 == 0)
+    source, out, state = (work_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    for arrival in (early & ~late, ~early, late):
+        rows.where(arrival).select("scenario", "ts", "y_true", "y_pred").write.mode("append").parquet(source)
+        arrived = spark.readStream.schema("scenario string, ts double, y_true int, y_pred int").parquet(source)
+        T.run_to_table(T.stream_confusion(arrived, late="1 hour"), out, state).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query("t02_stream_first_tp", "SELECT scenario, min(ts) FILTER (WHERE y_true = 1 AND y_pred = 1) AS first_tp_ts, min(ts) AS first_ts, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS n_tp, count(*) AS n_rows FROM preds GROUP BY scenario")

@@ -131,9 +131,26 @@ def m09(spark, sf):
     return M.class_report(M.per_class(_cat_preds(spark, sf))).select("row", *r6("precision", "recall", "f1"), "support")
 
 
-@query("m10_bootstrap_ci")
+def _drawn(cell: str, hits: str) -> str:
+    """One step of the redraw: the cell's binomial share of ``rest`` rows, with ``mass`` rows of the table still undecided."""
+    u, v = (f"(CAST(CAST('0x' || substr(md5(concat('42:', scenario, ':', resample, ':{cell}:{k}')), 1, 12) AS UBIGINT) AS DOUBLE) + 0.5) / 281474976710656.0::DOUBLE" for k in (1, 2))
+    z, p = f"sqrt(-2 * ln({u})) * cos({v} * 2 * pi())", f"({hits}::DOUBLE / mass)"
+    x = f"floor(rest * {p} + sqrt(rest * {p} * (1 - {p})) * z + (1 - 2 * {p}) * (z * z - 1) / 6 + 0.5)"
+    return f"SELECT * REPLACE (rest - {cell} AS rest, mass - {hits} AS mass) FROM (SELECT * EXCLUDE (z), CASE WHEN rest <= 0 OR {hits} <= 0 THEN 0 WHEN {hits} >= mass THEN rest ELSE greatest(0, least(rest, {x})) END::BIGINT AS {cell} FROM (SELECT *, {z} AS z FROM (%s) a) b) c"
+
+
+_redrawn = "SELECT scenario, c_tn, c_fp, c_fn, resample, n AS rest, n AS mass FROM (SELECT scenario, count(*) AS n, count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS c_tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS c_fp, count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS c_fn FROM preds GROUP BY scenario) g CROSS JOIN (SELECT unnest(range(1, 1001)) AS resample) r"
+for _cell in ("tn", "fp", "fn"):
+    _redrawn = _drawn(_cell, f"c_{_cell}") % _redrawn
+_redrawn = sql_metrics(f"SELECT scenario, resample, tn, fp, fn, rest AS tp FROM ({_redrawn}) d")
+
+
+@query("m10_bootstrap_ci", f"""
+SELECT scenario, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, count(*) AS n_resamples
+FROM (SELECT scenario, unnest([{', '.join(f"'{m}'" for m in M.BOOTSTRAP_METRICS)}]) AS metric, unnest([{', '.join(M.BOOTSTRAP_METRICS)}]) AS v FROM ({_redrawn}) m) l GROUP BY scenario, metric""")
 def m10(spark, sf):
-    return M.bootstrap_ci(preds(spark, sf), ["scenario"], 1000)
+    """1000 multinomial redraws of each scenario's confusion cells."""
+    return M.bootstrap_ci(preds(spark, sf), ["scenario"], 1000).select("scenario", "metric", *r6("mean", "ci_low", "ci_high"), "n_resamples")
 
 
 # The default sweep thresholds.

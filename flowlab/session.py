@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
-    return (
-        SparkSession.builder.master(master)
-        .appName("flowlab")
-        .config("spark.sql.shuffle.partitions", str(partitions))
+def build_session(master: str | None = None, partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """A session with the settings that results rely on.
+
+    Master, shuffle partitions and memory are the cluster's own unless given, as bench and tests do.
+    """
+    builder = (
+        SparkSession.builder.appName("flowlab")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.aggregatePushdown", "true")
@@ -22,9 +24,14 @@ def build_session(master: str = "local[8]", partitions: int = 8) -> SparkSession
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if master:
+        builder = builder.master(master)
+    if partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -48,7 +48,16 @@ def stream_ingest(spark: SparkSession, root: str, out: str, checkpoint: str, nam
     )
     parsed = parse_lines(lines.withColumn("scenario", scenario_from_path(F.col("path")) if scenario is None else scenario))
     flows = prepare_flows(parsed, test, val)
-    return (
-        flows.writeStream.format("parquet").partitionBy("split", "scenario").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    return flows.writeStream.foreachBatch(ingest_writer(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch to a folder of its own, so that a batch which is run again replaces its rows.
+
+    The rebalance hint packs a scenario's rows into few files and splits a hot one, whatever the number of tasks.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.hint("rebalance", "split", "scenario").write.mode("overwrite").partitionBy("split", "scenario").parquet(f"{out}/batch_id={batch_id}")
+
+    return write

@@ -75,7 +75,7 @@ def main() -> int:
 
     sf = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session()
+    spark = build_session("local[8]", 8, "8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracles, failed = entry.oracle_sql(), 0

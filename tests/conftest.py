@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from flowlab.session import build_session
 
-    session = build_session("local[8]", 8)
+    session = build_session("local[8]", 8, "8g")
     session.sparkContext.setLogLevel("ERROR")
     if not session.sparkContext.getCheckpointDir():
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))

@@ -155,3 +155,21 @@ def test_paths_agree_on_infinite_values(odd_times, monkeypatch):
     monkeypatch.setattr(O, "SLICES", 8)
     a, b = (O.exact_quantiles(df, ["g"], "ts", [0.0, 0.05, 0.5, 0.9, 1.0], limit).orderBy("g", "prob").collect() for limit in (None, 20))
     assert [(r["g"], r["prob"], str(r["quantile"])) for r in a] == [(r["g"], r["prob"], str(r["quantile"])) for r in b]
+
+
+def test_ranks_of_a_hot_group(rows):
+    """A third of all rows in one group, many of them tied: the same ranks by window and by range slices."""
+    data = [(f"g{i % 40}" if i % 3 else "hot", f"n{i:05d}", None if i % 97 == 0 else float(i % 11)) for i in range(3000)]
+    df = rows(data, "g string, name string, v double")
+    order = [F.col("v").desc(), F.col("name").asc()]
+    a = O.row_ranks(df, ["g"], order, "rank").orderBy("g", "name").collect()
+    b = O.row_ranks(df, ["g"], order, "rank", 50).orderBy("g", "name").collect()
+    assert a == b and max(r["rank"] for r in a if r["g"] == "hot") == 1000
+
+
+def test_running_sums_of_a_hot_group(rows):
+    data = [("hot" if i % 3 == 0 else f"g{i % 7}", float(i), i % 5) for i in range(2000)]
+    df = rows(data, "g string, v double, n long")
+    for descending in (False, True):
+        a, b = (O.running_sums(df, ["g"], "v", ["n"], descending, limit).orderBy("g", "v").collect() for limit in (None, 40))
+        assert a == b

@@ -31,3 +31,16 @@ def test_append_mode_closes_windows_and_drops_late_rows(spark, tmp_path):
     got = {(r["window_start_us"] // int(DAY * 1e6), r["scenario"]): (r["tn"], r["fp"], r["fn"], r["tp"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     # The row of day 0 in the fourth batch is two batches behind the watermark that passed day 0; day 9 is still open.
     assert got == {(0, "a"): (0, 1, 0, 1), (0, "b"): (0, 0, 1, 0), (2, "a"): (1, 0, 0, 1)}
+
+
+def test_replayed_batch_gives_no_second_rows(spark, tmp_path):
+    out = str(tmp_path / "table")
+    write = T.ingest_writer(out)
+    batch = spark.range(0, 4000, 1, 16).selectExpr("id", "if(id % 4 = 0, 'test', 'train') AS split", "concat('s', id % 3) AS scenario")
+    write(batch, 0)
+    write(batch.limit(100), 1)
+    write(batch, 0)
+    table = spark.read.parquet(out)
+    assert table.count() == 4100 and table.where("batch_id = 0").count() == 4000
+    files = sum(name.endswith(".parquet") for _, _, names in os.walk(f"{out}/batch_id=0") for name in names)
+    assert files <= 12  # 16 tasks and 6 folders would leave up to 96 files
