@@ -33,7 +33,7 @@ BLOCK_WORDS, SHARD_SLOTS = 128, 16_384
 WEIGHTS, REPEATS = (5, 2, 1), 3
 MAX_SOURCES = 1_000_000
 #: Different rows that share a bucket when places are summed, and equal rows laid out by one task at a time.
-BUCKET_ROWS, RUN_ROWS = 50_000, 10_000
+BUCKET_ROWS, RUN_ROWS = 2_000, 10_000
 #: Above this, numpy's exact hypergeometric draw is replaced by its normal limit.
 EXACT_DRAW = 500_000_000
 
