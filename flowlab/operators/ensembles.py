@@ -30,10 +30,12 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from flowlab.session import settle, values
 
 #: Labelled rows that one fit reads at most.
-FIT_ROWS = 50_000
+FIT_ROWS = 20_000
 BINS = 64
 #: Trees of a forest that one task grows, and histogram cells that it holds at a time.
 TREE_BATCH, CELLS = 10, 4_000_000
+#: Histograms are kept whole while nodes have BINS * SPARSE rows or more on average.
+SPARSE = 1.0
 
 
 @dataclass(frozen=True)
@@ -173,6 +175,10 @@ def _best_splits(codes, g, h, rows, place, picks, base, reg_lambda, min_child) -
             key = ((local[:, None] * m + np.arange(m)) * BINS + codes[r[:, None], picks[place[own]]]).ravel()
         else:
             key = (base[r] + (local * (m * BINS))[:, None]).ravel()
+        part = slice(first, first + count)
+        if SPARSE * count * BINS > len(own):
+            _sparse_splits(key, np.repeat(g[r], m), np.repeat(h[r], m), m, picks[part], reg_lambda, min_child, {k: v[part] for k, v in out.items()})
+            continue
         sums = [np.bincount(key, np.repeat(x[r], m), count * m * BINS).reshape(count, m, BINS).cumsum(axis=2) for x in (g, h)]
         (gl, hl), (gt, ht) = (s[:, :, :-1] for s in sums), (s[:, :, -1:] for s in sums)
         gr, hr = gt - gl, ht - hl
@@ -181,13 +187,36 @@ def _best_splits(codes, g, h, rows, place, picks, base, reg_lambda, min_child) -
         gains[(np.minimum(hl, hr) < max(min_child, 1e-9))] = -1.0
         at = gains.reshape(count, -1).argmax(axis=1)
         f, c, node = at // (BINS - 1), at % (BINS - 1), np.arange(count)
-        part = slice(first, first + count)
         out["feature"][part], out["cut"][part], out["gain"][part] = picks[part][node, f], c, gains[node, f, c]
         out["low"][part] = gl[node, f, c] / np.maximum(hl[node, f, c] + reg_lambda, 1e-12)
         out["high"][part] = gr[node, f, c] / np.maximum(hr[node, f, c] + reg_lambda, 1e-12)
     return out
 
 
+def _sparse_splits(key, g, h, m, picks, reg_lambda, min_child, out) -> None:
+    """The same for nodes of few rows: only codes that occur are looked at, in running sums over the sorted keys."""
+    seen, inverse = np.unique(key, return_inverse=True)
+    gs, hs = np.bincount(inverse, g), np.bincount(inverse, h)
+    segment = seen // BINS
+    starts = np.flatnonzero(np.diff(segment, prepend=-1))
+    lengths = np.diff(np.append(starts, len(seen)))
+    gt, ht = (np.repeat(np.add.reduceat(x, starts), lengths) for x in (gs, hs))
+    gl, hl = (x.cumsum() - np.repeat(x.cumsum()[starts] - x[starts], lengths) for x in (gs, hs))
+    gr, hr, tiny = gt - gl, ht - hl, 1e-12 + reg_lambda
+    gains = gl * gl / (hl + tiny) + gr * gr / (np.maximum(hr, 0.0) + tiny) - gt * gt / (ht + tiny)
+    gains[np.minimum(hl, hr) < max(min_child, 1e-9)] = -1.0
+    gains[starts + lengths - 1] = -1.0  # nothing lies above a feature's last code
+    node = segment // m
+    begins = np.flatnonzero(np.diff(node, prepend=-1))
+    top = np.repeat(np.maximum.reduceat(gains, begins), np.diff(np.append(begins, len(seen))))
+    hits = np.flatnonzero(gains == top)
+    at = hits[np.unique(node[hits], return_index=True)[1]]
+    own = node[at]
+    out["feature"][own], out["cut"][own], out["gain"][own] = picks[own, segment[at] % m], seen[at] % BINS, gains[at]
+    out["low"][own] = gl[at] / np.maximum(hl[at] + reg_lambda, 1e-12)
+    out["high"][own] = gr[at] / np.maximum(hr[at] + reg_lambda, 1e-12)
+
+
 def forest_trees(codes: np.ndarray, y: np.ndarray, spec: Forest, numbers: range) -> list[Tree]:
     """The trees of a forest that carry these numbers; each has its own generator, so any task can grow it."""
     n, width = codes.shape

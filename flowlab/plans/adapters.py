@@ -129,7 +129,7 @@ WHERE pos <= greatest(1, floor(n_group * fraction))
 
 
 def unsw_like(spark: SparkSession, sf: str) -> DataFrame:
-    """Second domain: one flow per order, ordered by id.  Lines are aggregated before the joins."""
+    """Second domain: one flow per order that has lines, ordered by id.  Lines are aggregated before the joins."""
     lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.min("l_discount").alias("dur"), F.count(F.lit(1)).alias("spkts"), F.max("l_linenumber").cast("long").alias("dpkts"),
         F.max("l_extendedprice").alias("sbytes"), F.min("l_extendedprice").alias("dbytes"),
@@ -169,7 +169,7 @@ table("importances", "SELECT p_brand AS fold_name, p_type AS feature, CAST(sum(p
 
 
 def importances_b(spark: SparkSession, sf: str) -> DataFrame:
-    """A second model's fold importances, with one feature it never uses."""
+    """A second model's fold importances; one feature is left out on purpose, as a model leaves out what it never uses."""
     cents = F.sum(F.round(F.col("p_retailprice")).cast("long")).cast("double")
     part = read(spark, sf, "part").where(F.col("p_type") != "ECONOMY")
     return part.groupBy(F.col("p_brand").alias("fold_name"), F.col("p_type").alias("feature")).agg(cents.alias("importance"))

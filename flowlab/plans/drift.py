@@ -85,7 +85,7 @@ PREDICTORS = RUN_PREDICTORS + RANK_PREDICTORS
 STAGE_FOLDS = {"pretrain": 10, "adapted": 20, "source": 30}
 _pl = " UNION ALL ".join(f"SELECT scope, '{p}' AS predictor, {p} AS value, primary_gain FROM scoped WHERE {p} IS NOT NULL" for p in PREDICTORS)
 table("compat_stage", f"""
-SELECT s.fold_name, s.rank_spearman, t.r3 AS top_3_overlap_ratio, t.r5 AS top_5_overlap_ratio FROM compat s LEFT JOIN (
+SELECT s.fold_name, round(s.rank_spearman, 9) AS rank_spearman, t.r3 AS top_3_overlap_ratio, t.r5 AS top_5_overlap_ratio FROM compat s LEFT JOIN (
  SELECT fold_name, count(*) FILTER (WHERE ra <= 3 AND rb <= 3) / 3.0::DOUBLE AS r3, count(*) FILTER (WHERE ra <= 5 AND rb <= 5) / 5.0::DOUBLE AS r5
  FROM (SELECT fold_name, feature, row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) AS ra FROM importances) a
  JOIN (SELECT fold_name, feature, row_number() OVER (PARTITION BY fold_name ORDER BY importance DESC, feature) AS rb FROM importances_b) b USING (fold_name, feature) GROUP BY fold_name) t USING (fold_name)""")
@@ -96,14 +96,20 @@ SELECT g.*, p.rank_spearman AS pretrain_target_rank_spearman, a.rank_spearman AS
 
 
 def stage_gains(spark, sf):
+    """Runs beside the compatibility of their three stages: each fold is dealt to its stages' runs, one join attaches them.
+
+    Rank correlations are taken to nine places, so that equal ones stay ties however their sums were rounded.
+    """
     compat = compatibility(importances(spark, sf), importances_b(spark, sf), ["fold_name"])
     fold = F.regexp_extract("fold_name", r"(\d+)$", 1).cast("int")
+    stages = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), (fold - shift).alias("seed")) for s, shift in STAGE_FOLDS.items()]))
+    measures = ["rank_spearman", "top_3_overlap_ratio", "top_5_overlap_ratio"]
+    dealt = compat.withColumn("rank_spearman", F.round("rank_spearman", 9)).select(stages.alias("at"), *measures)
+    wide = dealt.groupBy(F.col("at.seed").alias("stage_seed")).agg(
+        *[F.max(F.when(F.col("at.stage") == s, F.col(c))).alias(f"{s}_target_{c}") for s in STAGE_FOLDS for c in measures if f"{s}_target_{c}" in RANK_PREDICTORS]
+    )
     out = gains(spark, sf)
-    for stage, shift in STAGE_FOLDS.items():
-        wanted = {f"{stage}_target_{c}": c for c in ("rank_spearman", "top_3_overlap_ratio", "top_5_overlap_ratio") if f"{stage}_target_{c}" in RANK_PREDICTORS}
-        own = compat.select((fold - shift).alias("stage_seed"), *[F.col(c).alias(n) for n, c in wanted.items()])
-        out = out.join(own, out["seed"] == own["stage_seed"], "left").drop("stage_seed")
-    return out
+    return out.join(wide, out["seed"] == wide["stage_seed"], "left").drop("stage_seed")
 
 
 @query("d06_predictor_correlations", f"""

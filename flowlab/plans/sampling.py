@@ -150,5 +150,6 @@ def h14(spark, sf):
 SELECT coalesce(a.scenario, b.scenario) AS scenario, CASE WHEN b.scenario IS NULL THEN 'only_a' WHEN a.scenario IS NULL THEN 'only_b' ELSE 'both' END AS found_in
 FROM (SELECT DISTINCT scenario FROM flows WHERE label_phase = 'ddos' AND split <> 'val') a FULL JOIN (SELECT DISTINCT scenario FROM preds WHERE ts >= 0 AND scenario <> 'CTU-Cap-09') b ON a.scenario = b.scenario""")
 def h14_scenarios(spark, sf):
+    """One scenario is left out of the second side on purpose, so that each of the three answers occurs."""
     a = flows(spark, sf).where("label_phase = 'ddos' and split <> 'val'")
     return A.compare_sets(a, preds(spark, sf).where("scenario <> 'CTU-Cap-09'"), "scenario")

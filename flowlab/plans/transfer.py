@@ -256,6 +256,7 @@ WITH leaky AS (SELECT scenario, CASE WHEN scenario = 'CTU-Cap-08' AND row_id % 2
 SELECT 'several_splits' AS violation, scenario FROM leaky GROUP BY scenario HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'missing_scenario', scenario FROM expected WHERE scenario NOT IN (SELECT scenario FROM leaky)
 UNION ALL SELECT DISTINCT 'unexpected_scenario', scenario FROM leaky WHERE scenario NOT IN (SELECT scenario FROM expected)""")
 def v03(spark, sf):
+    """Faults are put in on purpose: the flows of one scenario and the expectation of another are left out."""
     f = flows(spark, sf).where("scenario <> 'CTU-Cap-02'")
     leaky = f.withColumn("split", F.when((F.col("scenario") == "CTU-Cap-08") & (F.col("row_id") % 2 == 0), "train").otherwise(F.col("split")))
     return V.check_splits(leaky, preds(spark, sf).where("scenario <> 'CTU-Cap-05'").select("scenario"))

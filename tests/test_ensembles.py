@@ -32,8 +32,10 @@ def grow_plainly(codes, g, h, depth, lam, rows, out):
     grow_plainly(codes, g, h, depth - 1, lam, rows[~low], out)
 
 
+@pytest.mark.parametrize("sparse", [0.0, 1e9])
 @pytest.mark.parametrize("lam", [0.0, 2.0])
-def test_tree_equals_exhaustive_search(lam):
+def test_tree_equals_exhaustive_search(lam, sparse, monkeypatch):
+    monkeypatch.setattr(N, "SPARSE", sparse)
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 9, (120, 4)).astype(np.uint8)
     g, h = rng.normal(size=120), rng.random(120) + 0.1
