@@ -1,22 +1,31 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapping from their contexts.
 
-The fixed patterns' spans are the seeds. Every string that could be an
-identifier (it holds a digit) is an instance; its neighbouring words are the
-lexical patterns it stands in. Instances and patterns form a bipartite graph of
-counts, over which Spark passes confidence back and forth: a pattern trusts the
-share of its instances that are trusted, an instance trusts its patterns. New
-identifiers of a confident pattern become spans.
+The fixed patterns' spans are the seeds; the words around them are lexical
+patterns. Words that stand where a pattern has its seeds are instances: strings
+with a digit, runs of digit groups, handles and names can be identifiers, any other
+word only speaks against the pattern. Patterns and instances form a bipartite graph
+over which Spark passes confidence back and forth: a pattern trusts the share of its
+instances that are trusted, an instance trusts its patterns. Trusted instances show
+further patterns where else they stand, until nothing new appears.
+
+The texts are scanned once for the seeds, and twice per step: for what stands
+in the slots of new patterns, and for the places of new identifiers. A scan knows what to
+look for by a bitmap of fixed size; joins drop its false hits. Rows are known by
+their place in a scan: the input must give the same rows in the same partitions every
+time, as files and checkpoints do.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import SPACE, free_of, map_rows, point_offsets, to_points
-from flowlab.session import cut_lineage
+from flowlab.llm.common import map_rows, point_offsets, to_points
+from flowlab.session import settle
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 BASE_KINDS = 4
@@ -27,16 +36,24 @@ DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-#: A possible identifier: a run without white space that holds a digit, without outer punctuation.
-CANDIDATE = re.compile(rb"[A-Za-z0-9](?:[^\x20\x09-\x0D]*[A-Za-z0-9])?")
-
-ROUNDS = 4
-#: An instance's and a pattern's least confidence to pass on, the least distinct instances of a pattern, and the damping of an unsupported pattern.
-MIN_CONFIDENCE = 0.7
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Digit groups that may be parts of one identifier, and words that may be parts of one name.
+GROUP = re.compile(rb"[A-Za-z]*[0-9][A-Za-z0-9]*(?:[-./][A-Za-z0-9]+)*")
+NAME = re.compile(rb"[A-Z][A-Za-z'-]*|[A-Z]\.")
+#: A handle: letters joined by a mark.
+HANDLE = re.compile(rb"[A-Za-z\x80-\xff][._@/'-][A-Za-z\x80-\xff]")
+
+#: Confidence is counted in thousandths, so that rounds end: of seeds, and the least of a pattern to pass on.
+SURE = 1000
+MIN_CONFIDENCE = 700
+#: The least distinct instances of a pattern, and the damping of an unsupported pattern.
 MIN_SUPPORT = 3
-PRIOR = 1.0
-#: Longest context word and identifier in bytes; longer strings are no lexical patterns.
-MAX_WORD = 64
+PRIOR = 1
+#: Positions of the bitmap that a scan takes along: two megabytes.
+FILTER_BITS = 1 << 24
+#: Parts that the instances of a pattern, and the patterns of an instance, are dealt in for joins.
+SALTS = 32
 
 
 def email_spans(data: bytes) -> list[tuple[int, int, int]]:
@@ -84,102 +101,272 @@ def shape(value: bytes) -> str:
     return re.sub(r"(.)\1{3,}", r"\1\1\1+", text)
 
 
-def _word(data: bytes) -> str:
-    return data.decode("utf-8", "replace").lower() if len(data) <= MAX_WORD else ""
+def hashed(tag: str, *parts: bytes) -> int:
+    """Hash of words of any length, as a signed long."""
+    value = xxhash.xxh64_intdigest(b"\0".join((tag.encode(), *parts)))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def parts(word: bytes) -> tuple[int, int]:
+    """Where the possible instance in a word begins and ends: behind the last ``:`` or ``=``, without outer punctuation."""
+    end = len(word.rstrip(PUNCTUATION))
+    cut = max(word.rfind(b":", 0, end), word.rfind(b"=", 0, end)) + 1
+    return end - len(word[cut:end].lstrip(PUNCTUATION)), end
+
+
+def could_identify(value: bytes) -> bool:
+    """Whether a string can be an identifier: it holds a digit, is a handle or begins with a capital."""
+    if len(value.translate(None, b"0123456789")) < len(value) or HANDLE.search(value):
+        return True
+    return value[:4].decode("utf-8", "ignore")[:1].isupper()
+
+
+class Text:
+    """The words of a text, and the mentions that begin at them."""
+
+    def __init__(self, data: bytes, base: list[tuple[int, int, int]]):
+        self.data = data
+        self.bounds = [m.span() for m in WORD.finditer(data)]
+        self.starts = np.fromiter((a for a, _ in self.bounds), np.int64, len(self.bounds))
+        self.taken = np.zeros(len(self.bounds) + 1, bool)
+        for start, end, _ in base:
+            self.taken[self.word_at(start) : self.word_at(end - 1) + 1] = True
+
+    def word_at(self, spot: int) -> int:
+        return int(np.searchsorted(self.starts, spot, "right")) - 1
+
+    def word(self, i: int) -> bytes:
+        if not 0 <= i < len(self.bounds):
+            return b""
+        a, b = self.bounds[i]
+        return self.data[a:b]
+
+    def joined(self, i: int, kind: re.Pattern) -> bool:
+        """Whether words i and i + 1 are parts of one instance: of one kind, a single blank between them."""
+        if i < 0 or i + 1 >= len(self.bounds) or self.taken[i] or self.taken[i + 1]:
+            return False
+        one, two = self.word(i), self.word(i + 1)
+        own = one[parts(one)[0] :]
+        following = two[: parts(two)[1]]
+        blank = self.data[self.bounds[i][1] : self.bounds[i + 1][0]] == b" "
+        return blank and kind.fullmatch(own) is not None and kind.fullmatch(following) is not None
+
+    def around(self, start: int, end: int) -> tuple[list[int], int]:
+        """The hashed patterns of a span, and the hash of the word before it by which they are looked for."""
+        i, j = self.word_at(start), self.word_at(end - 1)
+        lead, rest = self.data[self.bounds[i][0] : start].lower(), self.data[end : self.bounds[j][1]]
+        if lead.strip(PUNCTUATION):
+            first, second, gate = self.word(i - 1).lower(), lead, hashed("lead", lead)
+        else:
+            first, before = self.word(i - 2).lower(), self.word(i - 1).lower()
+            second, gate = before + lead if before else b"", hashed("word", before)
+        if not second:
+            return [], 0
+        after = rest or self.word(j + 1).lower()
+        found = [hashed("form", second, shape(self.data[start:end]).encode())]
+        if first:
+            found.append(hashed("left", first, second))
+        if after:
+            found.append(hashed("both", second, after))
+        return found, gate
+
+    def instance(self, i: int) -> tuple[int, int] | None:
+        """The instance that begins with word i, if one does: digit groups from their first, names from here on."""
+        if i >= len(self.bounds) or self.taken[i] or self.joined(i - 1, GROUP):
+            return None
+        a, b = parts(self.word(i))
+        if a >= b:
+            return None
+        j = i
+        for kind in (GROUP, NAME):
+            while self.joined(j, kind):
+                j += 1
+            if j > i:
+                break
+        return self.bounds[i][0] + a, self.bounds[j][0] + parts(self.word(j))[1]
+
+
+MENTION = "array<struct<start:long,stop:long,value:long,head:long,able:boolean,gate:long,patterns:array<long>>>"
+
+
+def _mention(text: Text, start: int, end: int, gate: int, patterns: list[int]) -> dict:
+    value = text.data[start:end]
+    return {"start": start, "stop": end, "value": hashed("value", value), "head": hashed("head", value.split(None, 1)[0]), "able": could_identify(value), "gate": gate, "patterns": patterns}
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Base spans of every whole text in code points, and the seeds with their patterns."""
+
+    def make(batches):
+        for b in batches:
+            out = {c: [] for c in ("doc_id", "row_no", "base", "mentions")}
+            for doc_id, row_no, data in zip(b["doc_id"], b["row_no"], b["text"]):
+                data = data or b""
+                base = byte_spans(data)
+                text = Text(data, base) if base else None
+                out["doc_id"].append(doc_id)
+                out["row_no"].append(row_no)
+                out["base"].append([{"start": s, "stop": e, "kind": k} for s, e, k in to_points(data, base)])
+                out["mentions"].append([_mention(text, s, e, *reversed(text.around(s, e))) for s, e, _ in base])
+            yield out
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(_numbered(docs), make, f"doc_id {kind}, row_no long, base array<struct<start:long,stop:long,kind:int>>, mentions {MENTION}")
+
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
 
-def contexts(data: bytes, start: int, end: int) -> tuple[str, str, str]:
-    """The two words before a span and the one after it, lower-cased; empty where there is none."""
-    left = data[max(0, start - 4 * MAX_WORD) : start].split()
-    right = data[end : end + 2 * MAX_WORD].split()
-    touching = start > 0 and data[start - 1] not in SPACE
-    words = [_word(w) for w in left[-2:]]
-    words = [""] * (2 - len(words)) + words
-    if touching and not words[1].strip("\"'([{<:=#"):
-        words = ["", words[0] + words[1]]
-    return words[0], words[1], _word(right[0]) if right else ""
 
+class Wanted(dict):
+    """Per lower-cased word: 1 if a wanted slot may follow it, 2 if one may be inside of it, plus 4 (by exact word) if an instance may begin with it."""
 
-def mentions(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, list[str]]]:
-    """(start, end, kind or -1, value, shape, patterns) of the base spans and of all other possible identifiers."""
-    found = []
-    spans = list(base)
-    if len(data.translate(None, b"0123456789")) < len(data):
-        inner = (CANDIDATE.search(data, m.start(), m.end()) for m in DIGIT_WORD.finditer(data))
-        spans += [(c.start(), c.end(), -1) for c in free_of((c for c in inner if c and c.end() - c.start() <= MAX_WORD), base)]
-    for start, end, kind in spans:
-        value = data[start:end]
-        if len(value) > MAX_WORD:
-            continue
-        first, second, after = contexts(data, start, end)
-        form = shape(value)
-        patterns = [p for p, words in ((f"{first} {second} _", first and second), (f"{second} _ {after}", second and after), (f"{second} _ <{form}>", second)) if words]
-        found.append((start, end, kind, value.decode("utf-8", "replace"), form, patterns))
-    return found
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
+    def has(self, key: int) -> bool:
+        return bool(self.bits[key & (FILTER_BITS - 1)])
 
-#: Strings with a digit; the part before the first digit is taken without backtracking into it.
-DIGIT_WORD = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        low = word.lower()
+        a, b = parts(word)
+        flags = int(self.has(hashed("word", low))) + 4 * int(a < b and self.has(hashed("head", word[a:b])))
+        if a and low[:a].strip(PUNCTUATION):
+            flags += 2 * int(self.has(hashed("lead", low[:a])))
+        self[word] = flags
+        return flags
 
-MENTION = "array<struct<start:long,stop:long,kind:int,value:string,form:string,patterns:array<string>>>"
 
+def bitmap(keys: DataFrame) -> list[tuple[int, bytes]]:
+    """The column ``key`` as bits; at most FILTER_BITS of them, however many keys there are."""
+    spot = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    parts_ = keys.select(F.bitmap_bucket_number(spot).alias("part"), F.bitmap_bit_position(spot).alias("bit"))
+    return [(r["part"] - 1, bytes(r["bits"])) for r in parts_.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()]
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and possible identifiers of every whole text, with offsets in code points."""
+
+def scan_for(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row_no, start, stop, value, head, able, gate, pattern) of instances whose value or pattern may be among ``keys``.
+
+    An instance found by its value comes with all its patterns. Base spans are not repeated.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def make(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for part, data in held.value:
+            bits[part * 32_768 : (part + 1) * 32_768] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+        wanted = Wanted(bits)
         for b in batches:
-            out = {c: [] for c in ("doc_id", "base", "mentions")}
-            for doc_id, data in zip(b["doc_id"], b["text"]):
-                data = data or b""
-                base = byte_spans(data)
-                found = mentions(data, base)
-                points = sorted({x for m in found for x in m[:2]})
-                at = dict(zip(points, point_offsets(data, points)))
-                out["doc_id"].append(doc_id)
-                out["base"].append([{"start": s, "stop": e, "kind": k} for s, e, k in to_points(data, base)])
-                out["mentions"].append([{"start": at[s], "stop": at[e], "kind": k, "value": v, "form": f, "patterns": p} for s, e, k, v, f, p in found])
+            out = {"row_no": [], "mentions": []}
+            for row_no, data in zip(b["row_no"], b["text"]):
+                flags = [wanted[w] for w in (data or b"").split()]
+                if not any(flags):
+                    continue
+                slots = {i + 1 for i, f in enumerate(flags) if f & 1} | {i for i, f in enumerate(flags) if f & 6}
+                text, found = Text(data, byte_spans(data)), []
+                for i in sorted(slots):
+                    span = text.instance(i)
+                    if span is None:
+                        continue
+                    patterns, gate = text.around(*span)
+                    m = _mention(text, *span, gate, patterns)
+                    if not wanted.has(m["value"]):
+                        m["patterns"] = [p for p in patterns if wanted.has(p)]
+                    if m["patterns"]:
+                        found.append(m)
+                spots = sorted({x for m in found for x in (m["start"], m["stop"])})
+                at = dict(zip(spots, point_offsets(data, spots)))
+                out["row_no"].append(row_no)
+                out["mentions"].append([m | {"start": at[m["start"]], "stop": at[m["stop"]]} for m in found])
             yield out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, base array<struct<start:long,stop:long,kind:int>>, mentions {MENTION}")
+    found = map_rows(_numbered(docs), make, f"row_no long, mentions {MENTION}")
+    return _laid_out(found)
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, pattern_score) of confident patterns, from edges (pattern, value, seed).
+def _laid_out(found: DataFrame) -> DataFrame:
+    each = found.select("row_no", F.explode("mentions").alias("m"))
+    return each.select("row_no", "m.start", "m.stop", "m.value", "m.head", "m.able", "m.gate", F.explode("m.patterns").alias("pattern"))
 
-    A pattern's confidence is the summed trust of its distinct instances over their
-    number plus PRIOR; an instance that is no seed trusts the best of its patterns. Both
-    sides are aggregated before they are joined, and patterns below MIN_SUPPORT never
-    enter the graph, so a frequent pattern is one row of sums, not a group of rows.
+
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+
+
+def score_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, score) of confident patterns and (value, trust) of trusted instances, in thousandths.
+
+    ``edges``: distinct (pattern, value, able, seed), all instances of every pattern. A pattern's
+    score is the summed trust of its distinct instances over their number plus PRIOR; a seed
+    is trusted wholly, another instance that can be an identifier as its best confident pattern
+    is, any other not at all. Scores only rise and are whole numbers, so the rounds end; they
+    end where they are equal. Joins deal a pattern's instances, and an instance's patterns, in SALTS parts.
+    """
+    edges = settle(edges)
+    trust = edges.where("seed").select("value", F.lit(SURE).cast("long").alias("trust")).distinct()
+    before = None
+    while True:
+        trusted = _salted(edges, "pattern").join(_copied(trust), ["value", "salt"], "left")
+        sums = trusted.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("trust", F.lit(0))).alias("trust"))
+        scores = settle(sums.where(F.col("n") >= MIN_SUPPORT).select("pattern", F.expr(f"trust div (n + {PRIOR})").alias("score")).where(F.col("score") >= MIN_CONFIDENCE))
+        reached = _salted(edges.where("able AND NOT seed"), "value").join(_copied(scores), ["pattern", "salt"]).groupBy("value").agg(F.max("score").alias("trust"))
+        seeds = edges.where("seed").select("value", F.lit(SURE).cast("long").alias("trust"))
+        trust = settle(seeds.unionByName(reached).groupBy("value").agg(F.max("trust").alias("trust")))
+        now = scores.agg(F.count("*"), F.sum("score")).first()
+        if now == before:
+            return scores, trust
+        before = now
+
+
+def pii_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, row_no, base spans and all spans, one row per row of ``docs``.
+
+    A missing or empty text has no spans; texts of any length are read in whole. Repeated
+    rows have equal spans and count once, as patterns and instances are distinct. Added
+    spans overlap no word of a base span; names that begin inside of a longer name may overlap
+    it. Other columns are not read; an empty table gives no rows.
     """
-    distinct = cut_lineage(edges.groupBy("pattern", "value").agg(F.max("seed").cast("double").alias("seed")))
-    sized = distinct.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds")).where((F.col("n") >= MIN_SUPPORT) & (F.col("seeds") > 0))
-    scores = sized.select("pattern", (F.col("seeds") / (F.col("n") + PRIOR)).alias("pattern_score"))
-    for _ in range(rounds):
-        scores = cut_lineage(scores)
-        trusted = distinct.join(scores.where(F.col("pattern_score") >= MIN_CONFIDENCE), "pattern").groupBy("value").agg(F.max("pattern_score").alias("reach"))
-        trust = distinct.join(trusted, "value", "left").select("pattern", F.when(F.col("seed") > 0, 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("trust"))
-        sums = trust.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("trust").alias("trust")).where((F.col("n") >= MIN_SUPPORT) & (F.col("trust") > 0))
-        scores = sums.select("pattern", (F.col("trust") / (F.col("n") + PRIOR)).alias("pattern_score"))
-    return scores.where(F.col("pattern_score") >= MIN_CONFIDENCE)
-
-
-def pii_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, row_no (of the scan), base spans and those found by context."""
-    found = cut_lineage(scan(docs).withColumn("row_no", F.monotonically_increasing_id()))
-    each = found.select("row_no", F.explode("mentions").alias("m")).select("row_no", "m.*")
-    edges = each.select("value", "form", (F.col("kind") >= 0).cast("int").alias("seed"), F.explode("patterns").alias("pattern"))
-    scores = score_graph(edges.select("pattern", "value", "seed"), rounds)
-    new = (
-        each.where("kind < 0")
-        .select("row_no", "start", "stop", F.explode("patterns").alias("pattern"))
-        .join(scores, "pattern")
+    found = settle(scan(docs))
+    seeds = _laid_out(found).select("pattern", "value", "head", "gate", "able", F.lit(True).alias("seed")).distinct()
+    known = edges = settle(seeds)
+    places, patterns, looked_for = None, None, None
+    while True:
+        counted = known.groupBy("pattern", "gate").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SUPPORT)
+        new = settle(counted.select("pattern", "gate") if patterns is None else counted.select("pattern", "gate").join(patterns, "pattern", "left_anti"))
+        if new.isEmpty():
+            break
+        patterns = settle(new.select("pattern") if patterns is None else patterns.unionByName(new.select("pattern")))
+        keys = new.select(F.col("pattern").alias("key")).unionByName(new.select(F.col("gate").alias("key")))
+        own = _salted(scan_for(docs, keys), "value").join(_copied(new.select("pattern")), ["pattern", "salt"], "left_semi").drop("salt")
+        places = settle(own if places is None else places.unionByName(own))
+        instances = places.select("pattern", "value", "head", "gate", "able", F.lit(False).alias("seed"))
+        edges = seeds.unionByName(instances).groupBy("pattern", "value").agg(F.max("able").alias("able"), F.max("seed").alias("seed"))
+        scores, trust = score_graph(_salted(edges, "value").join(_copied(patterns), ["pattern", "salt"], "left_semi").drop("salt"))
+        fresh = instances.where("able").select("value", "head").distinct().join(trust, "value", "left_semi")
+        fresh = settle(fresh if looked_for is None else fresh.join(looked_for, "value", "left_anti"))
+        if fresh.isEmpty():
+            break
+        looked_for = settle(fresh.select("value") if looked_for is None else looked_for.unionByName(fresh.select("value")))
+        keys = fresh.select(F.col("value").alias("key")).unionByName(fresh.select(F.col("head").alias("key")))
+        seen = _salted(scan_for(docs, keys), "pattern").join(_copied(fresh.select("value")), ["value", "salt"], "left_semi")
+        known = settle(known.unionByName(seen.select("pattern", "value", "head", "gate", "able", F.lit(False).alias("seed"))).distinct())
+    spans = "array<struct<start:long,stop:long,kind:int>>"
+    if places is None:
+        return found.select("doc_id", "row_no", "base", F.col("base").alias("spans"))
+    added = (
+        _salted(places.where("able"), "row_no")
+        .join(_copied(scores.select("pattern")), ["pattern", "salt"], "left_semi")
         .groupBy("row_no")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "stop", F.lit(BASE_KINDS).alias("kind")))).alias("new"))
+        .agg(F.collect_set(F.struct("start", "stop", F.lit(BASE_KINDS).alias("kind"))).alias("new"))
     )
-    spans = F.sort_array(F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:long,stop:long,kind:int>>"))))
-    return found.select("doc_id", "row_no", "base").join(new, "row_no", "left").select("doc_id", "row_no", "base", spans.alias("spans"))
+    all_spans = F.sort_array(F.concat("base", F.coalesce("new", F.array().cast(spans))))
+    return found.select("doc_id", "row_no", "base").join(added, "row_no", "left").select("doc_id", "row_no", "base", all_spans.alias("spans"))
 
 
 def _digest_text(spans):
@@ -187,9 +374,9 @@ def _digest_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def pii_report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Counts and spans of every whole text, one row per row of ``docs``; a missing text is empty."""
+def pii_report(docs: DataFrame) -> DataFrame:
+    """Counts and spans of every whole text, one row per row of ``docs``; nulls, odd texts and repeated rows as in ``pii_spans``."""
     by_start = F.array_sort("base", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["kind"] - b["kind"]).cast("int")))
     all_spans = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["kind"] - b["kind"]).cast("int")))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
-    return pii_spans(docs, rounds).select("doc_id", *counts, F.sha2(_digest_text(by_start).cast("binary"), 256).alias("base_sha256"), _digest_text(all_spans).alias("spans"))
+    return pii_spans(docs).select("doc_id", *counts, F.sha2(_digest_text(by_start).cast("binary"), 256).alias("base_sha256"), _digest_text(all_spans).alias("spans"))

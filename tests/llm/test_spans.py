@@ -1,6 +1,7 @@
 """Secrets and personal data: base spans against plain regular expressions, and what the methods add."""
 
 import hashlib
+import random
 import re
 from math import log2
 
@@ -116,6 +117,63 @@ def test_contexts_discover_identifiers(spark):
     assert all(got[i].startswith("email:20:") for i in range(8))
 
 
+def test_contexts_discover_names_groups_and_long_values(spark):
+    """Handles, names, digit groups and values of any length in the slot of seeds; plain words and other places stay."""
+    long = "x" * 80 + "7"
+    texts = [f"account holder contact: user{i}@mail.example.com (verified)" for i in range(20)]
+    texts += [f"account holder contact: {v} (verified)" for v in ("jane.doe", "Jane Doe", "DE89 3704 0044 0532 0130 00", long, "nobody")]
+    texts += ["DE89 3704 0044 0532 0130 00 is said elsewhere by Jane Doe", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(rows).collect()}
+    for i, length in ((20, 8), (21, 8), (22, 27), (23, len(long))):
+        assert got[i] == f"context:24:{24 + length}"
+    assert [got[i] for i in (24, 25, 26, 27)] == ["", "", "", ""]
+
+
+def test_identifiers_show_further_patterns(spark):
+    """A handle found by its context elsewhere makes a second context known, and that one a handle no seed is near."""
+    texts = [f"please send mail to user{i}@mail.example.com today" for i in range(24)]
+    texts += [f"please send mail to han.dle-{c} today" for c in "abcdefgh"]
+    texts += [f"ticket opened by han.dle-{c} yesterday" for c in "abcdefgh"] + ["ticket opened by new.one yesterday", "seen new.one here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.createDataFrame([(99, texts[-2])], "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(rows).collect()}
+    assert all(got[i] == "context:20:29" for i in range(24, 32)) and all(got[i] == "context:17:26" for i in range(32, 40))
+    assert got[40] == got[99] == "context:17:24" and got[41] == ""
+
+
+def plain_graph(edges):
+    """Least fixed point of scores and trust over all (pattern, value, able, seed)."""
+    trust = {v: 1000 for _, v, _, seed in edges if seed}
+    scores = {}
+    while True:
+        of = {}
+        for p, v, _, _ in edges:
+            of.setdefault(p, []).append(trust.get(v, 0))
+        new = {p: sum(t) // (len(t) + 1) for p, t in of.items() if len(t) >= 3}
+        new = {p: x for p, x in new.items() if x >= 700}
+        for p, v, able, seed in edges:
+            if able and not seed and p in new:
+                trust[v] = max(trust.get(v, 0), new[p])
+        if new == scores:
+            return scores, trust
+        scores = new
+
+
+def test_graph_scores_are_those_of_the_plain_form(spark):
+    rng = random.Random(5)
+    edges = {}
+    for p in range(40):
+        share = rng.random()
+        for _ in range(rng.randrange(1, 60)):
+            v = rng.randrange(150) if rng.random() < share else 150 + rng.randrange(300)
+            edges[p, v] = (p, v, v % 5 > 0, v < 150)
+    scores, trust = pii.score_graph(spark.createDataFrame(list(edges.values()), "pattern long, value long, able boolean, seed boolean"))
+    want_scores, want_trust = plain_graph(list(edges.values()))
+    assert 0 < len(want_scores) < 40 and any(v >= 150 for v in want_trust)
+    assert {r["pattern"]: r["score"] for r in scores.collect()} == want_scores
+    assert {r["value"]: r["trust"] for r in trust.collect()} == want_trust
+
+
 def test_long_runs_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1 " * 60_000, "x1" * 100_000):
         pii.byte_spans(text.encode())
