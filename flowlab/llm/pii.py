@@ -17,6 +17,8 @@ time, as files and checkpoints do.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 
 import numpy as np
@@ -44,8 +46,9 @@ NAME = re.compile(rb"[A-Z][A-Za-z'-]*|[A-Z]\.")
 #: A handle: letters joined by a mark.
 HANDLE = re.compile(rb"[A-Za-z\x80-\xff][._@/'-][A-Za-z\x80-\xff]")
 
-#: Confidence is counted in thousandths, so that rounds end: of seeds, and the least of a pattern to pass on.
+#: Confidence in thousandths: of seeds, of instances found by context, and the least of a pattern to pass on.
 SURE = 1000
+FOUND = 900
 MIN_CONFIDENCE = 700
 #: The least distinct instances of a pattern, and the damping of an unsupported pattern.
 MIN_SUPPORT = 3
@@ -53,7 +56,7 @@ PRIOR = 1
 #: Positions of the bitmap that a scan takes along: two megabytes.
 FILTER_BITS = 1 << 24
 #: Parts that the instances of a pattern, and the patterns of an instance, are dealt in for joins.
-SALTS = 32
+SALTS = 16
 
 
 def email_spans(data: bytes) -> list[tuple[int, int, int]]:
@@ -95,6 +98,7 @@ def byte_spans(data: bytes) -> list[tuple[int, int, int]]:
     return spans
 
 
+@functools.lru_cache(maxsize=100_000)
 def shape(value: bytes) -> str:
     """Digits as 9, letters as a, runs of four and more shortened: the form of an identifier."""
     text = re.sub(rb"[A-Za-z]", b"a", re.sub(rb"[0-9]", b"9", value)).decode("utf-8", "replace")
@@ -121,19 +125,39 @@ def could_identify(value: bytes) -> bool:
     return value[:4].decode("utf-8", "ignore")[:1].isupper()
 
 
+class Facts(dict):
+    """Per word: where its instance lies, and whether its end may be followed, and its beginning preceded, by another group or name."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
+        if len(self) > 400_000:
+            self.clear()
+        a, b = parts(word)
+        own, following = word[a:], word[:b]
+        ends = (GROUP.fullmatch(own) is not None) + 2 * (NAME.fullmatch(own) is not None)
+        begins = (GROUP.fullmatch(following) is not None) + 2 * (NAME.fullmatch(following) is not None)
+        self[word] = found = (a, b, ends, begins)
+        return found
+
+
+FACTS = Facts()
+#: Instances of one group and of one name, as bits of ``Facts``.
+GROUPS, NAMES = 1, 2
+
+
 class Text:
     """The words of a text, and the mentions that begin at them."""
 
     def __init__(self, data: bytes, base: list[tuple[int, int, int]]):
         self.data = data
         self.bounds = [m.span() for m in WORD.finditer(data)]
-        self.starts = np.fromiter((a for a, _ in self.bounds), np.int64, len(self.bounds))
-        self.taken = np.zeros(len(self.bounds) + 1, bool)
+        self.starts = [a for a, _ in self.bounds]
+        self.taken = bytearray(len(self.bounds))
         for start, end, _ in base:
-            self.taken[self.word_at(start) : self.word_at(end - 1) + 1] = True
+            for i in range(self.word_at(start), self.word_at(end - 1) + 1):
+                self.taken[i] = 1
 
     def word_at(self, spot: int) -> int:
-        return int(np.searchsorted(self.starts, spot, "right")) - 1
+        return bisect.bisect_right(self.starts, spot) - 1
 
     def word(self, i: int) -> bytes:
         if not 0 <= i < len(self.bounds):
@@ -141,15 +165,11 @@ class Text:
         a, b = self.bounds[i]
         return self.data[a:b]
 
-    def joined(self, i: int, kind: re.Pattern) -> bool:
+    def joined(self, i: int, kind: int) -> bool:
         """Whether words i and i + 1 are parts of one instance: of one kind, a single blank between them."""
-        if i < 0 or i + 1 >= len(self.bounds) or self.taken[i] or self.taken[i + 1]:
+        if i < 0 or i + 1 >= len(self.bounds) or not FACTS[self.word(i)][2] & FACTS[self.word(i + 1)][3] & kind:
             return False
-        one, two = self.word(i), self.word(i + 1)
-        own = one[parts(one)[0] :]
-        following = two[: parts(two)[1]]
-        blank = self.data[self.bounds[i][1] : self.bounds[i + 1][0]] == b" "
-        return blank and kind.fullmatch(own) is not None and kind.fullmatch(following) is not None
+        return not self.taken[i] and not self.taken[i + 1] and self.data[self.bounds[i][1] : self.bounds[i + 1][0]] == b" "
 
     def around(self, start: int, end: int) -> tuple[list[int], int]:
         """The hashed patterns of a span, and the hash of the word before it by which they are looked for."""
@@ -172,18 +192,19 @@ class Text:
 
     def instance(self, i: int) -> tuple[int, int] | None:
         """The instance that begins with word i, if one does: digit groups from their first, names from here on."""
-        if i >= len(self.bounds) or self.taken[i] or self.joined(i - 1, GROUP):
+        if i >= len(self.bounds) or self.taken[i] or self.joined(i - 1, GROUPS):
             return None
-        a, b = parts(self.word(i))
+        a, b, ends, _ = FACTS[self.word(i)]
         if a >= b:
             return None
-        j = i
-        for kind in (GROUP, NAME):
+        start, end = self.bounds[i][0] + a, self.bounds[i][0] + b
+        for kind in (GROUPS, NAMES) if ends else ():
+            j = i
             while self.joined(j, kind):
                 j += 1
             if j > i:
-                break
-        return self.bounds[i][0] + a, self.bounds[j][0] + parts(self.word(j))[1]
+                return start, self.bounds[j][0] + FACTS[self.word(j)][1]
+        return start, end
 
 
 MENTION = "array<struct<start:long,stop:long,value:long,head:long,able:boolean,gate:long,patterns:array<long>>>"
@@ -221,11 +242,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 class Wanted(dict):
     """Per lower-cased word: 1 if a wanted slot may follow it, 2 if one may be inside of it, plus 4 (by exact word) if an instance may begin with it."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, bits: bytearray):
         self.bits = bits
 
     def has(self, key: int) -> bool:
-        return bool(self.bits[key & (FILTER_BITS - 1)])
+        return self.bits[key & (FILTER_BITS - 1)] == 1
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
@@ -254,14 +275,14 @@ def scan_for(docs: DataFrame, keys: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def make(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = bytearray(FILTER_BITS)
         for part, data in held.value:
-            bits[part * 32_768 : (part + 1) * 32_768] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+            bits[part * 32_768 : (part + 1) * 32_768] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").tobytes()
         wanted = Wanted(bits)
         for b in batches:
             out = {"row_no": [], "mentions": []}
             for row_no, data in zip(b["row_no"], b["text"]):
-                flags = [wanted[w] for w in (data or b"").split()]
+                flags = [*map(wanted.__getitem__, (data or b"").split())]
                 if not any(flags):
                     continue
                 slots = {i + 1 for i, f in enumerate(flags) if f & 1} | {i for i, f in enumerate(flags) if f & 6}
@@ -271,11 +292,10 @@ def scan_for(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     if span is None:
                         continue
                     patterns, gate = text.around(*span)
-                    m = _mention(text, *span, gate, patterns)
-                    if not wanted.has(m["value"]):
-                        m["patterns"] = [p for p in patterns if wanted.has(p)]
-                    if m["patterns"]:
-                        found.append(m)
+                    if not wanted.has(hashed("value", data[slice(*span)])):
+                        patterns = [p for p in patterns if wanted.has(p)]
+                    if patterns:
+                        found.append(_mention(text, *span, gate, patterns))
                 spots = sorted({x for m in found for x in (m["start"], m["stop"])})
                 at = dict(zip(spots, point_offsets(data, spots)))
                 out["row_no"].append(row_no)
@@ -300,27 +320,25 @@ def _copied(df: DataFrame) -> DataFrame:
 
 
 def score_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pattern, score) of confident patterns and (value, trust) of trusted instances, in thousandths.
+    """(pattern, score) of confident patterns, in thousandths, and (value) of the instances they reach.
 
     ``edges``: distinct (pattern, value, able, seed), all instances of every pattern. A pattern's
     score is the summed trust of its distinct instances over their number plus PRIOR; a seed
-    is trusted wholly, another instance that can be an identifier as its best confident pattern
-    is, any other not at all. Scores only rise and are whole numbers, so the rounds end; they
-    end where they are equal. Joins deal a pattern's instances, and an instance's patterns, in SALTS parts.
+    counts SURE, another instance that can be an identifier and has a confident pattern counts
+    FOUND, any other nothing. Reached instances only become more, so the rounds end where
+    none is new. Joins deal a pattern's instances, and an instance's patterns, in SALTS parts.
     """
     edges = settle(edges)
-    trust = edges.where("seed").select("value", F.lit(SURE).cast("long").alias("trust")).distinct()
-    before = None
+    reached, before = None, 0
     while True:
-        trusted = _salted(edges, "pattern").join(_copied(trust), ["value", "salt"], "left")
-        sums = trusted.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("trust", F.lit(0))).alias("trust"))
-        scores = settle(sums.where(F.col("n") >= MIN_SUPPORT).select("pattern", F.expr(f"trust div (n + {PRIOR})").alias("score")).where(F.col("score") >= MIN_CONFIDENCE))
-        reached = _salted(edges.where("able AND NOT seed"), "value").join(_copied(scores), ["pattern", "salt"]).groupBy("value").agg(F.max("score").alias("trust"))
-        seeds = edges.where("seed").select("value", F.lit(SURE).cast("long").alias("trust"))
-        trust = settle(seeds.unionByName(reached).groupBy("value").agg(F.max("trust").alias("trust")))
-        now = scores.agg(F.count("*"), F.sum("score")).first()
+        trust = F.when(F.col("seed"), SURE).when(F.col("found"), FOUND).otherwise(0)
+        marked = edges.withColumn("found", F.lit(False)) if reached is None else _salted(edges, "pattern").join(_copied(reached.withColumn("found", F.lit(True))), ["value", "salt"], "left")
+        sums = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(trust).alias("trust")).where(F.col("n") >= MIN_SUPPORT)
+        scores = settle(sums.select("pattern", F.expr(f"trust div (n + {PRIOR})").alias("score")).where(F.col("score") >= MIN_CONFIDENCE))
+        reached = settle(_salted(edges.where("able AND NOT seed"), "value").join(_copied(scores), ["pattern", "salt"], "left_semi").select("value").distinct())
+        now = reached.count()
         if now == before:
-            return scores, trust
+            return scores, reached
         before = now
 
 
@@ -341,18 +359,18 @@ def pii_spans(docs: DataFrame) -> DataFrame:
         new = settle(counted.select("pattern", "gate") if patterns is None else counted.select("pattern", "gate").join(patterns, "pattern", "left_anti"))
         if new.isEmpty():
             break
-        patterns = settle(new.select("pattern") if patterns is None else patterns.unionByName(new.select("pattern")))
+        patterns = new.select("pattern") if patterns is None else patterns.unionByName(new.select("pattern"))
         keys = new.select(F.col("pattern").alias("key")).unionByName(new.select(F.col("gate").alias("key")))
         own = _salted(scan_for(docs, keys), "value").join(_copied(new.select("pattern")), ["pattern", "salt"], "left_semi").drop("salt")
         places = settle(own if places is None else places.unionByName(own))
         instances = places.select("pattern", "value", "head", "gate", "able", F.lit(False).alias("seed"))
         edges = seeds.unionByName(instances).groupBy("pattern", "value").agg(F.max("able").alias("able"), F.max("seed").alias("seed"))
-        scores, trust = score_graph(_salted(edges, "value").join(_copied(patterns), ["pattern", "salt"], "left_semi").drop("salt"))
-        fresh = instances.where("able").select("value", "head").distinct().join(trust, "value", "left_semi")
+        scores, reached = score_graph(_salted(edges, "value").join(_copied(patterns), ["pattern", "salt"], "left_semi").drop("salt"))
+        fresh = instances.where("able").select("value", "head").distinct().join(reached, "value", "left_semi")
         fresh = settle(fresh if looked_for is None else fresh.join(looked_for, "value", "left_anti"))
         if fresh.isEmpty():
             break
-        looked_for = settle(fresh.select("value") if looked_for is None else looked_for.unionByName(fresh.select("value")))
+        looked_for = fresh.select("value") if looked_for is None else looked_for.unionByName(fresh.select("value"))
         keys = fresh.select(F.col("value").alias("key")).unionByName(fresh.select(F.col("head").alias("key")))
         seen = _salted(scan_for(docs, keys), "pattern").join(_copied(fresh.select("value")), ["value", "salt"], "left_semi")
         known = settle(known.unionByName(seen.select("pattern", "value", "head", "gate", "able", F.lit(False).alias("seed"))).distinct())
