@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+from array import array
 
 import numpy as np
 import xxhash
@@ -38,6 +39,7 @@ DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
+DIGITS = b"0123456789"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Digit groups that may be parts of one identifier, and words that may be parts of one name.
@@ -55,6 +57,8 @@ MIN_SUPPORT = 3
 PRIOR = 1
 #: Positions of the bitmap that a scan takes along: two megabytes.
 FILTER_BITS = 1 << 24
+#: Words whose properties a task keeps.
+KNOWN_WORDS = 300_000
 #: Parts that the instances of a pattern, and the patterns of an instance, are dealt in for joins.
 SALTS = 16
 
@@ -105,9 +109,26 @@ def shape(value: bytes) -> str:
     return re.sub(r"(.)\1{3,}", r"\1\1\1+", text)
 
 
-def hashed(tag: str, *parts: bytes) -> int:
-    """Hash of words of any length, as a signed long."""
-    value = xxhash.xxh64_intdigest(b"\0".join((tag.encode(), *parts)))
+FULL = (1 << 64) - 1
+#: What a mixed hash stands for.
+FORM, LEFT, BOTH, PLACE = 1, 2, 3, 4
+
+
+def hashed(tag: str, value: bytes) -> int:
+    """Hash of a word of any length."""
+    return xxhash.xxh64_intdigest(tag.encode() + b"\0" + value)
+
+
+def mixed(tag: int, *hashes):
+    """One hash of several in their order: of numbers, or place by place of arrays of unsigned longs."""
+    out = tag
+    for h in hashes:
+        out = ((out ^ h) * 0x9E3779B97F4A7C15) & FULL
+        out = out ^ (out >> 32)
+    return out
+
+
+def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -120,28 +141,38 @@ def parts(word: bytes) -> tuple[int, int]:
 
 def could_identify(value: bytes) -> bool:
     """Whether a string can be an identifier: it holds a digit, is a handle or begins with a capital."""
-    if len(value.translate(None, b"0123456789")) < len(value) or HANDLE.search(value):
+    if len(value.translate(None, DIGITS)) < len(value) or HANDLE.search(value):
         return True
     return value[:4].decode("utf-8", "ignore")[:1].isupper()
 
 
+#: Instances of groups and of names, as bits of ``facts``.
+GROUPS, NAMES = 1, 2
+
+
+def facts(word: bytes) -> tuple[int, int, int, int]:
+    """Where a word's instance lies, and whether its end may be followed, and its beginning preceded, by another group or name."""
+    a, b = parts(word)
+    own, following = word[a:], word[:b]
+    ends = begins = 0
+    if len(word.translate(None, DIGITS)) < len(word):
+        ends, begins = GROUPS * (GROUP.fullmatch(own) is not None), GROUPS * (GROUP.fullmatch(following) is not None)
+    if not word.islower():
+        ends, begins = ends + NAMES * (NAME.fullmatch(own) is not None), begins + NAMES * (NAME.fullmatch(following) is not None)
+    return a, b, ends, begins
+
+
 class Facts(dict):
-    """Per word: where its instance lies, and whether its end may be followed, and its beginning preceded, by another group or name."""
+    """``facts`` of the words that were asked for."""
 
     def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
-        if len(self) > 400_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
-        a, b = parts(word)
-        own, following = word[a:], word[:b]
-        ends = (GROUP.fullmatch(own) is not None) + 2 * (NAME.fullmatch(own) is not None)
-        begins = (GROUP.fullmatch(following) is not None) + 2 * (NAME.fullmatch(following) is not None)
-        self[word] = found = (a, b, ends, begins)
+        self[word] = found = facts(word)
         return found
 
 
 FACTS = Facts()
-#: Instances of one group and of one name, as bits of ``Facts``.
-GROUPS, NAMES = 1, 2
 
 
 class Text:
@@ -172,23 +203,25 @@ class Text:
         return not self.taken[i] and not self.taken[i + 1] and self.data[self.bounds[i][1] : self.bounds[i + 1][0]] == b" "
 
     def around(self, start: int, end: int) -> tuple[list[int], int]:
-        """The hashed patterns of a span, and the hash of the word before it by which they are looked for."""
+        """The hashed patterns of a span, and the hash of what stands right before it.
+
+        That is the word before and the punctuation in front of the span or, where the span's
+        word begins with more than punctuation, that beginning.
+        """
         i, j = self.word_at(start), self.word_at(end - 1)
         lead, rest = self.data[self.bounds[i][0] : start].lower(), self.data[end : self.bounds[j][1]]
-        if lead.strip(PUNCTUATION):
-            first, second, gate = self.word(i - 1).lower(), lead, hashed("lead", lead)
-        else:
-            first, before = self.word(i - 2).lower(), self.word(i - 1).lower()
-            second, gate = before + lead if before else b"", hashed("word", before)
-        if not second:
+        inside = bool(lead.strip(PUNCTUATION))
+        first, before = self.word(i - 1 - (not inside)).lower(), b"" if inside else self.word(i - 1).lower()
+        if not inside and not before:
             return [], 0
         after = rest or self.word(j + 1).lower()
-        found = [hashed("form", second, shape(self.data[start:end]).encode())]
+        place = mixed(PLACE, hashed("word", before) if before else 0, hashed("lead", lead))
+        found = [mixed(FORM, place, hashed("shape", shape(self.data[start:end]).encode()))]
         if first:
-            found.append(hashed("left", first, second))
+            found.append(mixed(LEFT, place, hashed("word", first)))
         if after:
-            found.append(hashed("both", second, after))
-        return found, gate
+            found.append(mixed(BOTH, place, hashed("word", after)))
+        return found, place
 
     def instance(self, i: int) -> tuple[int, int] | None:
         """The instance that begins with word i, if one does: digit groups from their first, names from here on."""
@@ -212,7 +245,7 @@ MENTION = "array<struct<start:long,stop:long,value:long,head:long,able:boolean,g
 
 def _mention(text: Text, start: int, end: int, gate: int, patterns: list[int]) -> dict:
     value = text.data[start:end]
-    return {"start": start, "stop": end, "value": hashed("value", value), "head": hashed("head", value.split(None, 1)[0]), "able": could_identify(value), "gate": gate, "patterns": patterns}
+    return {"start": start, "stop": end, "value": signed(hashed("value", value)), "head": signed(hashed("head", value.split(None, 1)[0])), "able": could_identify(value), "gate": signed(gate), "patterns": [*map(signed, patterns)]}
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -239,25 +272,94 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
 
 
-class Wanted(dict):
-    """Per lower-cased word: 1 if a wanted slot may follow it, 2 if one may be inside of it, plus 4 (by exact word) if an instance may begin with it."""
+class Vocabulary(dict):
+    """Numbers of words, and columns with what a slot at a word, or beside it, depends on.
 
-    def __init__(self, bits: bytearray):
+    low: the word in lower case; lead: what is in front of the instance.
+    """
+
+    #: Bits of ``flags``: an instance is there, more than punctuation in front of it, a wanted instance may begin
+    #: here; then, two bits each, ``facts``' ends and begins.
+    VALID, INSIDE, HEAD, ENDS, BEGINS = 1, 2, 4, 3, 5
+
+    def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.view = memoryview(bits)
+        self.no_lead = hashed("lead", b"")
+        self.forms: dict[bytes, tuple[int, int]] = {}
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.forms.clear()
+        self.low, self.lead, self.flags = array("Q"), array("Q"), array("B")
 
-    def has(self, key: int) -> bool:
-        return self.bits[key & (FILTER_BITS - 1)] == 1
+    def wanted(self, key: int) -> bool:
+        return self.view[key & (FILTER_BITS - 1)] == 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        low = word.lower()
-        a, b = parts(word)
-        flags = int(self.has(hashed("word", low))) + 4 * int(a < b and self.has(hashed("head", word[a:b])))
-        if a and low[:a].strip(PUNCTUATION):
-            flags += 2 * int(self.has(hashed("lead", low[:a])))
-        self[word] = flags
-        return flags
+        n = self[word] = len(self.flags)
+        self.low.append(hashed("word", word.lower()))
+        if word.isalpha() and word.islower():
+            self.lead.append(self.no_lead)
+            self.flags.append(self.VALID + self.HEAD * self.wanted(hashed("head", word)))
+            return n
+        a, b, ends, begins = facts(word)
+        lead = word[:a].lower()
+        self.lead.append(hashed("lead", lead) if a else self.no_lead)
+        head = self.wanted(hashed("head", word[a:b])) or (ends > 0 and self.wanted(hashed("head", word[a:])))
+        self.flags.append((a < b) * self.VALID + (a > 0 and bool(lead.strip(PUNCTUATION))) * self.INSIDE + head * self.HEAD + (ends << self.ENDS) + (begins << self.BEGINS))
+        return n
+
+    def form(self, word: bytes) -> tuple[int, int]:
+        """The shape of a word's instance, and what is behind it."""
+        found = self.forms.get(word)
+        if found is None:
+            a, b = parts(word)
+            self.forms[word] = found = (hashed("shape", shape(word[a:b]).encode()), hashed("word", word[b:]) if b < len(word) else 0)
+        return found
+
+
+def moved(values: np.ndarray, by: int) -> np.ndarray:
+    """``values`` of the place ``by`` places on; zero beyond the ends."""
+    out = np.zeros_like(values)
+    if abs(by) < len(values):
+        if by > 0:
+            out[:-by] = values[by:]
+        else:
+            out[-by:] = values[:by]
+    return out
+
+
+def likely_slots(words: list[bytes], known: Vocabulary) -> list[int]:
+    """Words at which an instance may begin whose value, or one of whose patterns, is among the wanted bits: none is left out.
+
+    All places of a text are looked up at once, then the patterns of the wanted places.
+    Where further words may belong to the instance, the place decides.
+    """
+    codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    if not len(codes):
+        return []
+
+    def column(values: array, at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(values, values.typecode)[at]
+
+    def has(keys: np.ndarray) -> np.ndarray:
+        return known.bits[(keys & (FILTER_BITS - 1)).astype(np.int64)] > 0
+
+    low, lead, flags = column(known.low, codes), column(known.lead, codes), column(known.flags, codes)
+    inside, valid, previous = (flags & known.INSIDE) > 0, (flags & known.VALID) > 0, moved(low, -1)
+    before = np.where(inside, np.uint64(0), previous)
+    place = mixed(PLACE, before, lead)
+    at = np.flatnonzero(has(place) & valid & (inside | (before > 0)))
+    hit = valid & ((flags & known.HEAD) > 0)
+    if len(at):
+        forms, rest = np.array([known.form(words[i]) for i in at.tolist()], np.uint64).T
+        first = np.where(inside, previous, moved(low, -2))[at]
+        after = np.where(rest > 0, rest, moved(low, 1)[at])
+        longer = (flags >> known.ENDS) & moved(flags >> known.BEGINS, 1) & 3
+        hit[at] |= (longer[at] > 0) | has(mixed(FORM, place[at], forms)) | has(mixed(LEFT, place[at], first)) | has(mixed(BOTH, place[at], after))
+    return np.flatnonzero(hit).tolist()
 
 
 def bitmap(keys: DataFrame) -> list[tuple[int, bytes]]:
@@ -275,25 +377,27 @@ def scan_for(docs: DataFrame, keys: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def make(batches):
-        bits = bytearray(FILTER_BITS)
+        bits = np.zeros(FILTER_BITS, np.uint8)
         for part, data in held.value:
-            bits[part * 32_768 : (part + 1) * 32_768] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").tobytes()
-        wanted = Wanted(bits)
+            bits[part * 32_768 : (part + 1) * 32_768] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+        vocabulary = Vocabulary(bits)
+
         for b in batches:
             out = {"row_no": [], "mentions": []}
             for row_no, data in zip(b["row_no"], b["text"]):
-                flags = [*map(wanted.__getitem__, (data or b"").split())]
-                if not any(flags):
+                if len(vocabulary) > KNOWN_WORDS:
+                    vocabulary.empty()
+                slots = likely_slots((data or b"").split(), vocabulary)
+                if not slots:
                     continue
-                slots = {i + 1 for i, f in enumerate(flags) if f & 1} | {i for i, f in enumerate(flags) if f & 6}
                 text, found = Text(data, byte_spans(data)), []
-                for i in sorted(slots):
+                for i in slots:
                     span = text.instance(i)
                     if span is None:
                         continue
                     patterns, gate = text.around(*span)
-                    if not wanted.has(hashed("value", data[slice(*span)])):
-                        patterns = [p for p in patterns if wanted.has(p)]
+                    if not vocabulary.wanted(hashed("value", data[slice(*span)])):
+                        patterns = [p for p in patterns if vocabulary.wanted(p)]
                     if patterns:
                         found.append(_mention(text, *span, gate, patterns))
                 spots = sorted({x for m in found for x in (m["start"], m["stop"])})
