@@ -21,6 +21,7 @@ import bisect
 import functools
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -40,6 +41,7 @@ IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = b"0123456789"
+SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Digit groups that may be parts of one identifier, and words that may be parts of one name.
@@ -111,7 +113,7 @@ def shape(value: bytes) -> str:
 
 FULL = (1 << 64) - 1
 #: What a mixed hash stands for.
-FORM, LEFT, BOTH, PLACE = 1, 2, 3, 4
+FORM, LEFT, BOTH, PLACE, HEAD = 1, 2, 3, 4, 5
 
 
 def hashed(tag: str, value: bytes) -> int:
@@ -132,6 +134,31 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+#: Coarse hashes of words come from numbers of their bytes and of the bytes' places; bytes beyond the last place do not count.
+PLACES = 64
+_numbers = np.random.default_rng(7).integers(1, 1 << 63, 256 + PLACES, np.uint64)
+BYTE_NUMBER, PLACE_NUMBER = _numbers[:256] | np.uint64(1), np.append(_numbers[256:] | np.uint64(1), np.uint64(0))
+#: What a byte is: white space, a letter or digit, and in shapes.
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+IS_PUNCTUATION = np.isin(np.arange(256), list(PUNCTUATION))
+FORM_OF = np.array([97 if chr(c).isalpha() and c < 128 else 57 if 48 <= c < 58 else c for c in range(256)], np.uint64)
+#: Bytes of a text whose words are hashed at once, and of short texts that are looked at together.
+PIECE, TOGETHER = 1 << 20, 1 << 18
+
+
+@functools.lru_cache(maxsize=100_000)
+def coarse(word: bytes) -> int:
+    """The coarse hash of one word without regard to A-Z and a-z, equal to that of ``coarse_words``."""
+    own = np.frombuffer(word.lower()[:PLACES], np.uint8)
+    return int((BYTE_NUMBER[own] * PLACE_NUMBER[: len(own)]).sum(dtype=np.uint64)) if len(own) else 0
+
+
+def coarse_form(value: bytes) -> int:
+    """The first three bytes of a value as in its shape."""
+    own = FORM_OF[np.frombuffer(value[:3], np.uint8)].tolist()
+    return sum(c << (8 * k) for k, c in enumerate(own))
+
+
 def parts(word: bytes) -> tuple[int, int]:
     """Where the possible instance in a word begins and ends: behind the last ``:`` or ``=``, without outer punctuation."""
     end = len(word.rstrip(PUNCTUATION))
@@ -178,11 +205,12 @@ FACTS = Facts()
 class Text:
     """The words of a text, and the mentions that begin at them."""
 
-    def __init__(self, data: bytes, base: list[tuple[int, int, int]]):
+    def __init__(self, data: bytes, base: list[tuple[int, int, int]], bounds: list[tuple[int, int]] | None = None):
         self.data = data
-        self.bounds = [m.span() for m in WORD.finditer(data)]
+        self.bounds = [m.span() for m in WORD.finditer(data)] if bounds is None else bounds
         self.starts = [a for a, _ in self.bounds]
         self.taken = bytearray(len(self.bounds))
+        self.runs: dict[tuple[int, int], int] = {}
         for start, end, _ in base:
             for i in range(self.word_at(start), self.word_at(end - 1) + 1):
                 self.taken[i] = 1
@@ -202,8 +230,17 @@ class Text:
             return False
         return not self.taken[i] and not self.taken[i + 1] and self.data[self.bounds[i][1] : self.bounds[i + 1][0]] == b" "
 
-    def around(self, start: int, end: int) -> tuple[list[int], int]:
-        """The hashed patterns of a span, and the hash of what stands right before it.
+    def last(self, i: int, kind: int) -> int:
+        """The last word of the run that word i belongs to; a run is followed once."""
+        j = i
+        while (found := self.runs.get((j, kind))) is None and self.joined(j, kind):
+            j += 1
+        end = j if found is None else found
+        self.runs.update(((k, kind), end) for k in range(i, j + 1))
+        return end
+
+    def around(self, start: int, end: int) -> tuple[list[tuple[int, int]], int]:
+        """The hashed patterns of a span, each with a coarse hash, and the coarse hash of the word before.
 
         That is the word before and the punctuation in front of the span or, where the span's
         word begins with more than punctuation, that beginning.
@@ -216,12 +253,13 @@ class Text:
             return [], 0
         after = rest or self.word(j + 1).lower()
         place = mixed(PLACE, hashed("word", before) if before else 0, hashed("lead", lead))
-        found = [mixed(FORM, place, hashed("shape", shape(self.data[start:end]).encode()))]
+        near, value = coarse(before), self.data[start:end]
+        found = [(mixed(FORM, place, hashed("shape", shape(value).encode())), mixed(FORM, near, coarse_form(value)))]
         if first:
-            found.append(mixed(LEFT, place, hashed("word", first)))
+            found.append((mixed(LEFT, place, hashed("word", first)), mixed(LEFT, near, coarse(first))))
         if after:
-            found.append(mixed(BOTH, place, hashed("word", after)))
-        return found, place
+            found.append((mixed(BOTH, place, hashed("word", after)), mixed(BOTH, near, coarse(after))))
+        return found, mixed(PLACE, near)
 
     def instance(self, i: int) -> tuple[int, int] | None:
         """The instance that begins with word i, if one does: digit groups from their first, names from here on."""
@@ -232,20 +270,19 @@ class Text:
             return None
         start, end = self.bounds[i][0] + a, self.bounds[i][0] + b
         for kind in (GROUPS, NAMES) if ends else ():
-            j = i
-            while self.joined(j, kind):
-                j += 1
+            j = self.last(i, kind)
             if j > i:
                 return start, self.bounds[j][0] + FACTS[self.word(j)][1]
         return start, end
 
 
-MENTION = "array<struct<start:long,stop:long,value:long,head:long,able:boolean,gate:long,patterns:array<long>>>"
+MENTION = "array<struct<start:long,stop:long,value:long,head:long,near:long,able:boolean,gate:long,patterns:array<struct<pattern:long,coarse:long>>>>"
 
 
-def _mention(text: Text, start: int, end: int, gate: int, patterns: list[int]) -> dict:
+def _mention(text: Text, start: int, end: int, gate: int, patterns: list[tuple[int, int]]) -> dict:
     value = text.data[start:end]
-    return {"start": start, "stop": end, "value": signed(hashed("value", value)), "head": signed(hashed("head", value.split(None, 1)[0])), "able": could_identify(value), "gate": signed(gate), "patterns": [*map(signed, patterns)]}
+    head = value.split(None, 1)[0]
+    return {"start": start, "stop": end, "value": signed(hashed("value", value)), "head": signed(hashed("head", head)), "near": signed(mixed(HEAD, coarse(head))), "able": could_identify(value), "gate": signed(gate), "patterns": [{"pattern": signed(p), "coarse": signed(c)} for p, c in patterns]}
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -282,9 +319,8 @@ class Vocabulary(dict):
     #: here; then, two bits each, ``facts``' ends and begins.
     VALID, INSIDE, HEAD, ENDS, BEGINS = 1, 2, 4, 3, 5
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.view = memoryview(bits)
+    def __init__(self, packed: np.ndarray, values: bool):
+        self.packed, self.view, self.values = packed, memoryview(packed), values
         self.no_lead = hashed("lead", b"")
         self.forms: dict[bytes, tuple[int, int]] = {}
         self.empty()
@@ -294,12 +330,17 @@ class Vocabulary(dict):
         self.forms.clear()
         self.low, self.lead, self.flags = array("Q"), array("Q"), array("B")
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        spots = (keys & (FILTER_BITS - 1)).astype(np.int64)
+        return (self.packed[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 > 0
+
     def wanted(self, key: int) -> bool:
-        return self.view[key & (FILTER_BITS - 1)] == 1
+        spot = key & (FILTER_BITS - 1)
+        return self.view[spot >> 3] >> (spot & 7) & 1 == 1
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.flags)
-        self.low.append(hashed("word", word.lower()))
+        self.low.append(hashed("word", word.lower()) if word else 0)
         if word.isalpha() and word.islower():
             self.lead.append(self.no_lead)
             self.flags.append(self.VALID + self.HEAD * self.wanted(hashed("head", word)))
@@ -320,6 +361,31 @@ class Vocabulary(dict):
         return found
 
 
+def coarse_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, and their coarse hashes."""
+    all_bounds, start = [], 0
+    while start < len(data):
+        stop = min(start + PIECE, len(data))
+        if stop < len(data):
+            # A piece ends with white space, so that no word is cut.
+            blank = SPACES.search(data, stop)
+            stop = blank.end() if blank else len(data)
+        piece = np.frombuffer(data[start:stop].lower(), np.uint8)
+        word = ~IS_SPACE[piece]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            long = np.minimum(ends - starts, PLACES)
+            at = np.cumsum(long) - long
+            place = np.arange(int(long.sum())) - np.repeat(at, long)
+            hashes = np.add.reduceat(BYTE_NUMBER[piece[np.repeat(starts, long) + place]] * PLACE_NUMBER[place], at)
+            all_bounds.append((starts + start, ends + start, hashes))
+        start = stop
+    if not all_bounds:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*all_bounds))
+
+
 def moved(values: np.ndarray, by: int) -> np.ndarray:
     """``values`` of the place ``by`` places on; zero beyond the ends."""
     out = np.zeros_like(values)
@@ -331,35 +397,103 @@ def moved(values: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def likely_slots(words: list[bytes], known: Vocabulary) -> list[int]:
-    """Words at which an instance may begin whose value, or one of whose patterns, is among the wanted bits: none is left out.
+def possible_words(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words begin and end, and those at which a wanted instance may begin by the coarse hashes of all words.
 
-    All places of a text are looked up at once, then the patterns of the wanted places.
-    Where further words may belong to the instance, the place decides.
+    Words with punctuation at an end pass by the word before, those with ``:`` or ``=`` always; so
+    do words that may belong together, by the word before.
     """
-    codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    if not len(codes):
-        return []
+    starts, ends, near = coarse_words(data)
+    if not len(starts):
+        return starts, ends, starts
+    own = np.frombuffer(data, np.uint8)
+    head, tail = own[starts], own[ends - 1]
+    odd = IS_PUNCTUATION[head] | IS_PUNCTUATION[tail]
+    inner = np.zeros(len(starts), bool)
+    for mark in (b":", b"="):
+        if mark in data:
+            inner[np.searchsorted(starts, np.flatnonzero(own == mark[0]), "right") - 1] = True
+    before = moved(near, -1)
+    gate = known.has(mixed(PLACE, before))
+    gate[0] = False
+    hit = inner | known.has(mixed(HEAD, near)) | odd if known.values else inner
+    at = np.flatnonzero(gate & ~hit)
+    if len(at):
+        nexts = np.minimum(at + 1, len(starts) - 1)
+        capital = (head >= 65) & (head <= 90)
+        # Groups that belong together hold digits; a word is then taken for one if it begins or ends with a digit or a letter.
+        grouped = _has_digit(own, starts, ends, at) & _has_digit(own, starts, ends, nexts)
+        form = FORM_OF[head[at]]
+        for k in (1, 2):
+            there = starts[at] + k < ends[at]
+            form = form | np.where(there, FORM_OF[own[np.minimum(starts[at] + k, len(own) - 1)]] << np.uint64(8 * k), np.uint64(0))
+        close = before[at]
+        hit[at] = (
+            odd[at] | (capital[at] & (capital[nexts] | IS_PUNCTUATION[head[nexts]])) | grouped
+            | known.has(mixed(FORM, close, form)) | known.has(mixed(LEFT, close, moved(near, -2)[at])) | known.has(mixed(BOTH, close, moved(near, 1)[at]))
+        )
+    return starts, ends, np.flatnonzero(hit)
+
+
+def _has_digit(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the words ``at`` hold a digit."""
+    digits = np.flatnonzero((own >= 48) & (own < 58))
+    return np.searchsorted(digits, starts[at]) < np.searchsorted(digits, ends[at])
+
+
+def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words begin and end, and those at which an instance may begin whose value, or one of whose patterns, is wanted.
+
+    No wanted one is left out, also if ``data`` is several texts with white space between them. Possible words are looked up in arrays, first by their place, then
+    by their patterns. Where further words may belong to the instance, the place decides.
+    """
+    starts, ends, possible = possible_words(data, known)
+    if not len(possible):
+        return starts, ends, possible
+
+    def words(by: int) -> list[bytes]:
+        there = possible + by
+        inside = (there >= 0) & (there < len(starts))
+        there = np.where(inside, there, 0)
+        return [data[a:b] if ok else b"" for a, b, ok in zip(starts[there].tolist(), ends[there].tolist(), inside.tolist())]
 
     def column(values: array, at: np.ndarray) -> np.ndarray:
         return np.frombuffer(values, values.typecode)[at]
 
-    def has(keys: np.ndarray) -> np.ndarray:
-        return known.bits[(keys & (FILTER_BITS - 1)).astype(np.int64)] > 0
-
-    low, lead, flags = column(known.low, codes), column(known.lead, codes), column(known.flags, codes)
-    inside, valid, previous = (flags & known.INSIDE) > 0, (flags & known.VALID) > 0, moved(low, -1)
+    own = words(0)
+    codes, second, first_, next_ = (np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (own, words(-1), words(-2), words(1)))
+    lead, flags, previous = column(known.lead, codes), column(known.flags, codes), column(known.low, second)
+    inside, valid = (flags & known.INSIDE) > 0, (flags & known.VALID) > 0
     before = np.where(inside, np.uint64(0), previous)
     place = mixed(PLACE, before, lead)
-    at = np.flatnonzero(has(place) & valid & (inside | (before > 0)))
     hit = valid & ((flags & known.HEAD) > 0)
+    at = np.flatnonzero(valid & ~hit & (inside | (before > 0)))
     if len(at):
-        forms, rest = np.array([known.form(words[i]) for i in at.tolist()], np.uint64).T
-        first = np.where(inside, previous, moved(low, -2))[at]
-        after = np.where(rest > 0, rest, moved(low, 1)[at])
-        longer = (flags >> known.ENDS) & moved(flags >> known.BEGINS, 1) & 3
-        hit[at] |= (longer[at] > 0) | has(mixed(FORM, place[at], forms)) | has(mixed(LEFT, place[at], first)) | has(mixed(BOTH, place[at], after))
-    return np.flatnonzero(hit).tolist()
+        forms, rest = np.array([known.form(own[i]) for i in at.tolist()], np.uint64).T
+        first = np.where(inside, previous, column(known.low, first_))[at]
+        after = np.where(rest > 0, rest, column(known.low, next_)[at])
+        longer = (flags[at] >> known.ENDS) & (column(known.flags, next_)[at] >> known.BEGINS) & 3
+        hit[at] |= (longer > 0) | known.has(mixed(FORM, place[at], forms)) | known.has(mixed(LEFT, place[at], first)) | known.has(mixed(BOTH, place[at], after))
+    return starts, ends, possible[hit]
+
+
+def texts_with_slots(texts: list[bytes], known: Vocabulary) -> Iterator[tuple[int, list[int], list[tuple[int, int]]]]:
+    """Number, likely slots and word bounds of the texts that have slots; short texts are looked at together."""
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) < TOGETHER:
+            size += len(texts[last]) + 1
+            last += 1
+        starts, ends, slots = likely_slots(b"\n".join(texts[first:last]), known)
+        if len(slots):
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts[first:last])])
+            words, own = np.searchsorted(starts, begins), np.searchsorted(slots, np.searchsorted(starts, begins))
+            for k in range(last - first):
+                if own[k] < own[k + 1]:
+                    a, b = words[k], words[k + 1]
+                    yield first + k, (slots[own[k] : own[k + 1]] - a).tolist(), [*zip((starts[a:b] - begins[k]).tolist(), (ends[a:b] - begins[k]).tolist())]
+        first = last
 
 
 def bitmap(keys: DataFrame) -> list[tuple[int, bytes]]:
@@ -369,35 +503,34 @@ def bitmap(keys: DataFrame) -> list[tuple[int, bytes]]:
     return [(r["part"] - 1, bytes(r["bits"])) for r in parts_.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()]
 
 
-def scan_for(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(row_no, start, stop, value, head, able, gate, pattern) of instances whose value or pattern may be among ``keys``.
+def scan_for(docs: DataFrame, keys: DataFrame, values: bool) -> DataFrame:
+    """(row_no, start, stop, value, head, near, able, gate, pattern, coarse) of instances whose value or pattern may be among ``keys``.
 
     An instance found by its value comes with all its patterns. Base spans are not repeated.
     """
     held = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def make(batches):
-        bits = np.zeros(FILTER_BITS, np.uint8)
+        packed = np.zeros(FILTER_BITS // 8, np.uint8)
         for part, data in held.value:
-            bits[part * 32_768 : (part + 1) * 32_768] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-        vocabulary = Vocabulary(bits)
+            packed[part * 4096 : (part + 1) * 4096] = np.frombuffer(data, np.uint8)
+        vocabulary = Vocabulary(packed, values)
 
         for b in batches:
             out = {"row_no": [], "mentions": []}
-            for row_no, data in zip(b["row_no"], b["text"]):
-                if len(vocabulary) > KNOWN_WORDS:
-                    vocabulary.empty()
-                slots = likely_slots((data or b"").split(), vocabulary)
-                if not slots:
-                    continue
-                text, found = Text(data, byte_spans(data)), []
+            if len(vocabulary) > KNOWN_WORDS:
+                vocabulary.empty()
+            texts = [t or b"" for t in b["text"]]
+            for k, slots, bounds in texts_with_slots(texts, vocabulary):
+                row_no, data = b["row_no"][k], texts[k]
+                text, found = Text(data, byte_spans(data), bounds), []
                 for i in slots:
                     span = text.instance(i)
                     if span is None:
                         continue
                     patterns, gate = text.around(*span)
                     if not vocabulary.wanted(hashed("value", data[slice(*span)])):
-                        patterns = [p for p in patterns if vocabulary.wanted(p)]
+                        patterns = [p for p in patterns if vocabulary.wanted(p[0])]
                     if patterns:
                         found.append(_mention(text, *span, gate, patterns))
                 spots = sorted({x for m in found for x in (m["start"], m["stop"])})
@@ -412,7 +545,7 @@ def scan_for(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _laid_out(found: DataFrame) -> DataFrame:
     each = found.select("row_no", F.explode("mentions").alias("m"))
-    return each.select("row_no", "m.start", "m.stop", "m.value", "m.head", "m.able", "m.gate", F.explode("m.patterns").alias("pattern"))
+    return each.select("row_no", "m.start", "m.stop", "m.value", "m.head", "m.near", "m.able", "m.gate", F.explode("m.patterns").alias("p")).select("*", "p.pattern", "p.coarse").drop("p")
 
 
 def _salted(df: DataFrame, by: str) -> DataFrame:
@@ -455,29 +588,29 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     it. Other columns are not read; an empty table gives no rows.
     """
     found = settle(scan(docs))
-    seeds = _laid_out(found).select("pattern", "value", "head", "gate", "able", F.lit(True).alias("seed")).distinct()
+    seeds = _laid_out(found).select("pattern", "value", "head", "near", "gate", "coarse", "able", F.lit(True).alias("seed")).distinct()
     known = edges = settle(seeds)
     places, patterns, looked_for = None, None, None
     while True:
-        counted = known.groupBy("pattern", "gate").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SUPPORT)
-        new = settle(counted.select("pattern", "gate") if patterns is None else counted.select("pattern", "gate").join(patterns, "pattern", "left_anti"))
+        counted = known.groupBy("pattern", "gate", "coarse").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SUPPORT)
+        new = settle(counted.select("pattern", "gate", "coarse") if patterns is None else counted.select("pattern", "gate", "coarse").join(patterns, "pattern", "left_anti"))
         if new.isEmpty():
             break
         patterns = new.select("pattern") if patterns is None else patterns.unionByName(new.select("pattern"))
-        keys = new.select(F.col("pattern").alias("key")).unionByName(new.select(F.col("gate").alias("key")))
-        own = _salted(scan_for(docs, keys), "value").join(_copied(new.select("pattern")), ["pattern", "salt"], "left_semi").drop("salt")
+        keys = new.select(F.explode(F.array("pattern", "gate", "coarse")).alias("key"))
+        own = _salted(scan_for(docs, keys, False), "value").join(_copied(new.select("pattern")), ["pattern", "salt"], "left_semi").drop("salt")
         places = settle(own if places is None else places.unionByName(own))
-        instances = places.select("pattern", "value", "head", "gate", "able", F.lit(False).alias("seed"))
+        instances = places.select("pattern", "value", "head", "near", "gate", "coarse", "able", F.lit(False).alias("seed"))
         edges = seeds.unionByName(instances).groupBy("pattern", "value").agg(F.max("able").alias("able"), F.max("seed").alias("seed"))
         scores, reached = score_graph(_salted(edges, "value").join(_copied(patterns), ["pattern", "salt"], "left_semi").drop("salt"))
-        fresh = instances.where("able").select("value", "head").distinct().join(reached, "value", "left_semi")
+        fresh = instances.where("able").select("value", "head", "near").distinct().join(reached, "value", "left_semi")
         fresh = settle(fresh if looked_for is None else fresh.join(looked_for, "value", "left_anti"))
         if fresh.isEmpty():
             break
         looked_for = fresh.select("value") if looked_for is None else looked_for.unionByName(fresh.select("value"))
-        keys = fresh.select(F.col("value").alias("key")).unionByName(fresh.select(F.col("head").alias("key")))
-        seen = _salted(scan_for(docs, keys), "pattern").join(_copied(fresh.select("value")), ["value", "salt"], "left_semi")
-        known = settle(known.unionByName(seen.select("pattern", "value", "head", "gate", "able", F.lit(False).alias("seed"))).distinct())
+        keys = fresh.select(F.explode(F.array("value", "head", "near")).alias("key"))
+        seen = _salted(scan_for(docs, keys, True), "pattern").join(_copied(fresh.select("value")), ["value", "salt"], "left_semi")
+        known = settle(known.unionByName(seen.select("pattern", "value", "head", "near", "gate", "coarse", "able", F.lit(False).alias("seed"))).distinct())
     spans = "array<struct<start:long,stop:long,kind:int>>"
     if places is None:
         return found.select("doc_id", "row_no", "base", F.col("base").alias("spans"))
