@@ -309,6 +309,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
 
 
+#: What stands between texts that are looked at together; no context reaches beyond it.
+BETWEEN = b"\0\0between\0\0texts\0\0"
+
+
 class Vocabulary(dict):
     """Numbers of words, and columns with what a slot at a word, or beside it, depends on.
 
@@ -316,13 +320,14 @@ class Vocabulary(dict):
     """
 
     #: Bits of ``flags``: an instance is there, more than punctuation in front of it, a wanted instance may begin
-    #: here; then, two bits each, ``facts``' ends and begins.
-    VALID, INSIDE, HEAD, ENDS, BEGINS = 1, 2, 4, 3, 5
+    #: here; then, two bits each, ``facts``' ends and begins; a plain word, never an identifier nor part of a base span.
+    VALID, INSIDE, HEAD, ENDS, BEGINS, PLAIN = 1, 2, 4, 3, 5, 128
 
     def __init__(self, packed: np.ndarray, values: bool):
         self.packed, self.view, self.values = packed, memoryview(packed), values
         self.no_lead = hashed("lead", b"")
-        self.forms: dict[bytes, tuple[int, int]] = {}
+        self.pairs: list[np.ndarray] = []
+        self.forms: dict[bytes, tuple[int, int, int]] = {}
         self.empty()
 
     def empty(self) -> None:
@@ -340,24 +345,30 @@ class Vocabulary(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.flags)
-        self.low.append(hashed("word", word.lower()) if word else 0)
+        if not word or word == BETWEEN:
+            self.low.append(0)
+            self.lead.append(self.no_lead)
+            self.flags.append(0)
+            return n
+        self.low.append(hashed("word", word.lower()))
         if word.isalpha() and word.islower():
             self.lead.append(self.no_lead)
-            self.flags.append(self.VALID + self.HEAD * self.wanted(hashed("head", word)))
+            self.flags.append(self.VALID + self.PLAIN + self.HEAD * self.wanted(hashed("head", word)))
             return n
         a, b, ends, begins = facts(word)
         lead = word[:a].lower()
         self.lead.append(hashed("lead", lead) if a else self.no_lead)
         head = self.wanted(hashed("head", word[a:b])) or (ends > 0 and self.wanted(hashed("head", word[a:])))
-        self.flags.append((a < b) * self.VALID + (a > 0 and bool(lead.strip(PUNCTUATION))) * self.INSIDE + head * self.HEAD + (ends << self.ENDS) + (begins << self.BEGINS))
+        plain = a < b and b"@" not in word and len(word.translate(None, DIGITS)) == len(word) and not could_identify(word[a:b])
+        self.flags.append(plain * self.PLAIN + (a < b) * self.VALID + (a > 0 and bool(lead.strip(PUNCTUATION))) * self.INSIDE + head * self.HEAD + (ends << self.ENDS) + (begins << self.BEGINS))
         return n
 
-    def form(self, word: bytes) -> tuple[int, int]:
-        """The shape of a word's instance, and what is behind it."""
+    def form(self, word: bytes) -> tuple[int, int, int]:
+        """The shape of a word's instance, what is behind it, and the instance as a value."""
         found = self.forms.get(word)
         if found is None:
             a, b = parts(word)
-            self.forms[word] = found = (hashed("shape", shape(word[a:b]).encode()), hashed("word", word[b:]) if b < len(word) else 0)
+            self.forms[word] = found = (hashed("shape", shape(word[a:b]).encode()), hashed("word", word[b:]) if b < len(word) else 0, hashed("value", word[a:b]))
         return found
 
 
@@ -441,15 +452,19 @@ def _has_digit(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.nda
     return np.searchsorted(digits, starts[at]) < np.searchsorted(digits, ends[at])
 
 
-def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words begin and end, and those at which an instance may begin whose value, or one of whose patterns, is wanted.
+NO_PAIRS = np.empty((0, 2), np.uint64)
 
-    No wanted one is left out, also if ``data`` is several texts with white space between them. Possible words are looked up in arrays, first by their place, then
+
+def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words begin and end, those at which an instance may begin whose value, or one of whose patterns, is wanted, and pairs of plain words.
+
+    No wanted one is left out, also if ``data`` is several texts with BETWEEN between them. A plain
+    word in a slot only speaks against its pattern: distinct (pattern, value) say all about it. Possible words are looked up in arrays, first by their place, then
     by their patterns. Where further words may belong to the instance, the place decides.
     """
     starts, ends, possible = possible_words(data, known)
     if not len(possible):
-        return starts, ends, possible
+        return starts, ends, possible, NO_PAIRS
 
     def words(by: int) -> list[bytes]:
         there = possible + by
@@ -466,32 +481,42 @@ def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray
     inside, valid = (flags & known.INSIDE) > 0, (flags & known.VALID) > 0
     before = np.where(inside, np.uint64(0), previous)
     place = mixed(PLACE, before, lead)
-    hit = valid & ((flags & known.HEAD) > 0)
+    hit, pairs = valid & ((flags & known.HEAD) > 0) & ((flags & known.PLAIN) == 0), NO_PAIRS
     at = np.flatnonzero(valid & ~hit & (inside | (before > 0)))
     if len(at):
-        forms, rest = np.array([known.form(own[i]) for i in at.tolist()], np.uint64).T
+        forms, rest, values = np.array([known.form(own[i]) for i in at.tolist()], np.uint64).T
         first = np.where(inside, previous, column(known.low, first_))[at]
         after = np.where(rest > 0, rest, column(known.low, next_)[at])
         longer = (flags[at] >> known.ENDS) & (column(known.flags, next_)[at] >> known.BEGINS) & 3
-        hit[at] |= (longer > 0) | known.has(mixed(FORM, place[at], forms)) | known.has(mixed(LEFT, place[at], first)) | known.has(mixed(BOTH, place[at], after))
-    return starts, ends, possible[hit]
+        patterns = [mixed(FORM, place[at], forms), mixed(LEFT, place[at], first), mixed(BOTH, place[at], after)]
+        there = [known.has(patterns[0]), known.has(patterns[1]) & (first > 0), known.has(patterns[2]) & (after > 0)]
+        plain = (flags[at] & known.PLAIN) > 0
+        hit[at] |= ~plain & ((longer > 0) | there[0] | there[1] | there[2])
+        if not known.values:
+            pairs = np.concatenate([np.stack([p[t & plain], values[t & plain]], 1) for p, t in zip(patterns, there)])
+    return starts, ends, possible[hit], pairs
 
 
 def texts_with_slots(texts: list[bytes], known: Vocabulary) -> Iterator[tuple[int, list[int], list[tuple[int, int]]]]:
-    """Number, likely slots and word bounds of the texts that have slots; short texts are looked at together."""
+    """Number, likely slots and word bounds of the texts that have slots; short texts are looked at together.
+
+    Pairs of plain words are kept in ``known.pairs``.
+    """
     first = 0
     while first < len(texts):
         last, size = first + 1, len(texts[first])
         while last < len(texts) and size + len(texts[last]) < TOGETHER:
             size += len(texts[last]) + 1
             last += 1
-        starts, ends, slots = likely_slots(b"\n".join(texts[first:last]), known)
+        between = b"\n" + BETWEEN + b"\n"
+        starts, ends, slots, pairs = likely_slots(between.join(texts[first:last]), known)
+        known.pairs.append(pairs)
         if len(slots):
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts[first:last])])
+            begins = np.cumsum([0, *(len(t) + len(between) for t in texts[first:last])])
             words, own = np.searchsorted(starts, begins), np.searchsorted(slots, np.searchsorted(starts, begins))
             for k in range(last - first):
                 if own[k] < own[k + 1]:
-                    a, b = words[k], words[k + 1]
+                    a, b = words[k], words[k + 1] - (k + 1 < last - first)
                     yield first + k, (slots[own[k] : own[k + 1]] - a).tolist(), [*zip((starts[a:b] - begins[k]).tolist(), (ends[a:b] - begins[k]).tolist())]
         first = last
 
@@ -507,6 +532,7 @@ def scan_for(docs: DataFrame, keys: DataFrame, values: bool) -> DataFrame:
     """(row_no, start, stop, value, head, near, able, gate, pattern, coarse) of instances whose value or pattern may be among ``keys``.
 
     An instance found by its value comes with all its patterns. Base spans are not repeated.
+    Plain words in slots come as distinct (pattern, value) of a batch, without a place.
     """
     held = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
@@ -517,7 +543,7 @@ def scan_for(docs: DataFrame, keys: DataFrame, values: bool) -> DataFrame:
         vocabulary = Vocabulary(packed, values)
 
         for b in batches:
-            out = {"row_no": [], "mentions": []}
+            out = {c: [] for c in ("row_no", "mentions", "pattern", "value")}
             if len(vocabulary) > KNOWN_WORDS:
                 vocabulary.empty()
             texts = [t or b"" for t in b["text"]]
@@ -537,10 +563,19 @@ def scan_for(docs: DataFrame, keys: DataFrame, values: bool) -> DataFrame:
                 at = dict(zip(spots, point_offsets(data, spots)))
                 out["row_no"].append(row_no)
                 out["mentions"].append([m | {"start": at[m["start"]], "stop": at[m["stop"]]} for m in found])
+            pairs = np.unique(np.concatenate([*vocabulary.pairs, NO_PAIRS]), axis=0).view(np.int64).tolist()
+            vocabulary.pairs.clear()
+            out["row_no"] += [None] * len(pairs)
+            out["mentions"] += [None] * len(pairs)
+            out["pattern"] = [None] * (len(out["row_no"]) - len(pairs)) + [p for p, _ in pairs]
+            out["value"] = [None] * (len(out["row_no"]) - len(pairs)) + [v for _, v in pairs]
             yield out
 
-    found = map_rows(_numbered(docs), make, f"row_no long, mentions {MENTION}")
-    return _laid_out(found)
+    found = map_rows(_numbered(docs), make, f"row_no long, mentions {MENTION}, pattern long, value long")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    own = F.array(F.struct(F.col("pattern"), zero.alias("coarse")))
+    plain = F.struct(none.alias("start"), none.alias("stop"), F.col("value"), zero.alias("head"), zero.alias("near"), F.lit(False).alias("able"), zero.alias("gate"), own.alias("patterns"))
+    return _laid_out(found.withColumn("mentions", F.when(F.col("pattern").isNotNull(), F.array(plain)).otherwise(F.col("mentions"))))
 
 
 def _laid_out(found: DataFrame) -> DataFrame:
