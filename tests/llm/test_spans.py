@@ -5,6 +5,7 @@ import random
 import re
 from math import log2
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,3 +176,27 @@ def test_long_runs_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1 " * 60_000, "x1" * 100_000):
         pii.byte_spans(text.encode())
         secrets.byte_spans(text.encode())
+
+
+def test_first_look_misses_no_wanted_slot(texts):
+    """All words taken as slots against the array form: places of wanted patterns, and pairs of plain words."""
+    own = [(t or "").encode() for t in texts.values()][:60] + [b"", b"one", "ünï the x=y: the Q9 17 the J. Doe".encode()]
+    spans, patterns = [], set()
+    for data in own:
+        text = pii.Text(data, pii.byte_spans(data))
+        found = [(i, text.instance(i)) for i in range(len(text.bounds))]
+        spans.append([(i, span, *text.around(*span)) for i, span in found if span])
+        patterns |= {(*p, gate) for i, _, around, gate in spans[-1] if i % 29 == 1 for p in around}
+    packed = np.zeros(pii.FILTER_BITS, np.uint8)
+    packed[[k & (pii.FILTER_BITS - 1) for p in patterns for k in p]] = 1
+    known = pii.Vocabulary(np.packbits(packed, bitorder="little"), False)
+    slots = {k: set(found) for k, found, _ in pii.texts_with_slots(own, known)}
+    pairs = {tuple(p) for p in np.concatenate(known.pairs).tolist()}
+    wanted, seen = {p[0] for p in patterns}, 0
+    for k, (data, found) in enumerate(zip(own, spans)):
+        for i, span, around, _ in found:
+            hits = [p for p, _ in around if p in wanted]
+            seen += len(hits)
+            value = pii.hashed("value", data[slice(*span)])
+            assert not hits or i in slots.get(k, ()) or all((p, value) in pairs for p in hits)
+    assert seen > 100
