@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import map_rows, point_offsets, to_points
@@ -664,9 +664,13 @@ def _digest_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    """Base spans of one kind; a second parameter of the lambda would be the span's place in the array."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+
 def pii_report(docs: DataFrame) -> DataFrame:
     """Counts and spans of every whole text, one row per row of ``docs``; nulls, odd texts and repeated rows as in ``pii_spans``."""
     by_start = F.array_sort("base", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["kind"] - b["kind"]).cast("int")))
     all_spans = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["kind"] - b["kind"]).cast("int")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
-    return pii_spans(docs).select("doc_id", *counts, F.sha2(_digest_text(by_start).cast("binary"), 256).alias("base_sha256"), _digest_text(all_spans).alias("spans"))
+    return pii_spans(docs).select("doc_id", *map(_count, range(BASE_KINDS)), F.sha2(_digest_text(by_start).cast("binary"), 256).alias("base_sha256"), _digest_text(all_spans).alias("spans"))

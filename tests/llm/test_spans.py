@@ -59,6 +59,13 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert base_of(pii, text) == plain(text, PERSONAL)
 
 
+def test_counts_are_those_of_each_kind(spark):
+    texts = {1: "a@b.c 1.2.3.4 and 5.6.7.8", 2: "4785380592391139 then +1 555 123 4567 or +1 555 123 4568", 3: None, 4: "x@y.zz x@y.zz x@y.zz"}
+    rows = pii.pii_report(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] for r in rows}
+    assert got == {1: [1, 2, 0, 0], 2: [0, 0, 1, 2], 3: [0, 0, 0, 0], 4: [3, 0, 0, 0]}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=20, max_size=60))
 def test_incremental_entropy(data):
