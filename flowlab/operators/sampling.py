@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.order import first_rows, group_sizes, hash_key, hash_lead, mark_first, whole
+from flowlab.operators.order import first_rows, group_sizes, hash_key, hash_lead, largest, mark_first, whole, window_limit
 from flowlab.session import settle
 
 DRAW = ["_lead", "_hash"]
@@ -22,9 +22,38 @@ def with_draw(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("_hash", hash_key(F.col(key), seed)).withColumn("_lead", hash_lead(F.col("_hash")))
 
 
+def draw_cuts(rows: DataFrame, by: list[str], quota: DataFrame, sizes: DataFrame) -> DataFrame | None:
+    """(by..., _cut_lead, _cut_hash): the k-th place of each group in hash order; None where it lies far from its expected place.
+
+    Leads are spread evenly, so rank k lies within a few roots of k of the share k / n: rows
+    below that band are counted, the few inside are ranked.  Nothing is sorted but the band.
+    """
+    slack = 8 * F.sqrt("k") + 50
+    bound = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), k / F.col("n_group"))) * F.lit(float(2**48))
+    wanted = sizes.join(quota.select(*by, "k"), by).withColumn("k", F.least("k", "n_group")).where("k >= 1")
+    wanted = settle(wanted.select(*by, "k", bound(F.col("k") - slack).alias("_low"), bound(F.col("k") + slack).alias("_high")))
+    keyed = rows.select(*by, *DRAW).join(wanted, by)
+    below = settle(keyed.where("_lead < _low").groupBy(*by).agg(F.count(F.lit(1)).alias("_below")))
+    band = settle(keyed.where("_lead >= _low AND _lead <= _high").select(*by, "k", *DRAW))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*DRAW)) + F.coalesce("_below", F.lit(0))
+    cuts = settle(band.join(below, by, "left").withColumn("_place", place).where("_place = k").select(*by, F.col("_lead").alias("_cut_lead"), F.col("_hash").alias("_cut_hash")))
+    return cuts if cuts.count() == wanted.count() else None
+
+
+def mark_drawn(df: DataFrame, by: list[str], quota: DataFrame, key: str, seed: int, out: str, group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds ``out``: is the row among the first ``k`` of its group in hash order?"""
+    rows = with_draw(df, key, seed)
+    sizes = group_sizes(df, by) if sizes is None else sizes
+    cuts = draw_cuts(rows, by, quota, sizes) if largest(sizes) > window_limit(by, group_limit) else None
+    if cuts is None:
+        return mark_first(rows, by, DRAW, quota, out, group_limit, sizes).drop(*DRAW)
+    inside = (F.col("_lead") < F.col("_cut_lead")) | ((F.col("_lead") == F.col("_cut_lead")) & (F.col("_hash") <= F.col("_cut_hash")))
+    return rows.join(cuts, by, "left").select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))
+
+
 def draw(df: DataFrame, by: list[str], quota: DataFrame, key: str, seed: int, group_limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``k`` pseudo-random rows of each group."""
-    return first_rows(with_draw(df, key, seed), by, DRAW, quota, group_limit, sizes).drop(*DRAW)
+    return mark_drawn(df, by, quota, key, seed, "_first", group_limit, sizes).where("_first").drop("_first")
 
 
 def share(n: Column, fraction: float, rounding: str = "even") -> Column:
@@ -141,8 +170,8 @@ def holdout(df: DataFrame, fraction: float, label: str, key: str, seed: int, on_
     elif on_empty == "raise":
         if not sizes.where((k <= 0) | (k >= n)).isEmpty():
             raise ValueError("a class would be empty on one side of the split")
-    marked = mark_first(with_draw(df, key, seed), [label], DRAW, sizes.select(label, k.alias("k")), "_out", group_limit, sizes)
-    return marked.withColumn("role", F.when(F.col("_out"), "holdout").otherwise("fit")).drop("_out", *DRAW)
+    marked = mark_drawn(df, [label], sizes.select(label, k.alias("k")), key, seed, "_out", group_limit, sizes)
+    return marked.withColumn("role", F.when(F.col("_out"), "holdout").otherwise("fit")).drop("_out")
 
 
 def group_split(df: DataFrame, group: str, fraction: float, seed: int, min_groups: int = 3) -> DataFrame:

@@ -20,6 +20,7 @@ from flowlab.plans.drift import _summary_sql
 from flowlab.plans.registry import query, table
 from flowlab.plans.scoring import _rare
 from flowlab.schemas import METRICS as ALL7
+from flowlab.session import settle
 
 
 @query("j01_difficulty_join", "SELECT s.scenario, total_flows, num_attack_types, round(malicious_ratio, 6) AS malicious_ratio, round(1.0 - f1_macro, 6) AS difficulty FROM scenario_stats_v2 s JOIN folds f ON s.scenario = f.scenario")
@@ -225,10 +226,10 @@ UNION ALL SELECT u.id, u.label, r.domain_id FROM unsw_split u JOIN unsw_registry
 SELECT p.domain_id, id, label FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY md5(concat(CAST(id AS VARCHAR), ':42'))) AS rn FROM pool_rows) p JOIN pool_caps c ON p.domain_id = c.domain_id WHERE rn <= k""")
 def h13_groups(spark, sf):
     """Second-domain pools: one cap per grouping and split, apportioned over its domains, all drawn in one job."""
-    rows = unsw_split(spark, sf)
-    reg = K.unsw_domains(P.group_counts(rows, ["proto", "service"]), 50, 10, 10, 3)
+    rows = settle(unsw_split(spark, sf).select("id", "label", "proto", "service", "split"))
+    reg = settle(K.unsw_domains(P.group_counts(rows, ["proto", "service"]), 50, 10, 10, 3))
     caps = H.allocate_caps(reg.withColumn("cap", F.lit(301)), ["grouping", "split"], "n_rows", "cap").select("domain_id", F.col("allocated").alias("k"))
-    pools = K.domain_rows(rows.select("id", "label", "proto", "service", "split"), reg, ["proto", "service"])
+    pools = K.domain_rows(rows, reg, ["proto", "service"])
     return H.load_pool(pools, "domain_id", caps, "id", 42).select("domain_id", "id", "label")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import drift as D
 from flowlab.operators import metrics as M
+from flowlab.operators import sampling as S
 
 
 def exact_quantile(n, p, u):
@@ -62,3 +63,24 @@ def test_mean_divergence_equals_all_pairs(rows):
 
     want = np.mean([js(p, q) for p, q in combinations(shares, 2)])
     assert D.mean_js(df).first()["mean_pairwise_js_divergence"] == pytest.approx(want, abs=1e-12)
+
+
+def test_large_groups_are_drawn_by_their_hash_band(spark, monkeypatch):
+    """The band finds the rows that a window finds; no row is sorted for it but those of the band."""
+    df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 'a', 'b') AS g")
+    quota = spark.createDataFrame([("a", 17), ("b", 3100)], "g string, k long")
+    ids = lambda limit: sorted(r["id"] for r in S.draw(df, ["g"], quota, "id", 5, limit).collect())
+    want = ids(None)
+    assert len(want) == 3117
+
+    def none(*_):
+        raise AssertionError("the search over all rows is not needed")
+
+    monkeypatch.setattr(S, "mark_first", none)
+    assert ids(100) == want
+
+
+def test_rows_without_key_are_drawn_last(spark):
+    df = spark.range(300).selectExpr("if(id < 200, id, null) AS id", "'a' AS g")
+    quota = spark.createDataFrame([("a", 250)], "g string, k long")
+    assert S.draw(df, ["g"], quota, "id", 5, 10).where("id IS NOT NULL").count() == 200
