@@ -1,5 +1,7 @@
 """Trees, forests and boosting against plain rules; experiments on tables with a known signal."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,33 @@ def test_pair_run_is_continued(spark, toy, tmp_path):
     again = X.pair_run(pairs, pools, [1, 2], str(tmp_path / "runs"), **grid)
     assert asked == [("p1", 1), ("p1", 2)]  # the first seed was there already
     assert again.where("skip_reason is null").groupBy("seed").count().orderBy("seed").collect() == [(1, 3), (2, 3)]
+
+
+def test_scoring_travels_small_and_gives_the_same_values():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(3000, 5)), rng.integers(0, 2, 3000).astype(float)
+    edges = N.bin_edges(x)
+    codes = N.quantised(x, edges)
+    trees = N.forest_trees(codes, y, N.Forest(), range(6))
+    model = N.Ensemble("forest", edges, trees)
+
+    def leaf(tree, row):
+        node = 0
+        while tree.left[node] >= 0:
+            node = tree.left[node] + int(row[tree.feature[node]] > tree.cut[node])
+        return tree.value[node]
+
+    want = np.sum([[leaf(t, row) for row in codes[:200]] for t in trees], axis=0) / len(trees)
+    assert model.predict(x[:200]) == pytest.approx(want, abs=1e-12)
+    assert len(model.squeezed()) * 3 < len(pickle.dumps(model))
+    held = N.Scorers({"a": model, "b": model}, 1)
+    assert held["a"].predict(x[:9]).tolist() == held["b"].predict(x[:9]).tolist() and list(held.ready) == ["b"]
+
+
+def test_rows_to_score_are_dealt_to_many_tasks(spark, toy):
+    cores = spark.sparkContext.defaultParallelism
+    assert N.spread(toy).rdd.getNumPartitions() == 3 * cores
+    out = X.fold_run(toy, ["x", "z"], ["proto"], "y", "row_id", "scenario", N.Forest(trees=3, depth=3))
+    tasks = out.select("fold", F.spark_partition_id().alias("task")).distinct().groupBy("task").count()
+    assert tasks.count() > cores and tasks.agg(F.max("count")).first()[0] <= 2
+    assert out.count() == toy.count()
