@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlab.llm.common import LEVEL, as_lists, expand, sha256_hex, squeeze
+from flowlab.llm.common import LEVEL, as_lists, expand, give_back, pieces, sha256_hex, squeeze
 
 CHUNK_BYTES = 32 << 20
 #: Pieces that a chunk's distinct words are dealt in.
@@ -91,11 +91,12 @@ def _chunk_rows(name: str, ids: list, codes: list[np.ndarray], rest: dict[str, i
     Words are numbered by falling frequency in the chunk, and stand in their bucket in that order.
     """
     words, old = [" " + w for w in rest] + list(first), np.fromiter([*rest.values(), *first.values()], np.int64, len(rest) + len(first))
-    flat = np.concatenate(codes)
+    flat, lengths = np.concatenate(codes), [len(c) for c in codes]
+    codes.clear()
     by_code = np.empty(len(words), np.int64)
     by_code[old] = np.arange(len(words))
     order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-    new = np.empty(len(words), np.int64)
+    new = np.empty(len(words), np.int32)
     new[order] = np.arange(len(words))
     listed = [words[k] for k in by_code[order].tolist()]
     dealt = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in listed), np.int64, len(listed))
@@ -103,7 +104,7 @@ def _chunk_rows(name: str, ids: list, codes: list[np.ndarray], rest: dict[str, i
     for k in np.unique(dealt).tolist():
         yield _batch([name], [k], [packed(word=column.take(pa.array(np.flatnonzero(dealt == k))))])
     yield _batch([name], [buckets], [squeeze(new[flat], dealt)])
-    yield _batch([name], [buckets + 1], [packed(doc_id=pa.array(ids), length=[len(c) for c in codes])])
+    yield _batch([name], [buckets + 1], [packed(doc_id=pa.array(ids), length=lengths)])
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
@@ -112,7 +113,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCK
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         ids, codes, rest, first, size = [], [], {}, {}, 0
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 own = []
                 if text:
@@ -127,7 +128,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCK
                         own.append(code)
                     size += len(text)
                 ids.append(doc_id)
-                codes.append(np.array(own, np.int64))
+                codes.append(np.array(own, np.int32))
                 size += 16
                 if size >= chunk_bytes:
                     yield from _chunk_rows(f"{part}-{number}", ids, codes, rest, first, buckets)
@@ -135,6 +136,8 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCK
                     ids, codes, rest, first, size = [], [], {}, {}, 0
         if ids:
             yield from _chunk_rows(f"{part}-{number}", ids, codes, rest, first, buckets)
+        ids, codes, rest, first = [], [], {}, {}
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNK_SCHEMA)
 
@@ -161,6 +164,8 @@ def encoded_words(chunks: DataFrame, path: str | None = None, buckets: int = BUC
                 counts = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
                 yield _batch([chunk], [bucket], [squeeze(counts, flat)])
+        known.clear()
+        give_back()
 
     spread = F.when(F.col("bucket") < buckets, F.col("bucket").cast("string")).otherwise(F.col("chunk"))
     return chunks.repartition(spread).mapInArrow(run, CHUNK_SCHEMA)
@@ -181,6 +186,7 @@ def assembled(encoded: DataFrame, finish, schema: str, buckets: int = BUCKETS) -
                     own = opened(data)
                     yield from finish(own.column("doc_id"), _documents(held, *texts, own.column("length").to_numpy()))
                     held, texts = [], None
+        give_back()
 
     return encoded.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
 

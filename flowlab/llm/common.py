@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import struct
@@ -24,6 +25,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of a batch whose values are laid out as Python objects at once.
+AT_ONCE = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, size: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``size`` bytes, a row at least."""
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def give_back() -> None:
+    """Hands freed memory back to the machine: workers outlive their tasks, and what one has freed no other process can use."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
     """``make`` turns batches of columns (texts as bytes) into batches of columns of ``schema``.
 
@@ -34,9 +53,10 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        for columns in make(as_lists(b) for b in batches):
+        for columns in make(as_lists(p) for b in batches for p in pieces(b)):
             if columns and len(next(iter(columns.values()))):
                 yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, out)
 
@@ -52,12 +72,11 @@ def add_columns(df: DataFrame, read: list[str], make: Callable[..., tuple], sche
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(c).alias(f"read_{i}") for i, c in enumerate(read)])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (p for whole in batches for p in pieces(whole)):
             lists = as_lists(b.select([f"read_{i}" for i in range(len(read))]))
             made = zip(*(make(*values) for values in zip(*lists.values())))
             yield pa.RecordBatch.from_arrays([b.column(0), *[_array(list(v), f.type) for v, f in zip(made, arrow)]], names=["row", *arrow.names])
+        give_back()
 
     return inner.mapInArrow(run, StructType([inner.schema["row"], *out.fields]))
 

@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlab.llm.common import ASCII_LOWER
+from flowlab.llm.common import ASCII_LOWER, give_back, pieces
 from flowlab.session import work_path
 
 END_ID = 2
 BLOCK = 4_096
 #: Ids of a segment, at most, unless one document has more.
 SEGMENT_IDS = 1 << 20
-#: Words that a Python worker keeps with their ids, at most.
+#: Words that a Python worker keeps with their ids, at most, unless one group of texts has more.
 CACHED_WORDS = 420_000
+#: Bytes of texts whose new words are learned together.
+GROUP_BYTES = 1 << 19
 
 
 def id_bits(vocabulary: int) -> int:
@@ -125,18 +127,26 @@ class WordEncoder:
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def encode(self, data: bytes | None) -> bytes:
-        """The ids of a whole text as little-endian numbers of ``dtype``."""
+    def words(self, data: bytes | None) -> list[bytes]:
         if data and b"<|" not in data:
             data = CLOSING.sub(rb" \1", data.translate(ASCII_LOWER))
-        words = data.split() if data else []
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.learn([w for w in set(words) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
+        return data.split() if data else []
+
+    def encode(self, data: bytes | None) -> bytes:
+        """The ids of a whole text as little-endian numbers of ``dtype``."""
+        return self.encode_all([data])[0]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """``encode`` of every text; the texts' new words are learned in one go."""
+        split = list(map(self.words, texts))
+        distinct = set().union(*split)
+        new = [w for w in distinct if w not in self.known]
+        if new and len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
+            new = list(distinct)
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=1)
@@ -158,12 +168,12 @@ def encoded(docs: DataFrame, cuts: list[int], path: str | None = None, end_id: i
     def run(batches):
         encoder = word_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            ids = [encoder.encode(t) + end for t in texts]
+        for b in (p for whole in batches for p in pieces(whole, GROUP_BYTES)):
+            ids = [found + end for found in encoder.encode_all(b.column("text").cast(pa.binary()).to_pylist())]
             keys = b.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             shard = np.searchsorted(bounds, keys, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"shard int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
