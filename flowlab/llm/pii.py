@@ -9,7 +9,8 @@ instances that are trusted, an instance trusts its patterns. Trusted instances s
 further patterns where else they stand, until nothing new appears.
 
 The texts are scanned once for the seeds, and twice per step: for what stands
-in the slots of new patterns, and for the places of new identifiers. A scan knows what to
+in the slots of new patterns, and for the places of new identifiers. Patterns that parts of the
+texts refute are not looked for in all of them. A scan knows what to
 look for by a bitmap of fixed size; joins drop its false hits. Rows are known by
 their place in a scan: the input must give the same rows in the same partitions every
 time, as files and checkpoints do.
@@ -41,6 +42,7 @@ IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = b"0123456789"
+MARKS = DIGITS + b"@"
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -57,6 +59,8 @@ MIN_CONFIDENCE = 700
 #: The least distinct instances of a pattern, and the damping of an unsupported pattern.
 MIN_SUPPORT = 3
 PRIOR = 1
+#: Of so many rows one is tried before all rows are scanned, step by step.
+TRIALS = (64, 8)
 #: Positions of the bitmap that a scan takes along: two megabytes.
 FILTER_BITS = 1 << 24
 #: Words whose properties a task keeps.
@@ -141,6 +145,7 @@ BYTE_NUMBER, PLACE_NUMBER = _numbers[:256] | np.uint64(1), np.append(_numbers[25
 #: What a byte is: white space, a letter or digit, and in shapes.
 IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 IS_PUNCTUATION = np.isin(np.arange(256), list(PUNCTUATION))
+IS_DIGIT, IS_MARK = np.isin(np.arange(256), list(DIGITS)), np.isin(np.arange(256), list(MARKS))
 FORM_OF = np.array([97 if chr(c).isalpha() and c < 128 else 57 if 48 <= c < 58 else c for c in range(256)], np.uint64)
 #: Bytes of a text whose words are hashed at once, and of short texts that are looked at together.
 PIECE, TOGETHER = 1 << 20, 1 << 18
@@ -154,9 +159,9 @@ def coarse(word: bytes) -> int:
 
 
 def coarse_form(value: bytes) -> int:
-    """The first three bytes of a value as in its shape."""
+    """The first three bytes of a value as in its shape, and whether it holds a digit or ``@``, as its shape then does."""
     own = FORM_OF[np.frombuffer(value[:3], np.uint8)].tolist()
-    return sum(c << (8 * k) for k, c in enumerate(own))
+    return sum(c << (8 * k) for k, c in enumerate(own)) + ((len(value.translate(None, MARKS)) < len(value)) << 24)
 
 
 def parts(word: bytes) -> tuple[int, int]:
@@ -411,8 +416,9 @@ def moved(values: np.ndarray, by: int) -> np.ndarray:
 def possible_words(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the words begin and end, and those at which a wanted instance may begin by the coarse hashes of all words.
 
-    Words with punctuation at an end pass by the word before, those with ``:`` or ``=`` always; so
-    do words that may belong together, by the word before.
+    Words with punctuation at an end pass by the word before, but for one closing sign, those with ``:`` or
+    ``=`` always; so do words that may belong together, by the word before. Where values are wanted, words with
+    punctuation at an end always pass, and no word before counts.
     """
     starts, ends, near = coarse_words(data)
     if not len(starts):
@@ -424,32 +430,38 @@ def possible_words(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarr
     for mark in (b":", b"="):
         if mark in data:
             inner[np.searchsorted(starts, np.flatnonzero(own == mark[0]), "right") - 1] = True
+    if known.values:
+        return starts, ends, np.flatnonzero(inner | known.has(mixed(HEAD, near)) | odd)
     before = moved(near, -1)
     gate = known.has(mixed(PLACE, before))
     gate[0] = False
-    hit = inner | known.has(mixed(HEAD, near)) | odd if known.values else inner
+    hit = inner
     at = np.flatnonzero(gate & ~hit)
     if len(at):
         nexts = np.minimum(at + 1, len(starts) - 1)
         capital = (head >= 65) & (head <= 90)
         # Groups that belong together hold digits; a word is then taken for one if it begins or ends with a digit or a letter.
-        grouped = _has_digit(own, starts, ends, at) & _has_digit(own, starts, ends, nexts)
-        form = FORM_OF[head[at]]
+        grouped = _holds(IS_DIGIT, own, starts, ends, at) & _holds(IS_DIGIT, own, starts, ends, nexts)
+        # Where one sign closes a longer word, that is what stands behind the instance.
+        closed = odd[at] & ~IS_PUNCTUATION[head[at]] & (tail[at] != 64) & (ends[at] - starts[at] > 3)
+        closed &= ~IS_PUNCTUATION[own[ends[at] - 2]]
+        behind = np.where(closed, BYTE_NUMBER[tail[at]] * PLACE_NUMBER[0], moved(near, 1)[at])
+        form = FORM_OF[head[at]] | np.where(_holds(IS_MARK, own, starts, ends, at), np.uint64(1 << 24), np.uint64(0))
         for k in (1, 2):
             there = starts[at] + k < ends[at]
             form = form | np.where(there, FORM_OF[own[np.minimum(starts[at] + k, len(own) - 1)]] << np.uint64(8 * k), np.uint64(0))
         close = before[at]
         hit[at] = (
-            odd[at] | (capital[at] & (capital[nexts] | IS_PUNCTUATION[head[nexts]])) | grouped
-            | known.has(mixed(FORM, close, form)) | known.has(mixed(LEFT, close, moved(near, -2)[at])) | known.has(mixed(BOTH, close, moved(near, 1)[at]))
+            (odd[at] & ~closed) | (capital[at] & (capital[nexts] | IS_PUNCTUATION[head[nexts]])) | grouped
+            | known.has(mixed(FORM, close, form)) | known.has(mixed(LEFT, close, moved(near, -2)[at])) | known.has(mixed(BOTH, close, behind))
         )
     return starts, ends, np.flatnonzero(hit)
 
 
-def _has_digit(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the words ``at`` hold a digit."""
-    digits = np.flatnonzero((own >= 48) & (own < 58))
-    return np.searchsorted(digits, starts[at]) < np.searchsorted(digits, ends[at])
+def _holds(wanted: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the words ``at`` hold a wanted byte."""
+    spots = np.flatnonzero(wanted[own])
+    return np.searchsorted(spots, starts[at]) < np.searchsorted(spots, ends[at])
 
 
 NO_PAIRS = np.empty((0, 2), np.uint64)
@@ -460,7 +472,8 @@ def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray
 
     No wanted one is left out, also if ``data`` is several texts with BETWEEN between them. A plain
     word in a slot only speaks against its pattern: distinct (pattern, value) say all about it. Possible words are looked up in arrays, first by their place, then
-    by their patterns. Where further words may belong to the instance, the place decides.
+    by their patterns. Where further words may belong to the instance, the place decides. A wanted
+    value is known by its first word alone, as is one of several words.
     """
     starts, ends, possible = possible_words(data, known)
     if not len(possible):
@@ -476,6 +489,9 @@ def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray
         return np.frombuffer(values, values.typecode)[at]
 
     own = words(0)
+    if known.values:
+        flags = column(known.flags, np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+        return starts, ends, possible[(flags & (known.VALID | known.HEAD | known.PLAIN)) == known.VALID | known.HEAD], NO_PAIRS
     codes, second, first_, next_ = (np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (own, words(-1), words(-2), words(1)))
     lead, flags, previous = column(known.lead, codes), column(known.flags, codes), column(known.low, second)
     inside, valid = (flags & known.INSIDE) > 0, (flags & known.VALID) > 0
@@ -492,8 +508,7 @@ def likely_slots(data: bytes, known: Vocabulary) -> tuple[np.ndarray, np.ndarray
         there = [known.has(patterns[0]), known.has(patterns[1]) & (first > 0), known.has(patterns[2]) & (after > 0)]
         plain = (flags[at] & known.PLAIN) > 0
         hit[at] |= ~plain & ((longer > 0) | there[0] | there[1] | there[2])
-        if not known.values:
-            pairs = np.concatenate([np.stack([p[t & plain], values[t & plain]], 1) for p, t in zip(patterns, there)])
+        pairs = np.concatenate([np.stack([p[t & plain], values[t & plain]], 1) for p, t in zip(patterns, there)])
     return starts, ends, possible[hit], pairs
 
 
@@ -614,6 +629,25 @@ def score_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         before = now
 
 
+def unrefuted(docs: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates, (pattern, gate, coarse), that may be confident while no more than ``known``, (pattern, value), is trusted.
+
+    What else stands in a pattern's slots, in whatever part of the texts, only lowers its score: with
+    n distinct instances in that part and k known ones the score over all texts is at most SURE * k div (n + PRIOR).
+    So a part refutes patterns for good, and common words refute most in a small one; the others are tried on a larger part.
+    """
+    for share in TRIALS:
+        if candidates.isEmpty():
+            break
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+        keys = candidates.select(F.explode(F.array("pattern", "gate", "coarse")).alias("key"))
+        there = scan_for(part, keys, False).select("pattern", "value", F.lit(False).alias("known"))
+        edges = known.select("pattern", "value", F.lit(True).alias("known")).unionByName(there).groupBy("pattern", "value").agg(F.max("known").alias("known"))
+        open_ = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("k")).where(SURE * F.col("k") >= MIN_CONFIDENCE * (F.col("n") + PRIOR))
+        candidates = settle(candidates.join(open_.select("pattern"), "pattern", "left_semi"))
+    return candidates
+
+
 def pii_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_no, base spans and all spans, one row per row of ``docs``.
 
@@ -629,6 +663,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     while True:
         counted = known.groupBy("pattern", "gate", "coarse").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SUPPORT)
         new = settle(counted.select("pattern", "gate", "coarse") if patterns is None else counted.select("pattern", "gate", "coarse").join(patterns, "pattern", "left_anti"))
+        new = unrefuted(docs, known, new)
         if new.isEmpty():
             break
         patterns = new.select("pattern") if patterns is None else patterns.unionByName(new.select("pattern"))
