@@ -348,4 +348,4 @@ def test_pipeline_stages(spark, sf, documents):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", name).group(1)) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name).group(1)) for name in queries.QUERIES) == list(range(1, 14))
