@@ -31,6 +31,14 @@ def test_each_domain_knows_the_rare_row(rare, few):
     assert {r["direction"]: (r["n_rows"], r["tp"], r["fp"]) for r in rows} == {"there": (40, 1, 0), "back": (MANY, 1, 0)}
 
 
+def test_transfer_source_knows_the_rare_row(rare, few):
+    spec = N.Boost(depth=2, min_child=0.0, imbalance=True)
+    grid = {"pretrain": 40, "adapt": 2, "alone": 40, "spec": spec}
+    rows = X.transfer_run(rare, rare, few, ["x"], ["proto"], "y", "row_id", [1.0], balance_ratio=None, **grid).collect()
+    assert {r["condition"]: (r["n_rows"], r["tp"], r["fp"]) for r in rows}["source_only"] == (40, 1, 0)
+    assert len(rows) == 3
+
+
 def test_rows_without_a_label_are_scored_but_not_learned(spark):
     rows = spark.createDataFrame([(i, "tcp", float(i % 2), None if i > 90 else i % 2) for i in range(100)], "row_id long, proto string, x double, y int")
     scored = X.fit_and_score(*[X.encoded(X.onehot_encoder(rows, ["x"], ["proto"]), rows)] * 2, "y", FOREST, ["row_id", "x"])
