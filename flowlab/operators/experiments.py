@@ -86,13 +86,15 @@ def fit_and_score(train: DataFrame, tests: DataFrame, label: str, spec: Forest |
     return scored_rows(settle(fit_scores(table, tested, {"model": Fit(spec)})), tested, threshold)
 
 
-def baseline_run(train: DataFrame, evals: dict[str, DataFrame], num: list[str], cat: list[str], label: str, key: str, spec: Forest | Boost, threshold: float = 0.5, folder: str | None = None, n: int = FIT_ROWS) -> DataFrame:
-    """Fit on train, one metrics row per evaluation split."""
+def baseline_run(train: DataFrame, evals: dict[str, DataFrame], num: list[str], cat: list[str], label: str, key: str, spec: Forest | Boost, threshold: float = 0.5, folder: str | None = None) -> DataFrame:
+    """Fit on all rows of train, one metrics row per evaluation split; ``key`` is not read."""
     columns = [*num, *cat, label, *(["scenario"] if folder else [])]
-    train = settle(train.select(*num, *cat, label, key))
+    train = settle(train.select(*num, *cat, label))
     encoder = onehot_encoder(train, num, cat)
-    model = fit_one(encoded(encoder, train), label, key, spec, n)
-    return union_all(*[evaluate(model, encoded(encoder, spread(settle(df.select(*columns)))), label, threshold, f"{folder}/{name}" if folder else None, name) for name, df in evals.items()])
+    tests = spread(settle(union_all(*[df.select(*columns, F.lit(name).alias("split")) for name, df in evals.items()])))
+    keep = ["split", *(["scenario"] if folder else []), F.col(label).alias("y_true")]
+    scored = settle(fit_and_score(encoded(encoder, train), encoded(encoder, tests), label, spec, keep, threshold))
+    return union_all(*[judged(scored.where(F.col("split") == name).drop("split"), f"{folder}/{name}" if folder else None, name) for name in evals])
 
 
 def cross_domain_run(pairs: dict[str, tuple[DataFrame, DataFrame]], num: list[str], cat: list[str], label: str, key: str, spec: Forest | Boost) -> DataFrame:

@@ -26,6 +26,13 @@ def few(rare):
     return rare.where("row_id < 40").withColumn("scenario", F.lit("s1")).cache()
 
 
+def test_baseline_knows_the_rare_row(rare, few):
+    row = X.baseline_run(rare, {"test": few, "val": few}, ["x"], ["proto"], "y", "row_id", FOREST).collect()
+    assert {r["split"]: (r["n_rows"], r["tp"], r["fp"]) for r in row} == {"test": (40, 1, 0), "val": (40, 1, 0)}
+    boost = X.baseline_run(rare, {"test": few}, ["x"], ["proto"], "y", "row_id", N.Boost(rounds=40, depth=2, min_child=0.0, imbalance=True)).first()
+    assert (boost["tp"], boost["fp"]) == (1, 0)
+
+
 def test_each_domain_knows_the_rare_row(rare, few):
     rows = X.cross_domain_run({"there": (rare, few), "back": (few, rare)}, ["x"], ["proto"], "y", "row_id", FOREST).collect()
     assert {r["direction"]: (r["n_rows"], r["tp"], r["fp"]) for r in rows} == {"there": (40, 1, 0), "back": (MANY, 1, 0)}
