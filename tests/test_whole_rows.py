@@ -38,6 +38,12 @@ def test_each_domain_knows_the_rare_row(rare, few):
     assert {r["direction"]: (r["n_rows"], r["tp"], r["fp"]) for r in rows} == {"there": (40, 1, 0), "back": (MANY, 1, 0)}
 
 
+def test_early_curve_knows_the_rare_row(rare, few):
+    curves, delays = X.early_run(rare, {"test": few}, ["x"], ["proto"], "y", "row_id", FOREST, [0.5, 1.0], ["scenario"], ["ts", "row_id"])
+    assert {r["fraction"]: (r["rows_evaluated"], r["tp"], r["fn"]) for r in curves.collect()} == {0.5: (20, 1, 0), 1.0: (40, 1, 0)}
+    assert delays.count() == 2
+
+
 def test_transfer_source_knows_the_rare_row(rare, few):
     spec = N.Boost(depth=2, min_child=0.0, imbalance=True)
     grid = {"pretrain": 40, "adapt": 2, "alone": 40, "spec": spec}
