@@ -38,6 +38,12 @@ def test_each_domain_knows_the_rare_row(rare, few):
     assert {r["direction"]: (r["n_rows"], r["tp"], r["fp"]) for r in rows} == {"there": (40, 1, 0), "back": (MANY, 1, 0)}
 
 
+def test_folds_know_the_rare_row(rare, few):
+    out = X.fold_run(rare.unionByName(few), ["x"], ["proto"], "y", "row_id", "scenario", FOREST)
+    cells = {(r["fold"], r["y_true"], r["y_pred"]): r["count"] for r in out.groupBy("fold", "y_true", "y_pred").count().collect()}
+    assert cells == {("s0", 0, 0): MANY - 1, ("s0", 1, 1): 1, ("s1", 0, 0): 39, ("s1", 1, 1): 1}
+
+
 def test_early_curve_knows_the_rare_row(rare, few):
     curves, delays = X.early_run(rare, {"test": few}, ["x"], ["proto"], "y", "row_id", FOREST, [0.5, 1.0], ["scenario"], ["ts", "row_id"])
     assert {r["fraction"]: (r["rows_evaluated"], r["tp"], r["fn"]) for r in curves.collect()} == {0.5: (20, 1, 0), 1.0: (40, 1, 0)}
@@ -52,6 +58,12 @@ def test_transfer_source_knows_the_rare_row(rare, few):
     assert len(rows) == 3
 
 
+def test_a_missing_kind_is_a_fold_of_its_own(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f"s{i % 3}", float(i % 2), i % 2) for i in range(90)], "row_id long, scenario string, x double, y int")
+    out = X.fold_run(rows.withColumn("proto", F.lit("tcp")), ["x"], ["proto"], "y", "row_id", "scenario", FOREST)
+    assert {r["fold"]: r["count"] for r in out.where("y_true = y_pred").groupBy("fold").count().collect()} == {None: 30, "s1": 30, "s2": 30}
+
+
 def test_rows_without_a_label_are_scored_but_not_learned(spark):
     rows = spark.createDataFrame([(i, "tcp", float(i % 2), None if i > 90 else i % 2) for i in range(100)], "row_id long, proto string, x double, y int")
     scored = X.fit_and_score(*[X.encoded(X.onehot_encoder(rows, ["x"], ["proto"]), rows)] * 2, "y", FOREST, ["row_id", "x"])
